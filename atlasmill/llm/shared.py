@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +52,40 @@ def discard(df: DataFrame) -> None:
 
 def text_or_empty(text: str) -> F.Column:
     return F.coalesce(F.col(text), F.lit(""))
+
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+#: Texts are handed to Python work in parts of about so many bytes, one text at least.
+PART_BYTES = 4 << 20
+
+
+def _parts(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
+    group = np.concatenate([[0], np.cumsum(sizes)[:-1]]) // PART_BYTES if len(sizes) else sizes
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def per_text(docs: DataFrame, text_col: str, keep: list[str], start: Callable[[], Callable[[list[str]], list]], schema: str) -> DataFrame:
+    """The columns `keep`, untouched, and those of `schema` made from each whole text; null texts count as empty.
+
+    start() is called once in each task and returns the work: a list of texts to a list of columns.
+    Arrow batches stream through the task in parts of bounded size.
+    """
+    fields = [tuple(x.split()) for x in schema.split(", ")]
+    made = pa.schema([(n, _ARROW[t]) for n, t in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            for part in _parts(batch, "__text"):
+                columns = work(part.column("__text").to_pylist())
+                arrays = [pa.array(c, f.type) for c, f in zip(columns, made, strict=True)]
+                kept = [n for n in part.schema.names if n != "__text"]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), *arrays], [*kept, *made.names])
+
+    rows = docs.select(*[F.col(c) for c in keep], text_or_empty(text_col).alias("__text"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{kept}, {schema}")
