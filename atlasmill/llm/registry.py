@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .mixing import mix
+from .ogg import media_columns
+from .sharding import ring_shards
 from .shared import read
 
 ORACLES: dict[str, str] = {}
@@ -25,6 +29,19 @@ FROM d WINDOW g AS (PARTITION BY t)
 """
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents"))
+
+
+def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = ring_shards(read(spark, sf_dir, "documents"))
+    return shards.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
