@@ -8,8 +8,17 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .ogg import media_columns
+from .sentencepiece_bpe import encode_decode
 from .sharding import ring_shards
 from .shared import read
+from .simhash import near_groups
+
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer files lie; only the driver reads them."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 ORACLES: dict[str, str] = {}
 
@@ -29,6 +38,14 @@ FROM d WINDOW g AS (PARTITION BY t)
 """
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(read(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
