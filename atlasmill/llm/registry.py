@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .ogg import media_columns
+from .secret_scan import scan_secrets
 from .sentencepiece_bpe import encode_decode
 from .sharding import ring_shards
 from .shared import read
@@ -42,6 +43,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents"))
 
