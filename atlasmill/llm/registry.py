@@ -9,6 +9,7 @@ from .exact_dedup import exact_dedup
 from .html_text import main_text
 from .mixing import mix
 from .ogg import media_columns
+from .quality import classify
 from .secret_scan import scan_secrets
 from .sentencepiece_bpe import encode_decode
 from .sharding import ring_shards
@@ -60,6 +61,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = ring_shards(read(spark, sf_dir, "documents"))
     return shards.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: `[^\x20\x09-\x0D]+`: a word is a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -54,6 +55,7 @@ def text_or_empty(text: str) -> F.Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+_SPARK = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
 #: Texts are handed to Python work in parts of about so many bytes, one text at least.
 PART_BYTES = 4 << 20
@@ -87,5 +89,4 @@ def per_text(docs: DataFrame, text_col: str, keep: list[str], start: Callable[[]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), *arrays], [*kept, *made.names])
 
     rows = docs.select(*[F.col(c) for c in keep], text_or_empty(text_col).alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kept}, {schema}")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *[T.StructField(n, _SPARK[t]) for n, t in fields]]))
