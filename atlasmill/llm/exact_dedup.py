@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged, text_or_empty
+from .shared import keep_rows, staged, text_or_empty
 
 KEY = ["digest", "n_bytes", "check"]
 
@@ -37,15 +37,8 @@ def merge_round(level: DataFrame, fan_in: int) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", runs: int = 64, fan_in: int = 8) -> DataFrame:
-    """Finds groups of identical texts; returns a row per document: id, keep_id, group_size, kept, text_sha256.
-
-    Null texts count as empty. The row with the largest (or, with keep="smallest", the smallest)
-    identifier stays; a null identifier loses to any other. A repeated row (same id, same text) is
-    counted as often as it occurs, and one of its occurrences is kept. An empty table gives an
-    empty result; other columns of `docs` are ignored, whatever their names. Identifiers must be
-    of an integer type.
-    """
+def verdicts(docs: DataFrame, id_col: str, text_col: str, keep: str = "largest", runs: int = 64, fan_in: int = 8) -> DataFrame:
+    """A row per (text, id): id, digest, n_bytes, check, copies, keep_id, group_size."""
     sign = {"largest": 1, "smallest": -1}[keep]
     rows = staged(digest_rows(docs, id_col, text_col, runs), "digests")
     level = rows.groupBy(*KEY, "run").agg(F.max(F.struct((F.col("id") * sign).alias("id"))).alias("best"), F.sum("copies").alias("copies"))
@@ -57,15 +50,34 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = rows.join(by_run, [*KEY, "run"], "left")
     single = F.col("group_size").isNull()
     return found.select(
-        F.col("id"),
+        "id",
+        *KEY,
+        "copies",
         F.when(single, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    ).select(
+    )
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", runs: int = 64, fan_in: int = 8) -> DataFrame:
+    """Finds groups of identical texts; returns a row per document: id, keep_id, group_size, kept, text_sha256.
+
+    Null texts count as empty. The row with the largest (or, with keep="smallest", the smallest)
+    identifier stays; a null identifier loses to any other. A repeated row (same id, same text) is
+    counted as often as it occurs, and one of its occurrences is kept. An empty table gives an
+    empty result; other columns of `docs` are ignored, whatever their names. Identifiers must be
+    of an integer type.
+    """
+    found = verdicts(docs, id_col, text_col, keep, runs, fan_in).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return found.select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
         (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"),
-        "text_sha256",
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
+    """One document of each group of identical texts, with all its columns; which one stays is as in exact_dedup()."""
+    found = verdicts(docs, id_col, text_col, keep)
+    return keep_rows(docs, id_col, text_col, found.withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id"))))

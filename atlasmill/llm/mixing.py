@@ -19,6 +19,8 @@ from .shared import WORD, staged, text_or_empty
 WEIGHTS = (5, 2, 1)
 #: Documents that are ranked in one task when a length's documents are selected.
 CELL_ROWS = 4096
+#: A plan of up to so many rows goes to every task.
+BROADCAST_ROWS = 500_000
 
 
 def word_count(text: F.Column) -> F.Column:
@@ -112,41 +114,85 @@ def source_targets(hist: DataFrame, weights: tuple[int, ...], max_repeats: int)
     return s.withColumn("target", F.least("cap", F.col("weight") * level)).select("source", "no_source", "source_size", "target")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3, seed: int = 17) -> DataFrame:
-    """How much of each document the mix takes: id, size, source_size, target, taken, source, nth.
+def _place(id_col: str, text_col: str, source_col: str, seed: int) -> list[F.Column]:
+    """Columns source, no_source, size and at: a row's seeded hash, which only repeated rows share."""
+    text = text_or_empty(text_col)
+    return [
+        F.coalesce(F.col(source_col), F.lit("")).alias("source"),
+        F.col(source_col).isNull().alias("no_source"),
+        word_count(text).alias("size"),
+        F.xxhash64(F.lit(seed), F.col(id_col), text).alias("at"),
+    ]
 
-    size is the number of words, 0 for a null text. A source's target is its weight's share of all
-    words, at most `max_repeats` times its own. taken is a multiple of size, at most `max_repeats`
-    times it: documents are taken whole. Null sources are one source of their own. Repeated rows
-    are separate documents. Selection follows a seeded hash of id and size, so reruns agree. Empty
-    documents take nothing; an empty table gives an empty result; other columns are ignored.
+
+def mix_plan(rows: DataFrame, weights: tuple[int, ...], max_repeats: int) -> DataFrame:
+    """By (source, no_source, size): source_size, target, whole, and which rows are taken once more.
+
+    Those are the rows up to the hash `upto`; `last` of the `tied` rows with just that hash. The rows
+    of a length are dealt to cells by their hash, in order; only the cell in which the number is
+    reached is ranked, so a length that very many documents share is not sorted in one task.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(source_col, F.lit("")).alias("source"), F.col(source_col).isNull().alias("no_source"), word_count(text_or_empty(text_col)).alias("size"))
-    rows = staged(rows, "sizes")
-    hist = rows.groupBy("source", "no_source", "size").agg(F.count("*").alias("docs"))
     by_source = ["source", "no_source"]
+    group = [*by_source, "size"]
+    hist = rows.groupBy(*group).agg(F.count("*").alias("docs"))
     plan = (
         hist.join(source_targets(hist, weights, max_repeats), by_source)
         .groupBy(*by_source)
         .applyInPandas(_fit_source, "source string, no_source boolean, size long, docs long, source_size long, target double, whole long, selected long")
     )
     plan = staged(plan, "mix-plan")
-    group = [*by_source, "size"]
-    # a length with many documents is dealt to cells; low cells are taken whole, one in part
-    order = F.xxhash64(F.lit(seed), "id", "size")
-    planned = rows.join(plan, group).withColumn("at", order).withColumn("cell", F.when((F.col("selected") > 0) & (F.col("selected") < F.col("docs")), F.pmod(F.shiftright("at", 20), F.floor(F.col("docs") / CELL_ROWS) + 1)).otherwise(F.lit(-1)))
-    per_cell = planned.filter("cell >= 0").groupBy(*group, "cell").agg(F.count("*").alias("in_cell"), F.first("selected").alias("quota"))
-    upto = Window.partitionBy(*group).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    per_cell = per_cell.select(*group, "cell", (F.col("quota") - F.coalesce(F.sum("in_cell").over(upto), F.lit(0))).alias("quota"))
-    whole = planned.filter("cell < 0").withColumn("more", F.when(F.col("selected") == F.col("docs"), 1).otherwise(0))
-    ranked = planned.filter("cell >= 0").withColumn("nth", F.row_number().over(Window.partitionBy(*group, "cell").orderBy("at", "id")))
-    partly = ranked.join(per_cell, [*group, "cell"]).withColumn("more", F.when(F.col("nth") <= F.col("quota"), 1).otherwise(0))
-    out = ["id", "source", "no_source", "size", "source_size", "target", "whole", "more"]
-    return whole.select(*out).unionByName(partly.select(*out)).select(
-        F.col("id").alias(id_col),
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * (F.col("whole") + F.when(F.col("size") > 0, F.col("more")).otherwise(0))).alias("taken"),
-        F.when(~F.col("no_source"), F.col("source")).alias("source"),
+    partly = plan.filter("selected > 0 AND selected < docs").select(*group, "selected", (F.floor(F.col("docs") / CELL_ROWS) + 1).alias("cells"))
+    # cells in the order of the hashes: its leading 20 bits, scaled
+    cell = F.shiftright((F.shiftright("at", 44) + (1 << 19)) * F.col("cells"), 20)
+    counted = rows.groupBy(*group, "at").agg(F.count("*").alias("tied")).join(side(partly, partly.count()), group).withColumn("cell", cell)
+    per_cell = counted.groupBy(*group, "cell").agg(F.sum("tied").alias("in_cell"))
+    before = Window.partitionBy(*group).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    per_cell = per_cell.withColumn("before", F.coalesce(F.sum("in_cell").over(before), F.lit(0)))
+    upto = Window.partitionBy(*group, "cell").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counted.join(per_cell.withColumnRenamed("cell", "in"), group).filter("cell = in AND before < selected AND selected <= before + in_cell")
+    ranked = ranked.withColumn("rank", F.col("before") + F.coalesce(F.sum("tied").over(upto), F.lit(0)))
+    cut = ranked.filter("rank < selected AND selected <= rank + tied").select(*group, F.col("at").alias("upto"), (F.col("selected") - F.col("rank")).alias("last"), "tied")
+    return plan.join(cut, group, "left").select(*group, "source_size", "target", "whole", "selected", "docs", "upto", "last", "tied")
+
+
+def side(small: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(small) if n <= BROADCAST_ROWS else small
+
+
+def _decided(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with (source, no_source, size, at): source_size, target and times, how often the mix takes the row."""
+    plan = staged(plan, "mix-cuts")
+    group = ["source", "no_source", "size"]
+    sizes = plan.agg(F.count("*").alias("n"), F.count_if(F.col("last") < F.col("tied")).alias("ties")).first()
+    joined = rows.join(side(plan, sizes.n), group)
+    more = F.when(F.col("size") == 0, 0).when(F.col("selected") == F.col("docs"), 1).when(F.col("at") < F.col("upto"), 1).when((F.col("at") == F.col("upto")) & (F.col("last") == F.col("tied")), 1).otherwise(0)
+    out = joined.withColumn("times", F.col("whole") + more)
+    if sizes.ties:  # repeated rows of which some are taken: any of them will do
+        tied = (F.col("at") == F.col("upto")) & (F.col("last") < F.col("tied"))
+        some = out.filter(tied).withColumn("nth", F.row_number().over(Window.partitionBy(*group, "at").orderBy("at")))
+        some = some.withColumn("times", F.col("times") + (F.col("nth") <= F.col("last")).cast("int")).drop("nth")
+        out = out.filter(~F.coalesce(tied, F.lit(False))).unionByName(some)
+    return out.drop("whole", "selected", "docs", "upto", "last", "tied", "at")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3, seed: int = 17) -> DataFrame:
+    """How much of each document the mix takes: id, size, source_size, target, taken, source.
+
+    size is the number of words, 0 for a null text. A source's target is its weight's share of all
+    words, at most `max_repeats` times its own. taken is a multiple of size, at most `max_repeats`
+    times it: documents are taken whole. Null sources are one source of their own. Repeated rows
+    are separate documents. Selection follows a seeded hash of id and text, so reruns agree. Empty
+    documents take nothing; an empty table gives an empty result; other columns are ignored.
+    """
+    rows = staged(docs.select(F.col(id_col).alias("id"), *_place(id_col, text_col, source_col, seed)), "sizes")
+    return _decided(rows, mix_plan(rows, weights, max_repeats)).select(
+        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), F.when(~F.col("no_source"), F.col("source")).alias("source")
     )
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3, seed: int = 17) -> DataFrame:
+    """The mix itself: each document as often as it is taken, with all its columns and no others. Texts are not shuffled."""
+    place = _place(id_col, text_col, source_col, seed)
+    plan = mix_plan(staged(docs.select(*place), "sizes"), weights, max_repeats)
+    rows = docs.select(F.struct("*").alias("row"), *place)
+    return _decided(rows, plan).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")

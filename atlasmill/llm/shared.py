@@ -90,3 +90,39 @@ def per_text(docs: DataFrame, text_col: str, keep: list[str], start: Callable[[]
 
     rows = docs.select(*[F.col(c) for c in keep], text_or_empty(text_col).alias("__text"))
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *[T.StructField(n, _SPARK[t]) for n, t in fields]]))
+
+
+#: Keys up to this number go to every task (at most some 32 MB each); beyond it both sides are shuffled.
+BROADCAST_KEYS = 1_000_000
+
+
+def row_key(id_col: str, text_col: str) -> list[F.Column]:
+    """Columns id, check and n_bytes: what tells rows apart. Only repeated rows share all three."""
+    text = text_or_empty(text_col)
+    return [F.col(id_col).alias("id"), F.xxhash64(text).alias("check"), F.octet_length(text).alias("n_bytes")]
+
+
+def _same(a: DataFrame, b: DataFrame) -> F.Column:
+    return a.id.eqNullSafe(b.id) & (a.check == b.check) & (a.n_bytes == b.n_bytes)
+
+
+def keep_rows(docs: DataFrame, id_col: str, text_col: str, verdicts: DataFrame) -> DataFrame:
+    """The documents that stay, with all their columns and no others.
+
+    verdicts: id, check, n_bytes, copies, kept, a row per key. Few dropped keys are broadcast, so that
+    texts stay where they are. Of a repeated row that is kept, one occurrence stays.
+    """
+    verdicts = staged(verdicts.select("id", "check", "n_bytes", "copies", "kept"), "verdicts")
+    gone, twice = verdicts.filter("NOT kept"), verdicts.filter("kept AND copies > 1")
+    sizes = verdicts.agg(F.count_if(~F.col("kept")).alias("gone"), F.count_if(F.col("kept") & (F.col("copies") > 1)).alias("twice")).first()
+
+    def side(keys: DataFrame, n: int) -> DataFrame:
+        return F.broadcast(keys) if n <= BROADCAST_KEYS else keys
+
+    rows = docs.select(F.struct("*").alias("row"), *row_key(id_col, text_col))
+    left = rows.join(side(gone, sizes.gone), _same(rows, gone), "left_anti") if sizes.gone else rows
+    if not sizes.twice:
+        return left.select("row.*")
+    one = left.join(side(twice, sizes.twice), _same(left, twice), "left_semi").groupBy("id", "check", "n_bytes").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    rest = left.join(side(twice, sizes.twice), _same(left, twice), "left_anti")
+    return rest.select("row.*").unionByName(one.select("row.*"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import per_text, staged
+from .shared import keep_rows, per_text, row_key, staged
 
 BITS, BLOCKS, DISTANCE = 64, 4, 2
 #: Up to this many nodes, a bucket's pairs are compared one by one.
@@ -73,6 +73,18 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row per document: id, check, n_bytes, fp, and first, the (no_id, id, check, n_bytes) of its component's first document."""
+    rows = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
+    key = ["id", "check", "n_bytes"]
+    prints = staged(per_text(rows, "text", key, lambda: lambda texts: [[fingerprint(t) for t in texts]], "fp long"), "fingerprints")
+    nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), *key)).alias("least"))
+    roots = components(links(nodes.select("fp")))
+    linked = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = linked.groupBy("root").agg(F.min("least").alias("first"))
+    return prints.join(linked.join(least, "root").select("fp", "first"), "fp")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, fingerprint (16 hex digits), component_id.
 
@@ -82,11 +94,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     it has no other. Repeated rows give repeated rows; an empty table gives an empty result; other
     columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    prints = staged(per_text(rows, "text", ["id"], lambda: lambda texts: [[fingerprint(t) for t in texts]], "fp long"), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(nodes.select("fp")))
-    linked = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = linked.join(least, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = groups(docs, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The document with the smallest id of each component, with all its columns.
+
+    Of documents with the same id in one component the one with the smallest text hash stays, of
+    repeated rows one occurrence.
+    """
+    found = groups(docs, id_col, text_col).groupBy("id", "check", "n_bytes").agg(F.count("*").alias("copies"), F.min("first").alias("first"))
+    mine = F.struct(F.col("id").isNull().alias("no_id"), "id", "check", "n_bytes")
+    return keep_rows(docs, id_col, text_col, found.withColumn("kept", mine.eqNullSafe(F.col("first"))))
