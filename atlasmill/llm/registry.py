@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .html_text import main_text
+from .line_dedup import dedup_lines
 from .mixing import mix
 from .ogg import media_columns
 from .quality import classify
@@ -53,6 +54,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(read(spark, sf_dir, "documents"))
+    return found.withColumn("text_sha256", F.sha2("text", 256)).drop("text")
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(read(spark, sf_dir, "pages"))
 
