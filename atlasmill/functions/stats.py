@@ -49,10 +49,6 @@ def value_ranks(df: DataFrame, value: str, by: list[str] | None = None, ranges:
     return summed.select(*by, value, "ties", first.alias("first_rank"), (first + (F.col("ties") - 1) / 2).alias("mean_rank"))
 
 
-def _null_safe(df: DataFrame, table: DataFrame, value: str, by: list[str]) -> DataFrame:
-    return df.join(F.broadcast(table) if not by else table, [*by, value], "left")
-
-
 def percent_rank_of(df: DataFrame, value: str, to: str, ranges: int = 1) -> DataFrame:
     """Adds `to`: mean rank / number of non-null values x 100; null for null."""
     n = df.agg(F.count(value).alias("__n"))
@@ -67,6 +63,20 @@ def percentile_of(df: DataFrame, value: str, to: str, ranges: int = 1) -> DataFr
     return ranked.withColumn(to, F.when(F.col("__n") > 1, (F.col("mean_rank") - 1) / (F.col("__n") - 1) * 100)).drop("mean_rank", "__n")
 
 
+def ranks_of(df: DataFrame, key: str, columns: dict[str, Column], scale: str, ranges: int = 1) -> DataFrame:
+    """(key, each name): ranks of several columns in one pass, by component; null stays null.
+
+    scale="percent": mean rank / number of non-null values x 100. scale="percentile": (mean rank - 1)
+    / (number of rows, nulls included, - 1) x 100.
+    """
+    rows = df.select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("value")) for n, c in columns.items()])).alias("r")).select(key, "r.name", "r.value")
+    sizes = rows.groupBy("name").agg(F.count("value").alias("filled"), F.count("*").alias("rows"))
+    mean = value_ranks(rows, "value", ["name"], ranges).select("name", "value", "mean_rank")
+    share = F.col("mean_rank") / F.col("filled") * 100 if scale == "percent" else F.when(F.col("rows") > 1, (F.col("mean_rank") - 1) / (F.col("rows") - 1) * 100)
+    ranked = rows.join(mean, ["name", "value"], "left").join(F.broadcast(sizes), "name").withColumn("share", share)
+    return ranked.groupBy(key).agg(*[F.max(F.when(F.col("name") == n, F.col("share"))).alias(n) for n in columns])
+
+
 def descending_rank(df: DataFrame, value: str, to: str, ties: str = "min", by: list[str] | None = None, ranges: int = 1) -> DataFrame:
     """Adds `to`: rank by falling value; ties="min", or "average" (truncated to an integer)."""
     by = by or []

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import descending_rank, min_max, percent_rank_of, percentile_of, spearman
+from ..functions.stats import descending_rank, min_max, ranks_of
+from ..sources.staging import staged
 
 # The priority index's weights and its components' sources, turned so that more is worse.
 WEIGHTS = {"d1": 0.30, "d2": 0.25, "d3": 0.25, "d4": 0.20}
@@ -25,14 +26,17 @@ def composed(weights: dict[str, float], prefix: str = "n_") -> Column:
     return _sum([F.col(prefix + c) * float(w) for c, w in weights.items() if w])
 
 
-def priority_index(units: DataFrame) -> DataFrame:
-    """Adds n_d1..n_d4 (0-100), r_d1..r_d4 (percent ranks), score, rank_score and rank (mean ranks truncated)."""
-    t = units.withColumns({c: F.col(s) * sign for c, (s, sign) in SOURCES.items()})
-    t = min_max(t, {c: f"n_{c}" for c in COMPONENTS})
-    for c in COMPONENTS:
-        t = percent_rank_of(t, c, f"r_{c}")
-    t = t.withColumns({"score": composed(WEIGHTS), "rank_score": composed(WEIGHTS, "r_")})
-    return descending_rank(t, "score", "rank", "average").drop(*COMPONENTS)
+def priority_index(units: DataFrame, key: str) -> DataFrame:
+    """Adds n_d1..n_d4 (0-100), r_d1..r_d4 (percent ranks), score, rank_score and rank (mean ranks truncated). `key` names a unit.
+
+    The units, which several grouped passes read, are written once.
+    """
+    units = staged(units, "units")
+    turned = {c: F.col(s) * sign for c, (s, sign) in SOURCES.items()}
+    t = min_max(units.withColumns(turned), {c: f"n_{c}" for c in COMPONENTS})
+    t = t.join(ranks_of(units, key, {f"r_{c}": v for c, v in turned.items()}, "percent"), key)
+    t = staged(t.withColumns({"score": composed(WEIGHTS), "rank_score": composed(WEIGHTS, "r_")}).drop(*COMPONENTS), "scores")
+    return staged(descending_rank(t, "score", "rank", "average"), "index")
 
 
 def variants() -> dict[str, tuple[dict[str, float], str]]:
@@ -117,17 +121,11 @@ def breakdown(indexed: DataFrame, key: str) -> DataFrame:
 GAP_PARTS = {"r1": ("distance_km", 1), "r2": ("witness_density", -1), "r3": ("n_operators", -1), "r4": ("log_density", -1)}
 
 
-def gap_index(zones: DataFrame, parts: tuple[str, ...] = tuple(GAP_PARTS)) -> DataFrame:
-    """Adds r1..r4 (percentiles), risk (their mean), risk_rank and class: high from the 90th percentile on or without witness, watch from the 75th on."""
-    t = zones.withColumn("log_density", F.log10("density"))
-    for p in parts:
-        source, sign = GAP_PARTS[p]
-        t = percentile_of(t.withColumn("__v", F.col(source) * sign), "__v", p).drop("__v")
-    t = t.withColumn("risk", _sum([F.col(p) for p in parts]) / len(parts))
-    t = descending_rank(t, "risk", "risk_rank")
+def gap_index(zones: DataFrame, key: str, parts: tuple[str, ...] = tuple(GAP_PARTS)) -> DataFrame:
+    """Adds the parts (percentiles), risk (their mean), risk_rank and class: high from the 90th percentile on or without witness, watch from the 75th on."""
+    zones = staged(zones.withColumn("log_density", F.log10("density")), "zones")
+    ranked = ranks_of(zones, key, {p: F.col(GAP_PARTS[p][0]) * GAP_PARTS[p][1] for p in parts}, "percentile")
+    t = staged(zones.drop("log_density").join(ranked, key).withColumn("risk", _sum([F.col(p) for p in parts]) / len(parts)), "risks")
     cuts = t.agg(F.percentile("risk", F.lit(0.90)).alias("__p90"), F.percentile("risk", F.lit(0.75)).alias("__p75"))
     risk_class = F.when((F.col("risk") >= F.col("__p90")) | (F.col("witnesses") == 0), "high").when(F.col("risk") >= F.col("__p75"), "watch").otherwise("low")
-    return t.crossJoin(F.broadcast(cuts)).withColumn("class", risk_class).drop("__p90", "__p75", "log_density")
-
-
-__all__ = ["breakdown", "compared", "composed", "drawn_weights", "gap_index", "priority_index", "reweighted", "robust", "sensitivity", "spearman", "variant_scores"]
+    return staged(descending_rank(t, "risk", "risk_rank").crossJoin(F.broadcast(cuts)).withColumn("class", risk_class).drop("__p90", "__p75"), "gaps")

@@ -59,7 +59,7 @@ def spatial_agreement(spark: SparkSession, d: str) -> DataFrame:
     return every.agg(F.count("*").alias("n"), F.count("pcode").alias("attached"), F.round(F.count("pcode") / F.count("*"), 6).alias("attached_share"), F.round(agreement(every, "level2", "found2"), 6).alias("agreement"))
 
 
-@query(SQL_PIP + """c AS (SELECT pcode, level2, count(*) AS n FROM pz GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY pcode) AS total, row_number() OVER (PARTITION BY pcode ORDER BY n DESC, level2) AS k FROM c)
+@query(SQL_PIP + """, c AS (SELECT pcode, level2, count(*) AS n FROM pz GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY pcode) AS total, row_number() OVER (PARTITION BY pcode ORDER BY n DESC, level2) AS k FROM c)
 SELECT pcode, t.level2, coalesce(n, 0) AS votes, coalesce(total, 0)::BIGINT AS total, round(n / total, 6) AS confidence, CASE WHEN n / total >= 0.8 THEN 'sure' WHEN n > 0 THEN 'split' ELSE 'none' END AS status
 FROM zn LEFT JOIN (SELECT * FROM t WHERE k = 1) t USING (pcode)""")
 def zone_vote(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +111,7 @@ def zone_distances(spark: SparkSession, d: str) -> DataFrame:
 _MX, _MY = X.sql_projected(f"((x0 + {X.CELL_W // X.PARTS // 2}) / 1e6)", f"((y0 + {X.CELL_H // X.PARTS // 2}) / 1e6)")
 SQL_ZD = f"""act AS (SELECT * FROM br WHERE active),
 zc AS MATERIALIZED (SELECT pcode, k2, level2, round(area_sqkm, 6) AS area_sqkm, {_MX} AS mx, {_MY} AS my FROM za),
-zd AS MATERIALIZED (SELECT pcode, k2, level2, area_sqkm, min(sqrt((mx - b.x) * (mx - b.x) + (my - b.y) * (my - b.y))) / 1000 AS dist_km FROM zc CROSS JOIN act b GROUP BY 1, 2, 3, 4),
+zd AS MATERIALIZED (SELECT pcode, zc.k2, zc.level2, area_sqkm, min(sqrt((mx - b.x) * (mx - b.x) + (my - b.y) * (my - b.y))) / 1000 AS dist_km FROM zc CROSS JOIN act b GROUP BY 1, 2, 3, 4),
 wm AS MATERIALIZED (SELECT level2, k2, min(dist_km) FILTER (share >= 0.5) AS median_km FROM
      (SELECT *, sum(w) OVER (PARTITION BY level2 ORDER BY dist_km) / sum(w) OVER (PARTITION BY level2) AS share FROM (SELECT level2, k2, dist_km, sum(area_sqkm) AS w FROM zd GROUP BY 1, 2, 3)) GROUP BY 1, 2)
 """
@@ -146,7 +146,7 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
   floor(least(min(y_0), min(y_1), min(y_2), min(y_3)) / {STEP}) * {STEP} AS by0, floor(greatest(max(y_0), max(y_1), max(y_2), max(y_3)) / {STEP}) * {STEP} AS by1 FROM za),
 g AS (SELECT bx0 + i * {STEP} AS x, by0 + j * {STEP} AS y FROM b, range(400) r(i), range(400) s(j) WHERE bx0 + i * {STEP} <= bx1 AND by0 + j * {STEP} <= by1),
 e AS (SELECT pcode, area_sqkm, [[x_0, y_0, x_1, y_1], [x_1, y_1, x_2, y_2], [x_2, y_2, x_3, y_3], [x_3, y_3, x_0, y_0]] AS es, least(x_0, x_3) AS a, greatest(x_1, x_2) AS c, least(y_0, y_1) AS f, greatest(y_2, y_3) AS h FROM za),
-ins AS MATERIALIZED (SELECT pcode, area_sqkm, x, y FROM g JOIN e ON x BETWEEN a AND c AND y BETWEEN f AND h WHERE len(list_filter(es, k -> ((k[2] > y) <> (k[4] > y)) AND x < k[1] + (k[3] - k[1]) * (y - k[2]) / nullif(k[4] - k[2], 0))) % 2 = 1),
+ins AS MATERIALIZED (SELECT pcode, area_sqkm, x, y FROM g JOIN e ON x BETWEEN a AND c AND y BETWEEN f AND h WHERE len(list_filter(es, lambda k: ((k[2] > y) <> (k[4] > y)) AND x < k[1] + (k[3] - k[1]) * (y - k[2]) / nullif(k[4] - k[2], 0))) % 2 = 1),
 nn AS (SELECT pcode, i.x, i.y, min(sqrt((i.x - p.x) * (i.x - p.x) + (i.y - p.y) * (i.y - p.y))) / 1000 AS dist FROM ins i CROSS JOIN pts p GROUP BY 1, 2, 3)
 SELECT pcode, count(*) AS n_cells, round(avg((dist > 10)::INT), 6) AS void_share, round(avg(dist), 6) AS mean_km, round(max(dist), 6) AS max_km FROM nn GROUP BY 1""")
 def void_grid(spark: SparkSession, d: str) -> DataFrame:

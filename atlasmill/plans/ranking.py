@@ -24,7 +24,7 @@ def units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def indexed(spark: SparkSession, d: str) -> DataFrame:
-    return I.priority_index(units(spark, d))
+    return I.priority_index(units(spark, d), "level2")
 
 
 SQL_UNITS = SQL_IND2 + "," + SQL_ZD + ", un AS MATERIALIZED (SELECT ind2.*, median_km AS distance_km FROM ind2 LEFT JOIN wm USING (level2))\n"
@@ -49,11 +49,11 @@ def _sql_weights(w: dict[str, float], prefix: str) -> str:
 
 SQL_VARIANTS = ", vs AS (" + " UNION ALL ".join(f"SELECT '{n}' AS variant, level2, score AS reference, {_sql_weights(w, p)} AS value FROM ix WHERE score IS NOT NULL" for n, (w, p) in I.variants().items()) + """),
 vr AS (SELECT variant, rank() OVER (PARTITION BY variant ORDER BY reference) + (count(*) OVER (PARTITION BY variant, reference) - 1) / 2 AS a, rank() OVER (PARTITION BY variant ORDER BY value) + (count(*) OVER (PARTITION BY variant, value) - 1) / 2 AS b,
- row_number() OVER (PARTITION BY variant ORDER BY reference DESC, level2) <= 10 AND row_number() OVER (PARTITION BY variant ORDER BY value DESC, level2) <= 10 AS both FROM vs)
+ row_number() OVER (PARTITION BY variant ORDER BY reference DESC, level2) <= 10 AND row_number() OVER (PARTITION BY variant ORDER BY value DESC, level2) <= 10 AS in_both FROM vs)
 """
 
 
-@query(SQL_INDEX + SQL_VARIANTS + "SELECT variant, round(corr(a, b), 6) AS spearman, count(*) FILTER (both) AS kept FROM vr GROUP BY 1")
+@query(SQL_INDEX + SQL_VARIANTS + "SELECT variant, round(corr(a, b), 6) AS spearman, count(*) FILTER (in_both) AS kept FROM vr GROUP BY 1")
 def priority_variants(spark: SparkSession, d: str) -> DataFrame:
     scores = I.variant_scores(indexed(spark, d).filter("score IS NOT NULL"), "level2")
     return rounded(I.compared(scores, "variant", "level2", 10), ("spearman",))
@@ -120,7 +120,7 @@ def _sql_gap(operator: str | None = None) -> str:
     s = "o" if operator else ""
     return f"""se{s} AS (SELECT pcode, count(*) AS witnesses, count(*) FILTER (contains(operators, 'OpA')) AS wa, count(*) FILTER (contains(operators, 'OpB')) AS wb FROM pz {have} GROUP BY 1),
 dz{s} AS (SELECT pcode, min(sqrt((mx - b.x) * (mx - b.x) + (my - b.y) * (my - b.y))) / 1000 AS distance_km FROM zc CROSS JOIN (SELECT * FROM act {act}) b GROUP BY 1),
-gz{s} AS (SELECT pcode, zc.level2, area_sqkm, distance_km, coalesce(witnesses, 0) AS witnesses, coalesce(witnesses, 0) / area_sqkm * 100 AS witness_density, (coalesce(wa, 0) > 0)::INT + (coalesce(wb, 0) > 0)::INT AS n_operators, density
+gz{s} AS (SELECT zc.pcode, zc.level2, area_sqkm, distance_km, coalesce(witnesses, 0) AS witnesses, coalesce(witnesses, 0) / area_sqkm * 100 AS witness_density, (coalesce(wa, 0) > 0)::INT + (coalesce(wb, 0) > 0)::INT AS n_operators, density
   FROM zc JOIN dz{s} USING (pcode) LEFT JOIN se{s} USING (pcode) JOIN (SELECT level2, density FROM ind2) i ON i.level2 = zc.level2),
 gr{s} AS (SELECT *, {', '.join(pct.format(c=src[p], n=p) for p in parts)} FROM gz{s}),
 gs0{s} AS (SELECT *, ({sums}) / {len(parts)} AS risk FROM gr{s}), ct{s} AS (SELECT quantile_cont(risk, 0.9) AS p90, quantile_cont(risk, 0.75) AS p75 FROM gs0{s}),
@@ -134,28 +134,28 @@ _GAP_COLS = ("distance_km", "witness_density", "r1", "r2", "r3", "r4", "risk")
 
 @query(SQL_GAP + f"SELECT pcode, witnesses, n_operators, risk_rank, class, {', '.join(f'round({c}, 6) AS {c}' for c in _GAP_COLS)} FROM gp")
 def coverage_gap(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(I.gap_index(gap_zones(spark, d)), _GAP_COLS).select("pcode", "witnesses", "n_operators", "risk_rank", "class", *_GAP_COLS)
+    return rounded(I.gap_index(gap_zones(spark, d), "pcode"), _GAP_COLS).select("pcode", "witnesses", "n_operators", "risk_rank", "class", *_GAP_COLS)
 
 
 @query(SQL_GAP + "," + _sql_gap("OpA") + "SELECT o.pcode, round(o.risk, 6) AS risk, o.class, o.class = 'high' AND g.class <> 'high' AS only_here FROM gpo o JOIN gp g USING (pcode)")
 def coverage_gap_operator(spark: SparkSession, d: str) -> DataFrame:
     """The gap index of one operator, without the number of operators, and zones at risk for it alone."""
-    own = I.gap_index(gap_zones(spark, d, "OpA"), ("r1", "r2", "r4")).select("pcode", F.round("risk", 6).alias("risk"), "class")
-    every = I.gap_index(gap_zones(spark, d)).select("pcode", F.col("class").alias("overall"))
+    own = I.gap_index(gap_zones(spark, d, "OpA"), "pcode", ("r1", "r2", "r4")).select("pcode", F.round("risk", 6).alias("risk"), "class")
+    every = I.gap_index(gap_zones(spark, d), "pcode").select("pcode", F.col("class").alias("overall"))
     return own.join(every, "pcode").select("pcode", "risk", "class", ((F.col("class") == "high") & (F.col("overall") != "high")).alias("only_here"))
 
 
 @query(SQL_GAP + "," + _sql_draws(4, 1, 20220) + ", dr AS (SELECT draw, pcode, round(w0 * r1 + w1 * r2 + w2 * r3 + w3 * r4, 9) AS value FROM ws, gp)," + _RANKED.format(key="pcode", k=40))
 def gap_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     draws = I.drawn_weights(spark, DRAWS, 4, 1, 20220)
-    return rounded(I.sensitivity(I.gap_index(gap_zones(spark, d)), "pcode", ["r1", "r2", "r3", "r4"], draws, 40), ("frequency",))
+    return rounded(I.sensitivity(I.gap_index(gap_zones(spark, d), "pcode"), "pcode", ["r1", "r2", "r3", "r4"], draws, 40), ("frequency",))
 
 
 @query(SQL_GAP + ", hz AS (SELECT level2, count(*) FILTER (class = 'high') AS high_zones, round(sum(CASE WHEN class = 'high' THEN area_sqkm ELSE 0 END) / sum(area_sqkm), 6) AS high_area_share FROM gp GROUP BY 1) SELECT * FROM hz WHERE high_zones > 0 ORDER BY high_zones DESC, level2 LIMIT 5")
 def gap_hotspots(spark: SparkSession, d: str) -> DataFrame:
     """The units with most high-risk zones, and the share of their area in them."""
     high = F.col("class") == "high"
-    by_unit = I.gap_index(gap_zones(spark, d)).groupBy("level2").agg(F.count_if(high).alias("high_zones"), F.round(F.sum(F.when(high, F.col("area_sqkm")).otherwise(0.0)) / F.sum("area_sqkm"), 6).alias("high_area_share"))
+    by_unit = I.gap_index(gap_zones(spark, d), "pcode").groupBy("level2").agg(F.count_if(high).alias("high_zones"), F.round(F.sum(F.when(high, F.col("area_sqkm")).otherwise(0.0)) / F.sum("area_sqkm"), 6).alias("high_area_share"))
     return by_unit.filter("high_zones > 0").orderBy(F.desc("high_zones"), "level2").limit(5)
 
 
