@@ -165,8 +165,8 @@ def _decided(rows: DataFrame, plan: DataFrame) -> DataFrame:
     group = ["source", "no_source", "size"]
     sizes = plan.agg(F.count("*").alias("n"), F.count_if(F.col("last") < F.col("tied")).alias("ties")).first()
     joined = rows.join(side(plan, sizes.n), group)
-    more = F.when(F.col("size") == 0, 0).when(F.col("selected") == F.col("docs"), 1).when(F.col("at") < F.col("upto"), 1).when((F.col("at") == F.col("upto")) & (F.col("last") == F.col("tied")), 1).otherwise(0)
-    out = joined.withColumn("times", F.col("whole") + more)
+    more = F.when(F.col("selected") == F.col("docs"), 1).when(F.col("at") < F.col("upto"), 1).when((F.col("at") == F.col("upto")) & (F.col("last") == F.col("tied")), 1).otherwise(0)
+    out = joined.withColumn("times", F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + more))
     if sizes.ties:  # repeated rows of which some are taken: any of them will do
         tied = (F.col("at") == F.col("upto")) & (F.col("last") < F.col("tied"))
         some = out.filter(tied).withColumn("nth", F.row_number().over(Window.partitionBy(*group, "at").orderBy("at")))
@@ -191,7 +191,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3, seed: int = 17) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with all its columns and no others. Texts are not shuffled."""
+    """The mix itself: each document as often as it is taken, with all its columns and no others; documents without words are left out. Texts are not shuffled."""
     place = _place(id_col, text_col, source_col, seed)
     plan = mix_plan(staged(docs.select(*place), "sizes"), weights, max_repeats)
     rows = docs.select(F.struct("*").alias("row"), *place)
