@@ -4,9 +4,10 @@ A line is its set of words. Words are ordered by rarity (counts over all documen
 fixed size; equal counts by hash), so lines with Jaccard similarity `threshold` or more share one of
 the first words of each: the prefix. Only prefixes are shuffled, by word. Where a word's lines meet,
 in document order, a line is held against the earlier ones: by length, by the word's positions, and
-by a bitmap of the words, all of which keep every true pair. Each line's earliest candidate is then
-verified on the whole sets. Lines that it does not settle, though others may match, are held against
-all their partners in a second join, over their words only. A line goes if any earlier line matches.
+by a parity sketch of the words, all of which keep every true pair. Each line's earliest candidate
+is then verified: equal sets by a 128-bit digest, others on the whole sets. Lines that it does not
+settle, though others may match, are held against all their partners in a second join, over their
+words only. A line goes if any earlier line matches.
 
 Whole lines are never shuffled, but for the sets of candidates; what a pass needs to find again it
 makes again from the texts, behind a bitmap of bounded size.
@@ -18,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import row_key, staged, text_or_empty
+from .shared import parts, row_key, staged, text_or_empty
 
 THRESHOLD = 0.8
 #: Lines with fewer distinct words always stay.
@@ -31,66 +33,87 @@ LEAST_WORDS = 5
 COUNTERS = 1 << 18
 #: In groups of up to so many lines every earlier line is looked at together; larger ones are walked through in blocks.
 SMALL = 32
+BLOCK = 64
 #: Bits of a bitmap that goes to every task, at most (16 MB).
 MOST_BITS = 1 << 27
 _CHUNK = 32768
-_WORDS_AT_ONCE = 400_000
-
-
-class Words:
-    """Hashes of words, remembered within a task."""
-
-    def __init__(self, most: int = 500_000):
-        self.most, self.known, self.hashes = most, {}, []
-
-    def of(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > self.most:
-            self.known, self.hashes = {}, []
-        known = self.known
-        for w in dict.fromkeys(words):
-            if w not in known:
-                known[w] = len(self.hashes)
-                self.hashes.append(xxhash.xxh64_intdigest(w.encode()))
-        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        return np.array(self.hashes, np.uint64)[at]
-
-
-def _lines(ids: list, texts: list[str], least: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
-    """Words of many lines at a time: (words, words in each line, the lines' ids, their numbers). Lines that are too short are left out."""
-    words, sizes, owner, number = [], [], [], []
-    for i, text in zip(ids, texts, strict=True):
-        for k, line in enumerate(text.split("\n")):
-            own = line.split()
-            if len(own) >= least:
-                words += own
-                sizes.append(len(own))
-                owner.append(i)
-                number.append(k)
-        if len(words) >= _WORDS_AT_ONCE:
-            yield words, np.array(sizes), np.array(owner, np.int64), np.array(number, np.int64)
-            words, sizes, owner, number = [], [], [], []
-    if words:
-        yield words, np.array(sizes), np.array(owner, np.int64), np.array(number, np.int64)
+#: Prefix rows that are looked at together.
+ROWS_AT_ONCE = 200_000
+#: Removed lines up to so many bytes go to every task.
+BROADCAST_BYTES = 16 << 20
+
+
+class Lines:
+    """The words of many lines at once, numbered by an Arrow dictionary: runs without ASCII white space."""
+
+    def __init__(self, ids: np.ndarray, texts: pa.Array, least: int):
+        split = pc.split_pattern(texts, "\n")
+        n_lines = np.asarray(pc.list_value_length(split), np.int64)
+        words = pc.ascii_split_whitespace(split.flatten())
+        size = np.asarray(pc.list_value_length(words), np.int64)
+        coded = words.flatten().dictionary_encode()
+        self.words = coded.dictionary.to_pylist()
+        code, line = np.asarray(coded.indices, np.int64), np.repeat(np.arange(len(size)), size)
+        if "" in self.words:  # white space at a line's ends
+            real = code != self.words.index("")
+            code, line = code[real], line[real]
+            size = np.bincount(line, minlength=len(size))
+        long = size >= least
+        inside = long[line]
+        place = np.cumsum(long) - 1
+        self.code, self.line = code[inside], place[line[inside]]
+        self.ids = np.repeat(ids, n_lines)[long]
+        self.numbers = ranges_of(n_lines)[long]
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
+
+    def only(self, some: np.ndarray) -> Lines:
+        """Only the lines that are marked."""
+        inside = some[self.line]
+        place = np.cumsum(some) - 1
+        self.code, self.line = self.code[inside], place[self.line[inside]]
+        self.ids, self.numbers = self.ids[some], self.numbers[some]
+        return self
+
+
+def ranges_of(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each size, one after another."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[Lines]:
+    for batch in batches:
+        for part in parts(batch, "text"):
+            yield Lines(np.asarray(part.column("id"), np.int64), part.column("text"), least)
 
 
 class Sets:
     """The lines' sets of words, flat: hash by hash in the order of rarity, line after line."""
 
-    def __init__(self, hashes: np.ndarray, sizes: np.ndarray, counts: np.ndarray, least: int):
-        line = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.lexsort((hashes, counts[hashes % np.uint64(len(counts))], line))
-        line, token = line[order], hashes[order]
-        first = np.ones(len(line), bool)
-        first[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1])
-        line, token = line[first], token[first]
-        n = np.bincount(line, minlength=len(sizes))
-        self.lines = np.flatnonzero(n >= least)  # of the lines given, those with enough distinct words
-        stay = (n >= least)[line]
-        self.token, self.n = token[stay], n[self.lines]
+    def __init__(self, of: Lines, counts: np.ndarray, least: int):
+        order = np.lexsort((of.hashes, counts[of.hashes % np.uint64(len(counts))]))
+        place = np.zeros(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        key = np.sort(of.line << 32 | place[of.code])
+        key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+        line = key >> 32
+        n = np.bincount(line, minlength=len(of.ids))
+        stay = n >= least  # enough distinct words
+        self.token, self.n = of.hashes[order[key[stay[line]] & 0xFFFFFFFF]], n[stay]
+        self.ids, self.numbers = of.ids[stay], of.numbers[stay]
         self.start = np.cumsum(self.n) - self.n
 
-    def signatures(self) -> np.ndarray:
-        return np.bitwise_or.reduceat(np.uint64(1) << (self.token >> np.uint64(58)), self.start) if len(self.n) else np.zeros(0, np.uint64)
+    def sketches(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 parities of the words by hash: what differs between two sketches differs between the sets."""
+        bit = self.token >> np.uint64(57)
+        one = np.uint64(1) << (bit & np.uint64(63))
+        return tuple(np.bitwise_xor.reduceat(np.where(half, one, np.uint64(0)), self.start) if len(self.n) else np.zeros(0, np.uint64) for half in (bit < 64, bit >= 64))
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits that depend on the set only."""
+        if not len(self.n):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        with np.errstate(over="ignore"):
+            return np.add.reduceat(self.token, self.start), np.add.reduceat(_mixed(self.token), self.start)
 
 
 def least_overlap(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
@@ -102,17 +125,12 @@ def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
-def may_match(n, p, s, m, q, t, threshold: float) -> np.ndarray:
-    """Whether sets of sizes n and m with a common word at positions p and q and bitmaps s and t may reach the threshold."""
+def may_match(n, p, m, q, differ, threshold: float) -> np.ndarray:
+    """Whether sets of sizes n and m with a common word at positions p and q, whose sketches differ in so many bits, may reach the threshold."""
     need = least_overlap(n, m, threshold)
-    common = np.minimum(p, q) + 1 + np.minimum(n - p, m - q) - 1
+    common = np.minimum(p, q) + np.minimum(n - p, m - q)
     exact = (p < 255) & (q < 255)  # positions are kept up to 255
-    return (
-        (np.minimum(n, m) >= np.ceil(threshold * np.maximum(n, m) - 1e-9))
-        & (~exact | (common >= need))
-        & (np.bitwise_count(s & ~t) <= n - need)
-        & (np.bitwise_count(t & ~s) <= m - need)
-    )
+    return (np.minimum(n, m) >= np.ceil(threshold * np.maximum(n, m) - 1e-9)) & (~exact | (common >= need)) & (differ <= n + m - 2 * need)
 
 
 def _mixed(*columns: np.ndarray) -> np.ndarray:
@@ -120,7 +138,7 @@ def _mixed(*columns: np.ndarray) -> np.ndarray:
     h = np.zeros(len(columns[0]), np.uint64)
     with np.errstate(over="ignore"):
         for c in columns:
-            h = (h ^ c.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ c.astype(np.int64, copy=False).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             h ^= h >> np.uint64(32)
     return h
@@ -159,10 +177,10 @@ def count_words(docs: DataFrame, least: int) -> np.ndarray:
     step = COUNTERS // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, words = np.zeros(COUNTERS, np.int64), Words()
-        for b in batches:
-            for own, *_ in _lines(b.column("id").to_pylist(), b.column("text").to_pylist(), least):
-                counts += np.bincount((words.of(own) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        counts = np.zeros(COUNTERS, np.int64)
+        for of in _lines(batches, least):
+            n = np.bincount(of.code, minlength=len(of.hashes))
+            counts += np.bincount((of.hashes % np.uint64(COUNTERS)).astype(np.int64), weights=n, minlength=COUNTERS).astype(np.int64)
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(64), pa.int32()), "counts": [counts[k * step : (k + 1) * step].tobytes() for k in range(64)]})
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
@@ -180,145 +198,171 @@ def count_words(docs: DataFrame, least: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, counts, threshold: float, least: int, lines: Bitmap | None = None, tokens: Bitmap | None = None) -> DataFrame:
-    """(token, id, at, sig) for each word of each line's prefix. at: line number, size and position; only lines or tokens of the bitmaps."""
+    """(token, id, at, s0, s1) for each word of each line's prefix. at: line number, size and position; s0, s1: the sketch. Only lines or tokens of the bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for b in batches:
-            for own, sizes, ids, numbers in _lines(b.column("id").to_pylist(), b.column("text").to_pylist(), least):
-                sets = Sets(words.of(own), sizes, counts.value, least)
-                ids, numbers, n, sig = ids[sets.lines], numbers[sets.lines], sets.n, sets.signatures()
-                take = prefix_length(n, threshold)
-                if lines is not None:
-                    take = np.where(lines.has(ids, numbers), take, 0)
-                row = np.repeat(np.arange(len(n)), take)
-                pos = np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)
-                token = sets.token[sets.start[row] + pos].view(np.int64)
-                if tokens is not None:
-                    ok = tokens.has(token)
-                    row, pos, token = row[ok], pos[ok], token[ok]
-                at = numbers[row] << 36 | n[row] << 8 | np.minimum(pos, 255)
-                yield pa.RecordBatch.from_pydict({"token": token, "id": ids[row], "at": at, "sig": sig[row].view(np.int64)})
-
-    return docs.mapInArrow(run, "token long, id long, at long, sig long")
+        for of in _lines(batches, least):
+            if lines is not None:
+                of = of.only(lines.has(of.ids, of.numbers))
+            sets = Sets(of, counts.value, least)
+            n, sketch = sets.n, sets.sketches()
+            take = prefix_length(n, threshold)
+            row, pos = np.repeat(np.arange(len(n)), take), ranges_of(take)
+            token = sets.token[sets.start[row] + pos].view(np.int64)
+            if tokens is not None:
+                ok = tokens.has(token)
+                row, pos, token = row[ok], pos[ok], token[ok]
+            at = sets.numbers[row] << 36 | n[row] << 8 | np.minimum(pos, 255)
+            yield pa.RecordBatch.from_pydict({"token": token, "id": sets.ids[row], "at": at, "s0": sketch[0][row].view(np.int64), "s1": sketch[1][row].view(np.int64)})
+
+    return docs.mapInArrow(run, "token long, id long, at long, s0 long, s1 long")
 
 
 def _unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at >> 36, at >> 8 & (1 << 28) - 1, at & 255
 
 
-def _first_candidates(token: np.ndarray, doc: np.ndarray, at: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _first_candidates(token: np.ndarray, at: np.ndarray, s0: np.ndarray, s1: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For rows in order of (token, id, line): rows with a candidate, its row, and whether there are more."""
     _, n, pos = _unpacked(at)
-    sig = sig.view(np.uint64)
     start = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(token)))
     nth = np.arange(len(token)) - np.repeat(start, size)
-    group = np.repeat(size, size)
+    small = np.repeat(size <= SMALL, size)
     found, many = np.full(len(token), -1), np.zeros(len(token), bool)
 
-    def hold(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
-        return may_match(n[rows], pos[rows], sig[rows], n[others], pos[others], sig[others], threshold)
+    most = 1 - 2 * threshold / (1 + threshold)  # the sketches may differ in this share of both sizes at most
 
-    for back in range(1, min(SMALL, int(size.max(initial=1)))):
-        rows = np.flatnonzero((nth >= back) & (group <= SMALL))
+    def hold(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Which of the pairs may match: by the sketches first, which rule most of them out."""
+        differ = np.bitwise_count(s0[rows] ^ s0[others]).astype(np.int64) + np.bitwise_count(s1[rows] ^ s1[others])
+        near = np.flatnonzero(differ <= most * (n[rows] + n[others]) + 1e-6)
+        r, o = rows[near], others[near]
+        return near[may_match(n[r], pos[r], n[o], pos[o], differ[near], threshold)]
+
+    rows = np.flatnonzero(small & (nth >= 1))
+    for back in range(1, SMALL):
+        rows = rows[nth[rows] >= back]
         if not len(rows):
             break
-        rows = rows[hold(rows, rows - back)]
-        many[rows] |= found[rows] >= 0
-        found[rows] = rows - back  # the farthest is the earliest
+        hit = rows[hold(rows, rows - back)]
+        many[hit] |= found[hit] >= 0
+        found[hit] = hit - back  # the farthest is the earliest
     for a, g in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
         waiting = np.arange(a + 1, a + g)
-        for other in range(a, a + g - 1):
-            waiting = waiting[waiting > other]
+        for first in range(a, a + g - 1, BLOCK):
+            others = np.arange(first, min(first + BLOCK, a + g))
+            waiting = waiting[np.searchsorted(waiting, first, "right") :]
+            for k in range(0, len(waiting), 4096):
+                part = waiting[k : k + 4096]
+                differ = np.bitwise_count(s0[part][:, None] ^ s0[others]) + np.bitwise_count(s1[part][:, None] ^ s1[others])
+                near = (differ <= most * (n[part][:, None] + n[others]) + 1e-6) & (part[:, None] > others)
+                i, j = np.nonzero(near)  # by row, and from the earliest other on
+                ok = may_match(n[part[i]], pos[part[i]], n[others[j]], pos[others[j]], differ[i, j].astype(np.int64), threshold)
+                i, j = i[ok], j[ok]
+                if len(i):
+                    times = np.bincount(i, minlength=len(part))
+                    head = np.append(True, i[1:] != i[:-1])
+                    hit, other = part[i[head]], others[j[head]]
+                    many[hit] |= (found[hit] >= 0) | (times[i[head]] > 1)
+                    found[hit] = np.where(found[hit] < 0, other, found[hit])
+            waiting = waiting[~many[waiting]]
             if not len(waiting):
                 break
-            hit = waiting[hold(waiting, np.full(len(waiting), other))]
-            many[hit] |= found[hit] >= 0
-            found[hit] = np.where(found[hit] < 0, other, found[hit])
-            waiting = waiting[~many[waiting]]
     rows = np.flatnonzero(found >= 0)
     return rows, found[rows], many[rows]
 
 
 def candidates(rows: DataFrame, threshold: float) -> DataFrame:
     """(id, line, c_id, c_line, more): each prefix row's earliest candidate, if any."""
+    names = ("token", "id", "at", "s0", "s1")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
-
-        def made(columns: list[np.ndarray]) -> pa.RecordBatch:
-            token, doc, at, sig = columns
-            a, b, more = _first_candidates(token, doc, at, sig, threshold)
-            return pa.RecordBatch.from_pydict({"id": doc[a], "line": at[a] >> 36, "c_id": doc[b], "c_line": at[b] >> 36, "more": more})
+    def made(held_rows: list[list[np.ndarray]], upto: int | None) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+        columns = [np.concatenate(p) for p in zip(*held_rows, strict=True)]
+        last = len(columns[0]) if upto is None else int(np.searchsorted(columns[0], columns[0][-1]))
+        token, doc, at, s0, s1 = (c[:last] for c in columns)
+        a, b, more = _first_candidates(token, at, s0.view(np.uint64), s1.view(np.uint64), threshold)
+        out = pa.RecordBatch.from_pydict({"id": doc[a], "line": at[a] >> 36, "c_id": doc[b], "c_line": at[b] >> 36, "more": more})
+        return out, [c[last:] for c in columns]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, held = [], 0
         for b in batches:
-            columns = [np.concatenate([h, np.asarray(b.column(c))]) for h, c in zip(held, ("token", "id", "at", "sig"), strict=True)]
-            if not len(columns[0]):
-                continue
-            last = int(np.searchsorted(columns[0], columns[0][-1]))  # the last word's lines may go on in the next batch
-            yield made([c[:last] for c in columns])
-            held = [c[last:] for c in columns]
-        if len(held[0]):
-            yield made(held)
+            waiting.append([np.asarray(b.column(c)) for c in names])
+            held += b.num_rows
+            if held >= ROWS_AT_ONCE:  # the last word's lines may go on in the next batch
+                out, rest = made(waiting, -1)
+                waiting, held = [rest], 0
+                yield out
+        if waiting:
+            yield made(waiting, None)[0]
 
     return rows.repartition("token").sortWithinPartitions("token", "id", "at").mapInArrow(run, "id long, line long, c_id long, c_line long, more boolean")
 
 
-def line_sets(docs: DataFrame, counts, least: int, lines: Bitmap) -> DataFrame:
-    """(id, line, tokens) of the lines in the bitmap."""
+def line_sets(docs: DataFrame, counts, least: int, lines: Bitmap, whole: bool) -> DataFrame:
+    """(id, line, tokens) of the lines in the bitmap; (id, line, d0, d1), their digests, if not whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for b in batches:
-            for own, sizes, ids, numbers in _lines(b.column("id").to_pylist(), b.column("text").to_pylist(), least):
-                some = lines.has(ids, numbers)
-                if not some.any():
-                    continue
-                own = [w for w, ok in zip(own, np.repeat(some, sizes).tolist(), strict=True) if ok]
-                sets = Sets(words.of(own), sizes[some], counts.value, least)
+        for of in _lines(batches, least):
+            sets = Sets(of.only(lines.has(of.ids, of.numbers)), counts.value, least)
+            out = {"id": pa.array(sets.ids), "line": pa.array(sets.numbers)}
+            if whole:
                 offsets = np.append(sets.start, len(sets.token)).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.token.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some][sets.lines]), pa.array(numbers[some][sets.lines]), tokens], ["id", "line", "tokens"])
+                out["tokens"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.token.view(np.int64)))
+            else:
+                out |= {k: pa.array(v.view(np.int64)) for k, v in zip(("d0", "d1"), sets.digests(), strict=True)}
+            yield pa.RecordBatch.from_pydict(out)
+
+    return docs.mapInArrow(run, "id long, line long, " + ("tokens array<long>" if whole else "d0 long, d1 long"))
+
+
+_LINE, _OTHER = ["id", "line"], ["c_id", "c_line"]
+
 
-    return docs.mapInArrow(run, "id long, line long, tokens array<long>")
+def _with_both(docs: DataFrame, pairs: DataFrame, counts, least: int, whole: bool) -> DataFrame:
+    """Pairs (id, line, c_id, c_line) with both lines' columns of line_sets, the earlier line's as c_<name>."""
+    both = pairs.select(*_LINE).unionByName(pairs.select(F.col("c_id").alias("id"), F.col("c_line").alias("line")))
+    sets = staged(line_sets(docs, counts, least, Bitmap.of(both, 2 * pairs.count()), whole), "line-sets")
+    return pairs.join(sets, _LINE).join(sets.select(*[F.col(c).alias(f"c_{c}") for c in sets.columns]), _OTHER)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, counts, threshold: float, least: int) -> DataFrame:
     """The (id, line) of those pairs (id, line, c_id, c_line) whose sets reach the threshold."""
-    both = pairs.select("id", "line").unionByName(pairs.select(F.col("c_id").alias("id"), F.col("c_line").alias("line")))
-    sets = line_sets(docs, counts, least, Bitmap.of(both, 2 * pairs.count()))
-    one = pairs.join(sets, ["id", "line"])
-    other = sets.select(F.col("id").alias("c_id"), F.col("line").alias("c_line"), F.col("tokens").alias("c_tokens"))
     common = F.size(F.array_intersect("tokens", "c_tokens"))
-    joined = one.join(other, ["c_id", "c_line"])
-    return joined.filter(common >= F.lit(threshold) * (F.size("tokens") + F.size("c_tokens") - common) - F.lit(1e-9)).select("id", "line").distinct()
+    joined = _with_both(docs, pairs, counts, least, True)
+    return joined.filter(common >= F.lit(threshold) * (F.size("tokens") + F.size("c_tokens") - common) - F.lit(1e-9)).select(*_LINE).distinct()
 
 
 def matched_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
     """`docs` has unique ids (id long, text). (id, line) of the lines that an earlier line matches; lines count from 0."""
     counts = docs.sparkSession.sparkContext.broadcast(count_words(docs, least))
     found = candidates(prefixes(docs, counts, threshold, least), threshold)
-    best = F.min(F.struct("c_id", "c_line"))
-    first = staged(found.groupBy("id", "line").agg(best.alias("c"), (F.max("more") | (F.min(F.struct("c_id", "c_line")) != F.max(F.struct("c_id", "c_line")))).alias("more")).select("id", "line", "c.c_id", "c.c_line", "more"), "line-candidates")
-    sure = staged(verified(docs, first.select("id", "line", "c_id", "c_line"), counts, threshold, least), "line-matches")
-    left = staged(first.filter("more").select("id", "line").join(sure, ["id", "line"], "left_anti"), "lines-left")
+    ends = F.min(F.struct(*_OTHER)), F.max(F.struct(*_OTHER))
+    first = found.groupBy(*_LINE).agg(ends[0].alias("c"), (F.max("more") | (ends[0] != ends[1])).alias("more"))
+    first = staged(first.select(*_LINE, "c.c_id", "c.c_line", "more"), "line-candidates")
+    equal = (F.col("d0") == F.col("c_d0")) & (F.col("d1") == F.col("c_d1"))
+    held = staged(_with_both(docs, first, counts, least, False).select(*_LINE, *_OTHER, "more", equal.alias("equal")), "lines-held")
+    unequal = held.filter("NOT equal")
+    sure = held.filter("equal").select(*_LINE).unionByName(staged(verified(docs, unequal.select(*_LINE, *_OTHER), counts, threshold, least), "line-matches"))
+    left = staged(unequal.filter("more").select(*_LINE).join(sure, _LINE, "left_anti"), "lines-left")
     n = left.count()
     if not n:
         return sure
     # the lines left over, held against every earlier line that shares a word of their prefixes
-    mine = staged(prefixes(docs, counts, threshold, least, lines=Bitmap.of(left, n)).withColumn("line", F.shiftright("at", 36)).join(left, ["id", "line"], "left_semi"), "prefixes-left")
+    mine = staged(prefixes(docs, counts, threshold, least, lines=Bitmap.of(left, n)).withColumn("line", F.shiftright("at", 36)).join(left, _LINE, "left_semi"), "prefixes-left")
     theirs = prefixes(docs, counts, threshold, least, tokens=Bitmap.of(mine.select("token"), mine.count()))
-    other = theirs.select("token", F.col("id").alias("c_id"), F.col("at").alias("c_at"), F.col("sig").alias("c_sig"))
-    size, c_size = F.shiftright("at", 8).bitwiseAND(F.lit((1 << 28) - 1)), F.shiftright("c_at", 8).bitwiseAND(F.lit((1 << 28) - 1))
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (size + c_size) - F.lit(1e-9))
+    other = theirs.select("token", *[F.col(c).alias(f"c_{c}") for c in ("id", "at", "s0", "s1")])
+    size = lambda c: F.shiftright(c, 8).bitwiseAND(F.lit((1 << 28) - 1))
+    n, m = size("at"), size("c_at")
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (n + m) - F.lit(1e-9))
+    differ = F.bit_count(F.col("s0").bitwiseXOR(F.col("c_s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("c_s1")))
     pairs = (
         mine.join(other, "token")
         .withColumn("c_line", F.shiftright("c_at", 36))
         .filter((F.col("c_id") < F.col("id")) | (F.col("c_id") == F.col("id")) & (F.col("c_line") < F.col("line")))
-        .filter(F.least(size, c_size) >= F.ceil(F.lit(threshold) * F.greatest(size, c_size) - F.lit(1e-9)))
-        .filter((F.bit_count(F.col("sig").bitwiseAND(F.bitwise_not("c_sig"))) <= size - need) & (F.bit_count(F.col("c_sig").bitwiseAND(F.bitwise_not("sig"))) <= c_size - need))
-        .select("id", "line", "c_id", "c_line")
+        .filter((F.least(n, m) >= F.ceil(F.lit(threshold) * F.greatest(n, m) - F.lit(1e-9))) & (differ <= n + m - 2 * need))
+        .select(*_LINE, *_OTHER)
         .distinct()
     )
     return sure.unionByName(verified(docs, staged(pairs, "line-pairs"), counts, threshold, least)).distinct()
@@ -355,15 +399,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A line, that is what line feeds separate, is removed if an earlier line, in the order of id and
     then of place, has Jaccard similarity `threshold` or more to it; lines with fewer than `least`
-    distinct words stay. Null texts count as empty: one line, no words. Repeated rows (same id and
+    distinct words stay. Words are runs without ASCII white space. Null texts count as empty: one line, no words. Repeated rows (same id and
     text) are treated alike and count as one document. An empty table gives an empty result; other
     columns are ignored.
     """
-    gone = removed_lines(docs, id_col, text_col, threshold, least)
+    gone = staged(removed_lines(docs, id_col, text_col, threshold, least), "removed")
+    held = gone.agg(F.coalesce(F.sum(F.size("removed") * 4 + 40), F.lit(0))).first()[0]
     rows = docs.select(*row_key(id_col, text_col), text_or_empty(text_col).alias("text"))
     other = gone.select(F.col("id").alias("r_id"), F.col("check").alias("r_check"), F.col("n_bytes").alias("r_bytes"), F.col("removed").alias("gone"))
     same = rows.id.eqNullSafe(other.r_id) & F.coalesce(rows.check == other.r_check, F.lit(True)) & F.coalesce(rows.n_bytes == other.r_bytes, F.lit(True))
-    joined = rows.join(other, same, "left").withColumn("lines", F.split("text", "\n"))
+    joined = rows.join(F.broadcast(other) if held <= BROADCAST_BYTES else other, same, "left").withColumn("lines", F.split("text", "\n"))
     empty = F.array().cast("array<int>")
     kept = F.filter("lines", lambda x, k: ~F.array_contains(F.coalesce("gone", empty), k))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

@@ -61,7 +61,8 @@ _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string
 PART_BYTES = 4 << 20
 
 
-def _parts(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about PART_BYTES of text."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
     group = np.concatenate([[0], np.cumsum(sizes)[:-1]]) // PART_BYTES if len(sizes) else sizes
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
@@ -82,7 +83,7 @@ def per_text(docs: DataFrame, text_col: str, keep: list[str], start: Callable[[]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
-            for part in _parts(batch, "__text"):
+            for part in parts(batch, "__text"):
                 columns = work(part.column("__text").to_pylist())
                 arrays = [pa.array(c, f.type) for c, f in zip(columns, made, strict=True)]
                 kept = [n for n in part.schema.names if n != "__text"]
