@@ -52,10 +52,10 @@ class Lines:
         words = pc.ascii_split_whitespace(split.flatten())
         size = np.asarray(pc.list_value_length(words), np.int64)
         coded = words.flatten().dictionary_encode()
-        self.words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False)
         code, line = np.asarray(coded.indices, np.int64), np.repeat(np.arange(len(size)), size)
-        if "" in self.words:  # white space at a line's ends
-            real = code != self.words.index("")
+        if (empty := pc.index(coded.dictionary, "").as_py()) >= 0:  # white space at a line's ends
+            real = code != empty
             code, line = code[real], line[real]
             size = np.bincount(line, minlength=len(size))
         long = size >= least
@@ -64,7 +64,7 @@ class Lines:
         self.code, self.line = code[inside], place[line[inside]]
         self.ids = np.repeat(ids, n_lines)[long]
         self.numbers = ranges_of(n_lines)[long]
-        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
     def only(self, some: np.ndarray) -> Lines:
         """Only the lines that are marked."""
