@@ -1,13 +1,15 @@
 """Line dedup by an exact set-similarity join.
 
-A line is its set of words. Words are ordered by rarity (counts over all documents, in a table of
-fixed size; equal counts by hash), so lines with Jaccard similarity `threshold` or more share one of
-the first words of each: the prefix. Only prefixes are shuffled, by word. Where a word's lines meet,
-in document order, a line is held against the earlier ones: by length, by the word's positions, and
-by a parity sketch of the words, all of which keep every true pair. Each line's earliest candidate
-is then verified: equal sets by a 128-bit digest, others on the whole sets. Lines that it does not
-settle, though others may match, are held against all their partners in a second join, over their
-words only. A line goes if any earlier line matches.
+A line is its set of words. Equal sets are settled first, by the earliest line of each 128-bit
+digest; all later ones go. That is all there is to sets so small that one word more or less takes
+them below the threshold. Of the others the earliest lines are joined: words are ordered by rarity
+(counts over all documents, in a table of fixed size; equal counts by hash), so lines with Jaccard
+similarity `threshold` or more share one of the first words of each: the prefix. Only prefixes are
+shuffled, by word. Where a word's lines meet, in document order, a line is held against the earlier
+ones: by length, by the word's positions, and by a parity sketch of the words, all of which keep
+every true pair. Each line's earliest candidate is then verified on the whole sets. Lines that it
+does not settle, though others may match, are held against all their partners in a second join, over
+their words only. A line goes if any earlier line matches.
 
 Whole lines are never shuffled, but for the sets of candidates; what a pass needs to find again it
 makes again from the texts, behind a bitmap of bounded size.
@@ -15,6 +17,7 @@ makes again from the texts, behind a bitmap of bounded size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from .shared import parts, row_key, staged, text_or_empty
 
 THRESHOLD = 0.8
-#: Lines with fewer distinct words always stay.
+#: Lines with fewer distinct words always stay, where a caller names no other number.
 LEAST_WORDS = 5
 #: Words are counted by hash in so many counters.
 COUNTERS = 1 << 18
@@ -121,6 +124,11 @@ def least_overlap(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9).astype(np.int64)
 
 
+def least_joined(threshold: float) -> int:
+    """Words of the smallest set that may reach the threshold with another one than its equal."""
+    return math.ceil(threshold / max(1 - threshold, 1e-9) - 1e-9)
+
+
 def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
@@ -300,58 +308,68 @@ def candidates(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "id", "at").mapInArrow(run, "id long, line long, c_id long, c_line long, more boolean")
 
 
-def line_sets(docs: DataFrame, counts, least: int, lines: Bitmap, whole: bool) -> DataFrame:
-    """(id, line, tokens) of the lines in the bitmap; (id, line, d0, d1), their digests, if not whole."""
+def line_digests(docs: DataFrame, least: int, joined: int) -> DataFrame:
+    """(id, line, d0, d1, long): the digests of all lines; long: whether a set has `joined` words at least."""
+    unordered = np.zeros(1, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for of in _lines(batches, least):
-            sets = Sets(of.only(lines.has(of.ids, of.numbers)), counts.value, least)
-            out = {"id": pa.array(sets.ids), "line": pa.array(sets.numbers)}
-            if whole:
-                offsets = np.append(sets.start, len(sets.token)).astype(np.int32)
-                out["tokens"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.token.view(np.int64)))
-            else:
-                out |= {k: pa.array(v.view(np.int64)) for k, v in zip(("d0", "d1"), sets.digests(), strict=True)}
-            yield pa.RecordBatch.from_pydict(out)
+            sets = Sets(of, unordered, least)
+            d0, d1 = sets.digests()
+            yield pa.RecordBatch.from_pydict({"id": sets.ids, "line": sets.numbers, "d0": d0.view(np.int64), "d1": d1.view(np.int64), "long": sets.n >= joined})
 
-    return docs.mapInArrow(run, "id long, line long, " + ("tokens array<long>" if whole else "d0 long, d1 long"))
+    return docs.mapInArrow(run, "id long, line long, d0 long, d1 long, long boolean")
 
 
-_LINE, _OTHER = ["id", "line"], ["c_id", "c_line"]
+def line_sets(docs: DataFrame, counts, least: int, lines: Bitmap) -> DataFrame:
+    """(id, line, tokens) of the lines in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for of in _lines(batches, least):
+            sets = Sets(of.only(lines.has(of.ids, of.numbers)), counts.value, least)
+            offsets = np.append(sets.start, len(sets.token)).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.token.view(np.int64)))
+            yield pa.RecordBatch.from_pydict({"id": pa.array(sets.ids), "line": pa.array(sets.numbers), "tokens": tokens})
 
+    return docs.mapInArrow(run, "id long, line long, tokens array<long>")
 
-def _with_both(docs: DataFrame, pairs: DataFrame, counts, least: int, whole: bool) -> DataFrame:
-    """Pairs (id, line, c_id, c_line) with both lines' columns of line_sets, the earlier line's as c_<name>."""
-    both = pairs.select(*_LINE).unionByName(pairs.select(F.col("c_id").alias("id"), F.col("c_line").alias("line")))
-    sets = staged(line_sets(docs, counts, least, Bitmap.of(both, 2 * pairs.count()), whole), "line-sets")
-    return pairs.join(sets, _LINE).join(sets.select(*[F.col(c).alias(f"c_{c}") for c in sets.columns]), _OTHER)
+
+_LINE, _OTHER = ["id", "line"], ["c_id", "c_line"]
 
 
 def verified(docs: DataFrame, pairs: DataFrame, counts, threshold: float, least: int) -> DataFrame:
     """The (id, line) of those pairs (id, line, c_id, c_line) whose sets reach the threshold."""
+    both = pairs.select(*_LINE).unionByName(pairs.select(F.col("c_id").alias("id"), F.col("c_line").alias("line")))
+    sets = staged(line_sets(docs, counts, least, Bitmap.of(both, 2 * pairs.count())), "line-sets")
+    joined = pairs.join(sets, _LINE).join(sets.select(*[F.col(c).alias(f"c_{c}") for c in sets.columns]), _OTHER)
     common = F.size(F.array_intersect("tokens", "c_tokens"))
-    joined = _with_both(docs, pairs, counts, least, True)
     return joined.filter(common >= F.lit(threshold) * (F.size("tokens") + F.size("c_tokens") - common) - F.lit(1e-9)).select(*_LINE).distinct()
 
 
 def matched_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
     """`docs` has unique ids (id long, text). (id, line) of the lines that an earlier line matches; lines count from 0."""
-    counts = docs.sparkSession.sparkContext.broadcast(count_words(docs, least))
-    found = candidates(prefixes(docs, counts, threshold, least), threshold)
+    joined = max(least, least_joined(threshold))
+    every = staged(line_digests(docs, least, joined), "line-digests")
+    firsts = every.groupBy("d0", "d1", "long").agg(F.min(F.struct(*_LINE)).alias("first"))
+    firsts = staged(firsts.select("first.id", "first.line", "long"), "line-firsts")
+    copies = staged(every.select(*_LINE).join(firsts, _LINE, "left_anti"), "line-copies")
+    # the bitmap may let copies through: they match their first, and are left out again
+    some = firsts.filter("long").select(*_LINE)
+    kept = Bitmap.of(some, some.count())
+    counts = docs.sparkSession.sparkContext.broadcast(count_words(docs, joined))
+    found = candidates(prefixes(docs, counts, threshold, joined, lines=kept), threshold)
     ends = F.min(F.struct(*_OTHER)), F.max(F.struct(*_OTHER))
     first = found.groupBy(*_LINE).agg(ends[0].alias("c"), (F.max("more") | (ends[0] != ends[1])).alias("more"))
-    first = staged(first.select(*_LINE, "c.c_id", "c.c_line", "more"), "line-candidates")
-    equal = (F.col("d0") == F.col("c_d0")) & (F.col("d1") == F.col("c_d1"))
-    held = staged(_with_both(docs, first, counts, least, False).select(*_LINE, *_OTHER, "more", equal.alias("equal")), "lines-held")
-    unequal = held.filter("NOT equal")
-    sure = held.filter("equal").select(*_LINE).unionByName(staged(verified(docs, unequal.select(*_LINE, *_OTHER), counts, threshold, least), "line-matches"))
-    left = staged(unequal.filter("more").select(*_LINE).join(sure, _LINE, "left_anti"), "lines-left")
+    first = staged(first.select(*_LINE, "c.c_id", "c.c_line", "more").join(copies, _LINE, "left_anti"), "line-candidates")
+    near = staged(verified(docs, first.select(*_LINE, *_OTHER), counts, threshold, joined), "line-matches")
+    sure = copies.unionByName(near)
+    left = staged(first.filter("more").select(*_LINE).join(near, _LINE, "left_anti"), "lines-left")
     n = left.count()
     if not n:
         return sure
     # the lines left over, held against every earlier line that shares a word of their prefixes
-    mine = staged(prefixes(docs, counts, threshold, least, lines=Bitmap.of(left, n)).withColumn("line", F.shiftright("at", 36)).join(left, _LINE, "left_semi"), "prefixes-left")
-    theirs = prefixes(docs, counts, threshold, least, tokens=Bitmap.of(mine.select("token"), mine.count()))
+    mine = staged(prefixes(docs, counts, threshold, joined, lines=Bitmap.of(left, n)).withColumn("line", F.shiftright("at", 36)).join(left, _LINE, "left_semi"), "prefixes-left")
+    theirs = prefixes(docs, counts, threshold, joined, lines=kept, tokens=Bitmap.of(mine.select("token"), mine.count()))
     other = theirs.select("token", *[F.col(c).alias(f"c_{c}") for c in ("id", "at", "s0", "s1")])
     size = lambda c: F.shiftright(c, 8).bitwiseAND(F.lit((1 << 28) - 1))
     n, m = size("at"), size("c_at")
@@ -365,7 +383,7 @@ def matched_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = LE
         .select(*_LINE, *_OTHER)
         .distinct()
     )
-    return sure.unionByName(verified(docs, staged(pairs, "line-pairs"), counts, threshold, least)).distinct()
+    return sure.unionByName(verified(docs, staged(pairs, "line-pairs"), counts, threshold, joined))
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:

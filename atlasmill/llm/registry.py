@@ -55,7 +55,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(read(spark, sf_dir, "documents"))
+    found = dedup_lines(read(spark, sf_dir, "documents"), least=1)
     return found.withColumn("text_sha256", F.sha2("text", 256)).drop("text")
 
 

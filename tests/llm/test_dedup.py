@@ -155,6 +155,21 @@ def test_line_dedup_matches_brute_force(spark):
     assert sum(map(len, want.values())) > 100
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    """The query leaves no line with words out: equal short sets, and four words within five."""
+    from atlasmill.llm.registry import op2_line_dedup
+
+    rng = random.Random(9)
+    stock = [[f"s{rng.randrange(12)}" for _ in range(rng.randint(1, 6))] for _ in range(40)]
+    rows = [(0, "Read more\na b c d\n\n \t"), (1, "more Read\na b c d e\nRead\n"), (2, "Read more Read\na b c\na b c x"), (3, None), (4, "q w e r t"), (5, "q w e r")]
+    rows += [(i, "\n".join(" ".join(rng.sample(x, len(x))) for x in rng.choices(stock, k=5))) for i in range(6, 60)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_lines([(i, t or "") for i, t in rows], least=1)
+    assert want[1] == [0, 1] and want[2] == [0] and want[5] == [0] and want[0] == []
+    got = {r.doc_id: r.removed for r in op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: ",".join(map(str, x)) for i, x in want.items()}
+
+
 def test_line_dedup_of_odd_rows(odd, none):
     got = dedup_lines(odd).collect()
     assert len(got) == len(TEXTS)
