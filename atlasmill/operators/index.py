@@ -97,6 +97,19 @@ def sensitivity(scored: DataFrame, key: str, parts: list[str], draws: DataFrame,
     return ranked.groupBy(key).agg(F.avg((F.col("rank") <= k).cast("double")).alias("frequency"), F.median("rank").alias("rank_median"), F.min("rank").alias("rank_min"), F.max("rank").alias("rank_max"))
 
 
+def mean_spearman(scored: DataFrame, key: str, parts: list[str], draws: DataFrame, reference: str) -> DataFrame:
+    """One row (draws, mean_spearman): the mean, over all draws, of the rank correlation of the weighted sums with `reference`."""
+    units = scored.select(F.col(reference).alias("reference"), *parts)
+    value = _sum([F.col("w")[i] * F.col(p) for i, p in enumerate(parts)])
+    rows = draws.crossJoin(F.broadcast(units)).select("draw", "reference", F.round(value, 9).alias("value"))
+
+    def mean_rank(c: str) -> Column:
+        return F.rank().over(Window.partitionBy("draw").orderBy(c)) + (F.count("*").over(Window.partitionBy("draw", c)) - 1) / 2
+
+    each = rows.select("draw", mean_rank("reference").alias("a"), mean_rank("value").alias("b")).groupBy("draw").agg(F.corr("a", "b").alias("s"))
+    return each.agg(F.count("*").alias("draws"), F.avg("s").alias("mean_spearman"))
+
+
 def robust(frequencies: DataFrame, least: float = 0.90) -> DataFrame:
     return frequencies.filter(F.col("frequency") >= least)
 
@@ -129,3 +142,9 @@ def gap_index(zones: DataFrame, key: str, parts: tuple[str, ...] = tuple(GAP_PAR
     cuts = t.agg(F.percentile("risk", F.lit(0.90)).alias("__p90"), F.percentile("risk", F.lit(0.75)).alias("__p75"))
     risk_class = F.when((F.col("risk") >= F.col("__p90")) | (F.col("witnesses") == 0), "high").when(F.col("risk") >= F.col("__p75"), "watch").otherwise("low")
     return staged(descending_rank(t, "risk", "risk_rank").crossJoin(F.broadcast(cuts)).withColumn("class", risk_class).drop("__p90", "__p75"), "gaps")
+
+
+def gap_variant_scores(gaps: DataFrame, key: str) -> DataFrame:
+    """(variant, key, reference, value): the mean of the gap index's parts with one left out, for every part."""
+    rows = [F.struct(F.lit(f"without_{left}").alias("variant"), F.round(_sum([F.col(p) for p in GAP_PARTS if p != left]) / (len(GAP_PARTS) - 1), 9).alias("value")) for left in GAP_PARTS]
+    return gaps.select(key, F.round("risk", 9).alias("reference"), F.explode(F.array(*rows)).alias("v")).select("v.variant", key, "reference", "v.value")

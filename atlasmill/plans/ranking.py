@@ -62,8 +62,12 @@ def priority_variants(spark: SparkSession, d: str) -> DataFrame:
 DRAWS, SHAPE, SEED = 200, 8, 20260908
 
 
-def _sql_draws(parts: int, shape: int, seed: int) -> str:
-    return f"""en AS (SELECT i // {parts * shape} AS draw, (i // {shape}) % {parts} AS part, -ln(((((i * 48271 + {seed}) % 2147483647) * 16807 + 12345) % 2147483647 + 1) / 2147483649.0) AS e FROM range({DRAWS * parts * shape}) t(i)),
+#: As many as the reference draws; the queries of DRAWS are held to their SQL.
+ALL_DRAWS = 2000
+
+
+def _sql_draws(parts: int, shape: int, seed: int, draws: int = DRAWS) -> str:
+    return f"""en AS (SELECT i // {parts * shape} AS draw, (i // {shape}) % {parts} AS part, -ln(((((i * 48271 + {seed}) % 2147483647) * 16807 + 12345) % 2147483647 + 1) / 2147483649.0) AS e FROM range({draws * parts * shape}) t(i)),
 gs AS (SELECT draw, part, sum(e) AS g FROM en GROUP BY 1, 2), ws AS (SELECT draw, {', '.join(f'max(g) FILTER (part = {k}) / sum(g) AS w{k}' for k in range(parts))} FROM gs GROUP BY 1)
 """
 
@@ -79,6 +83,31 @@ def priority_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(found, ("frequency",))
 
 
+_SQL_ALL = SQL_INDEX + "," + _sql_draws(4, SHAPE, SEED, ALL_DRAWS) + ", dr AS (SELECT draw, level2, score AS reference, round(w0 * n_d1 + w1 * n_d2 + w2 * n_d3 + w3 * n_d4, 9) AS value FROM ws, ix WHERE score IS NOT NULL),"
+_MEAN_SPEARMAN = """cr AS (SELECT draw, rank() OVER (PARTITION BY draw ORDER BY reference) + (count(*) OVER (PARTITION BY draw, reference) - 1) / 2 AS a, rank() OVER (PARTITION BY draw ORDER BY value) + (count(*) OVER (PARTITION BY draw, value) - 1) / 2 AS b FROM dr),
+cs AS (SELECT draw, corr(a, b) AS s FROM cr GROUP BY 1) SELECT count(*) AS draws, round(avg(s), 6) AS mean_spearman FROM cs"""
+
+
+def _all_priority(spark: SparkSession, d: str) -> tuple[DataFrame, str, list[str], DataFrame]:
+    return indexed(spark, d).filter("score IS NOT NULL"), "level2", [f"n_{c}" for c in I.COMPONENTS], I.drawn_weights(spark, ALL_DRAWS, 4, SHAPE, SEED)
+
+
+@query(_SQL_ALL + _RANKED.format(key="level2", k=10))
+def priority_sensitivity_2000(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(I.sensitivity(*_all_priority(spark, d), 10), ("frequency",))
+
+
+@query(_SQL_ALL + _MEAN_SPEARMAN)
+def priority_mean_spearman(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(I.mean_spearman(*_all_priority(spark, d), "score"), ("mean_spearman",))
+
+
+@query("SELECT level2, frequency FROM (" + _SQL_ALL + _RANKED.format(key="level2", k=10) + ") WHERE frequency >= 0.9")
+def priority_robust(spark: SparkSession, d: str) -> DataFrame:
+    """The units among the first ten in nine of ten draws."""
+    return I.robust(priority_sensitivity_2000(spark, d)).select("level2", "frequency")
+
+
 @query(SQL_INDEX + ", nw AS (SELECT level2, score, n_d1 * 0.1 + n_d2 * 0.2 + n_d3 * 0.5 + n_d4 * 0.2 AS new_score FROM ix WHERE score IS NOT NULL), rr AS (SELECT level2, new_score, rank() OVER (ORDER BY new_score DESC) AS new_rank, rank() OVER (ORDER BY score DESC) AS old_rank FROM nw) SELECT level2, round(new_score, 6) AS new_score, new_rank, old_rank - new_rank AS moved FROM rr")
 def reweight(spark: SparkSession, d: str) -> DataFrame:
     return rounded(I.reweighted(indexed(spark, d).filter("score IS NOT NULL"), "level2", {"d1": 1, "d2": 2, "d3": 5, "d4": 2}), ("new_score",))
@@ -151,6 +180,38 @@ def gap_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(I.sensitivity(I.gap_index(gap_zones(spark, d), "pcode"), "pcode", ["r1", "r2", "r3", "r4"], draws, 40), ("frequency",))
 
 
+_SQL_ALL_GAP = SQL_GAP + "," + _sql_draws(4, 1, 20220, ALL_DRAWS) + ", dr AS (SELECT draw, pcode, risk AS reference, round(w0 * r1 + w1 * r2 + w2 * r3 + w3 * r4, 9) AS value FROM ws, gp),"
+
+
+def _all_gap(spark: SparkSession, d: str) -> tuple[DataFrame, str, list[str], DataFrame]:
+    return I.gap_index(gap_zones(spark, d), "pcode"), "pcode", list(I.GAP_PARTS), I.drawn_weights(spark, ALL_DRAWS, 4, 1, 20220)
+
+
+@query(_SQL_ALL_GAP + _RANKED.format(key="pcode", k="(SELECT round_even(count(*) * 0.1, 0) FROM gp)"))
+def gap_sensitivity_2000(spark: SparkSession, d: str) -> DataFrame:
+    """Frequency is that of the first tenth of the zones."""
+    gaps, *rest = _all_gap(spark, d)
+    return rounded(I.sensitivity(gaps, *rest, round(gaps.count() * 0.1)), ("frequency",))
+
+
+@query(_SQL_ALL_GAP + _MEAN_SPEARMAN)
+def gap_mean_spearman(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(I.mean_spearman(*_all_gap(spark, d), "risk"), ("mean_spearman",))
+
+
+_GAP_LEFT = ", vs AS (" + " UNION ALL ".join(f"SELECT 'without_{x}' AS variant, pcode, round(risk, 9) AS reference, round(({' + '.join(p for p in I.GAP_PARTS if p != x)}) / 3, 9) AS value FROM gp" for x in I.GAP_PARTS) + """),
+vr AS (SELECT variant, rank() OVER (PARTITION BY variant ORDER BY reference) + (count(*) OVER (PARTITION BY variant, reference) - 1) / 2 AS a, rank() OVER (PARTITION BY variant ORDER BY value) + (count(*) OVER (PARTITION BY variant, value) - 1) / 2 AS b,
+ row_number() OVER (PARTITION BY variant ORDER BY reference DESC, pcode) <= n AND row_number() OVER (PARTITION BY variant ORDER BY value DESC, pcode) <= n AS in_both FROM vs, (SELECT round_even(count(*) * 0.1, 0) AS n FROM gp))
+"""
+
+
+@query(SQL_GAP + _GAP_LEFT + "SELECT variant, round(corr(a, b), 6) AS spearman, count(*) FILTER (in_both) AS kept FROM vr GROUP BY 1")
+def gap_variants(spark: SparkSession, d: str) -> DataFrame:
+    """The gap index with one part left out: rank correlation, and how many of its first tenth stay."""
+    gaps = I.gap_index(gap_zones(spark, d), "pcode")
+    return rounded(I.compared(I.gap_variant_scores(gaps, "pcode"), "variant", "pcode", round(gaps.count() * 0.1)), ("spearman",))
+
+
 @query(SQL_GAP + ", hz AS (SELECT level2, count(*) FILTER (class = 'high') AS high_zones, round(sum(CASE WHEN class = 'high' THEN area_sqkm ELSE 0 END) / sum(area_sqkm), 6) AS high_area_share FROM gp GROUP BY 1) SELECT * FROM hz WHERE high_zones > 0 ORDER BY high_zones DESC, level2 LIMIT 5")
 def gap_hotspots(spark: SparkSession, d: str) -> DataFrame:
     """The units with most high-risk zones, and the share of their area in them."""
