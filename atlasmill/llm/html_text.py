@@ -41,30 +41,45 @@ _NAME = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("name", "parent", "other", "content")
+    __slots__ = ("name", "parent", "barred", "purpose", "other", "content", "holds")
 
     def __init__(self, name: str, parent: Element | None, attributes: str):
-        self.name, self.parent = name, parent
+        self.name, self.parent, self.holds = name, parent, False
         within = parent is not None and parent.content is not None
-        self.other = (parent is not None and parent.other) or name in OTHER or (name == "header" and not within)
+        self.barred = (parent is not None and parent.barred) or name in OTHER or (name == "header" and not within)
+        self.purpose = self.other = False
         role = ""
         if "=" in attributes:
             for key, *values in _ATTRIBUTE.findall(attributes):
                 value = "".join(values).lower()
                 role = value if key.lower() == "role" else role
-                if name not in ("html", "body", "article", "main") and PURPOSE.intersection(_NAME.findall(value)):
-                    self.other = True
-        starts = name in CONTENT or role == "main"
-        self.content = self if starts and not within and not self.other else parent.content if parent is not None else None
+                if name not in ("html", "body", "article", "main") and PURPOSE.intersection(value.split()):
+                    self.purpose = True
+        starts = (name in CONTENT or role == "main") and not within and not self.barred
+        self.content = self if starts else parent.content if parent is not None else None
+        up = self if starts else None
+        while up is not None and not up.holds:  # purpose words do not exclude what holds a content element
+            up.holds, up.purpose, up = True, False, up.parent
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, Element, int]]:
     """(kind, text, element, block): kind is "<" and a tag's name or the element that a text stands in; a text is a run up to the next tag."""
+    elements: list[Element] = []
+    found = list(_tokens(page, elements))
+    for e in elements:  # parents come first
+        e.other = e.barred or e.purpose or (e.parent is not None and e.parent.other)
+    for kind, text, element, block in found:
+        yield ("other" if text and element.other else kind), text, element, block
+
+
+def _tokens(page: str, elements: list[Element]) -> Iterator[tuple[str, str, Element, int]]:
+    """The tokens, before it is known which elements are of other purpose; `elements` takes the elements in page order."""
     here = root = Element("html", None, "")
+    elements.append(root)
     inner, block, at = "", 0, 0
 
     def run(text: str) -> tuple[str, str, Element, int]:
-        return ("other" if here.other else inner or here.name), text, here, block
+        return inner or here.name, text, here, block
 
     while (m := _TOKEN.search(page, at)) is not None:
         if m.start() > at:
@@ -83,7 +98,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, Element, int]]:
             block, inner = block + 1, ""
         if name in CONTAINERS:
             if not closing and not attributes.endswith("/"):
-                here = Element(name, here, attributes) if name not in ("html", "body") else here
+                if name not in ("html", "body"):
+                    here = Element(name, here, attributes)
+                    elements.append(here)
             elif closing:
                 up = here
                 while up is not root and up.name != name:
@@ -126,13 +143,12 @@ def extract(page: str, weight: dict[str, float]) -> str:
     held = [e for _, text, e, _ in found[slice(*region)] if text.strip() and not e.other]
     if not held:
         return ""
-    holds = Counter(e.content for e in held if e.content is not None).most_common(1)
-    # with a content element, all of it; else the blocks that the region touches
-    content = holds[0][0] if holds else None
+    # with content elements, all of each that the region touches; else the blocks that it touches
+    contents = {e.content for e in held if e.content is not None}
     touched = {b for _, text, _, b in found[slice(*region)] if text.strip()}
     blocks: dict[int, list[str]] = {}
     for kind, text, element, block in found:
-        if not element.other and (element.content is content if content is not None else block in touched):
+        if not element.other and (element.content in contents if contents else block in touched):
             blocks.setdefault(block, []).append(" " if kind == "<br" else text)
     lines = (" ".join(entities.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n".join(x for x in lines if x)

@@ -108,6 +108,17 @@ def test_main_text_of_pages(spark):
     assert main_text(df).count() == len(pages) and main_text(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "search-results", "with-banner", "search"])
+def test_wrappers_do_not_hide_an_article(name):
+    page = f"<div class='{name}'><article><p>Some words of the article itself</p></article><div class='sidebar'>Aside here</div></div>"
+    assert extract(page, {}) == "Some words of the article itself"
+
+
+def test_every_article_that_the_region_touches_is_kept():
+    page = "<div>" + "".join(f"<article><p>Article {k} has quite a few words of its own</p></article>" for k in range(3)) + "</div>"
+    assert extract(page, {}).split("\n") == [f"Article {k} has quite a few words of its own" for k in range(3)]
+
+
 def test_without_labelled_pages_words_alone_decide():
     page = "<div id='menu'><a>x</a></div><div><h1>Title here</h1><p>One para with some words</p></div><div id='footer'>end</div>"
     assert "One para with some words" in extract(page, {}) and "end" not in extract(page, {}).split()
