@@ -51,6 +51,22 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+class Scratch:
+    """Staged tables that go together once their result is written."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def staged(self, df: DataFrame, label: str) -> DataFrame:
+        self.tables.append(staged(df, label))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        for table in self.tables:
+            discard(table)
+        self.tables = []
+
+
 def text_or_empty(text: str) -> F.Column:
     return F.coalesce(F.col(text), F.lit(""))
 
@@ -61,10 +77,10 @@ _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string
 PART_BYTES = 4 << 20
 
 
-def parts(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of about PART_BYTES of text."""
+def parts(batch: pa.RecordBatch, text: str, at_once: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about so many bytes of text."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
-    group = np.concatenate([[0], np.cumsum(sizes)[:-1]]) // PART_BYTES if len(sizes) else sizes
+    group = np.concatenate([[0], np.cumsum(sizes)[:-1]]) // at_once if len(sizes) else sizes
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:

@@ -3,13 +3,16 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from atlasmill.llm import line_dedup
 from atlasmill.llm.components import components
 from atlasmill.llm.exact_dedup import drop_copies, exact_dedup
-from atlasmill.llm.line_dedup import Bitmap, dedup_lines
+from atlasmill.llm.line_dedup import Bitmap, Heavy, Lines, Sets, dedup_lines, hashed_words, settled
 from atlasmill.llm.simhash import drop_near, fingerprint, links, near_groups
 
 from llm_rows import TEXTS
@@ -117,13 +120,13 @@ def test_drop_near(odd, none):
     assert drop_near(none).collect() == [] and near_groups(none).collect() == []
 
 
-def brute_lines(rows, threshold=0.8, least=5):
+def brute_lines(rows, threshold=0.8, least=1):
     seen, out = [], {}
     for key, text in rows:
         gone = []
         for k, line in enumerate(text.split("\n")):
             words = frozenset(line.encode().split())
-            if len(words) < least:
+            if len(words) < max(1, least):
                 continue
             if any(len(words & s) / len(words | s) >= threshold - 1e-12 for s in seen):
                 gone.append(k)
@@ -132,7 +135,12 @@ def brute_lines(rows, threshold=0.8, least=5):
     return out
 
 
-def test_line_dedup_matches_brute_force(spark):
+@pytest.mark.parametrize("hot,bucket,least", [(1 << 17, 500_000, 1), (20, 300, 5)])
+def test_line_dedup_matches_brute_force(spark, monkeypatch, hot, bucket, least):
+    """With small and large buckets, and with many words treated as hot."""
+    monkeypatch.setattr(line_dedup, "HOT_WORD", hot)
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", 0)
+    monkeypatch.setattr(line_dedup, "BUCKET_ROWS", bucket)
     rng = random.Random(5)
     vocabulary = [f"v{k}" for k in range(60)] + [f"rare{k}" for k in range(900)]
     stock = [[rng.choice(vocabulary) for _ in range(rng.randint(3, 40))] for _ in range(60)]
@@ -147,8 +155,8 @@ def test_line_dedup_matches_brute_force(spark):
             lines.append(" ".join(line))
         rows.append((i, "\n".join(lines)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    want = brute_lines(rows)
-    got = {r.doc_id: r for r in dedup_lines(df).collect()}
+    want = brute_lines(rows, least=least)
+    got = {r.doc_id: r for r in dedup_lines(df, least=least).collect()}
     for i, text in rows:
         assert got[i].removed == ",".join(map(str, want[i]))
         assert got[i].text == "\n".join(x for k, x in enumerate(text.split("\n")) if k not in want[i])
@@ -178,6 +186,39 @@ def test_line_dedup_of_odd_rows(odd, none):
     assert dedup_lines(none).collect() == []
 
 
+def test_words_and_sets_of_lines():
+    texts = ["a b  a", "", "\u00a0 b\tc\x0bd", " ", "z\u2028z a"]
+    line, token = hashed_words(pa.array(texts))
+    assert line.tolist() == [0, 0, 0, 2, 2, 2, 2, 4, 4]
+    assert token[0] == token[2] == token[8] and token[1] == token[4] and len(set(token.tolist())) == 6
+    assert hashed_words(pa.array(["", " \n"]))[0].tolist() == [] and hashed_words(pa.array([], pa.string()))[0].tolist() == []
+    sets = Sets(Lines(np.array([7, 8]), pa.array(["x y x\n\nz", "y x"])), None, 1)
+    assert sets.n.tolist() == [2, 1, 2] and sets.ids.tolist() == [7, 7, 8] and sets.numbers.tolist() == [0, 2, 0]
+    d0, d1 = sets.digests()
+    assert d0[0] == d0[2] != d0[1] and d1[0] == d1[2] != d1[1]
+
+
+def test_copies_of_the_heaviest_sets_are_known():
+    sets = Sets(Lines(np.array([1, 2, 3]), pa.array(["a b\nc d", "b a\ne f", "f e"])), None, 1)
+    d0, d1 = (d.view(np.int64) for d in sets.digests())
+    heavy = Heavy([Row(d0=int(d0[0]), d1=int(d1[0]), id=1, line=0), Row(d0=int(d0[3]), d1=int(d1[3]), id=2, line=1)])
+    assert heavy.copies(sets).tolist() == [False, False, True, False, True]
+    assert not Heavy([]).copies(sets).any()
+
+
+def test_lines_left_over_are_verified_on_whole_sets(spark):
+    words = {1: [1, 2, 3, 4, 5], 2: [1, 2, 3, 4, 6], 3: [1, 2, 3, 4, 5, 6], 4: [9]}
+    rows = [(t, i, 0, i != 1, w) for t in (5, 6) for i, w in words.items()]
+    df = spark.createDataFrame(rows, "token long, id long, line long, waiting boolean, tokens array<long>")
+    assert [r.id for r in settled(df, 0.8).collect()] == [3]
+
+
+def test_a_line_in_every_document(spark):
+    rows = [(i, f"all rights reserved by the {'same' if i % 2 else 'very same'} people of old\nown {i} a{i} b{i}") for i in range(400)]
+    got = {r.doc_id: r.removed for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got == {i: "0" if i else "" for i in range(400)}
+
+
 def test_bitmap_never_misses(spark):
     keys = spark.range(500).select((F.col("id") * 31 - 400).alias("a"), F.col("id").alias("b"))
     b = Bitmap.of(keys, 500)
