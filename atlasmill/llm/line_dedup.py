@@ -36,6 +36,8 @@ COUNTERS = 1 << 18
 #: In groups of up to so many lines every earlier line is looked at together; larger ones are walked through in blocks.
 SMALL = 32
 BLOCK = 64
+#: In larger groups than this, all lines count as candidates of those that have several.
+MARKED = 16_384
 #: Bits of a bitmap that goes to every task, at most (16 MB).
 MOST_BITS = 1 << 27
 _CHUNK = 32768
@@ -358,7 +360,7 @@ def _candidates(token, doc, at, s0, s1, threshold: float) -> tuple[np.ndarray, n
         take(r[ok], o[ok], spare[ok])
         partner[o[ok]] = True
     for a, g in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-        waiting = np.arange(a + 1, a + g)
+        waiting, over = np.arange(a + 1, a + g), np.zeros(0, np.int64)
         for first in range(a, a + g - 1, BLOCK):
             others = np.arange(first, min(first + BLOCK, a + g))
             waiting = waiting[np.searchsorted(waiting, first, "right") :]
@@ -368,15 +370,23 @@ def _candidates(token, doc, at, s0, s1, threshold: float) -> tuple[np.ndarray, n
                 ok, spare = hold(part[i], o, differ)
                 i, o, spare = i[ok], o[ok], spare[ok]
                 if len(i):
+                    partner[o] = True
                     order = np.lexsort((spare, i))
                     i, o, spare = i[order], o[order], spare[order]
                     head = np.append(True, i[1:] != i[:-1])
                     many[part[np.bincount(i, minlength=len(part)) > 1]] = True
                     take(part[i[head]], o[head], spare[head])
+            if g <= MARKED:  # a row that has several candidates waits for no more, but what else may match it is marked
+                unmarked = others[~partner[others]]
+                over = over[np.searchsorted(over, first, "right") :]
+                for k in range(0, len(over) if len(unmarked) else 0, 4096):
+                    partner[_pairs_by_block(over[k : k + 4096], unmarked, n, s0, s1, most)[1]] = True
+                over = np.union1d(over, waiting[many[waiting]])
             waiting = waiting[~many[waiting]]
-            if not len(waiting):
+            if not len(waiting) and (g > MARKED or not len(over)):
                 break
-        partner[a : a + g] = (found[a : a + g] >= 0).any()
+        if g > MARKED and many[a : a + g].any():
+            partner[a : a + g] = True
     return found, best, many, partner
 
 
