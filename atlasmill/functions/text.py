@@ -16,14 +16,18 @@ UNKNOWN = "unknown"
 
 
 @cache
-def _folding() -> tuple[str, str]:
-    """Letters of the Latin blocks whose decomposition starts with one ASCII character, and that character."""
-    pairs = []
-    for code in range(0xA0, 0x250):
-        plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
-        if len(plain) == 1:
-            pairs.append((chr(code), plain))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """The ASCII part of characters' compatibility decompositions: those with one letter or digit, these, and those with several."""
+    one, many = [], {}
+    for code in range(0x80, 0x110000):
+        c = chr(code)
+        if (whole := unicodedata.normalize("NFKD", c)) != c:
+            plain = "".join(x for x in whole if x.isascii() and x.isalnum())
+            if len(plain) == 1:
+                one.append((c, plain))
+            elif plain:
+                many[c] = plain
+    return "".join(a for a, _ in one), "".join(b for _, b in one), many
 
 
 def stripped(c: Column) -> Column:
@@ -37,12 +41,16 @@ def strip_all(df: DataFrame) -> DataFrame:
 
 
 def name_key(c: Column) -> Column:
-    """A name's join key: accents folded, upper case, letters A-Z and digits only.
+    """A name's join key: decomposed, what is not ASCII dropped, upper case, letters A-Z and digits only.
 
-    Folds the letters of Latin-1 and Latin Extended; a character that decomposes into several ASCII
-    characters is dropped, like any other that is not ASCII.
+    A character that decomposes into several letters or digits gives them all; one without an ASCII
+    part, such as the sharp s, is dropped.
     """
-    return F.regexp_replace(F.upper(F.translate(c, *_folding())), "[^A-Z0-9]", "")
+    one, plain, many = _folding()
+    pairs = F.str_to_map(F.lit("\n".join(f"{a}\t{b}" for a, b in many.items())), F.lit("\n"), F.lit("\t"))
+    spelt = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(pairs, x), x)), "")
+    rare = F.when(c.rlike("[" + "".join(many) + "]"), spelt).otherwise(c)
+    return F.upper(F.regexp_replace(F.translate(rare, one, plain), "[^A-Za-z0-9]", ""))
 
 
 def degrees_text(micro: Column) -> Column:
@@ -95,8 +103,19 @@ def operators_of(raw: Column) -> Column:
 
 
 def parsed_count(c: Column) -> Column:
-    """An integer written with blanks or no-break spaces between thousands; null if anything else is in it."""
-    return F.regexp_replace(c, "[\\s  ]", "").try_cast("bigint")
+    """An integer written with blanks or no-break spaces between thousands; null if anything but digits is left."""
+    digits = F.translate(c, " \u00a0", "")
+    return F.when(digits.rlike("^[0-9]+$"), digits).try_cast("bigint")
+
+
+def first_match(c: Column, classes: dict[str, str]) -> Column:
+    """The name of the first class whose expression is found in the text, in either case; null if none is."""
+    return F.coalesce(*[F.when(c.rlike(f"(?iu){pattern}"), F.lit(name)) for name, pattern in classes.items()])
+
+
+def indent(line: Column) -> Column:
+    """White space before the first other character."""
+    return F.char_length(F.regexp_extract(line, r"(?U)^\s*", 0))
 
 
 def parent_name(c: Column) -> Column:

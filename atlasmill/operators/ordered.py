@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import parent_name
+from ..functions.text import first_match, indent, parent_name, parsed_count, stripped, unit_kind
 
 
 def carried(rows: DataFrame, by: list[str], order: list[str], value: Column, to: str) -> DataFrame:
@@ -54,16 +56,23 @@ def paired(left: DataFrame, right: DataFrame, by: list[str], order: str) -> Data
 
 
 def merge_labels(rows: DataFrame, by: list[str], order: str, label: str, connectors: tuple[str, ...], openers: tuple[str, ...]) -> DataFrame:
-    """Labels that were split over two rows, put together: a label that ends in `-` or on a connector takes the next row, and so does one whose next row starts with an opener. From the top; a taken row takes none."""
+    """Labels that were split over two rows, put together.
+
+    A label that ends in a hyphen takes the next row, without a blank between; one that ends on a
+    connector, or whose next row starts with an opener, takes it with one. Words count in either case.
+    From the top; a taken row takes none.
+    """
 
     def merged(label_rows: pd.DataFrame) -> pd.DataFrame:
         ordered = label_rows.sort_values(order, kind="stable")
-        texts, orders = ordered[label].tolist(), ordered[order].tolist()
+        texts, orders = [x or "" for x in ordered[label].tolist()], ordered[order].tolist()
         out, k = [], 0
         while k < len(texts):
-            now, nxt = texts[k] or "", texts[k + 1] or "" if k + 1 < len(texts) else None
-            joins = nxt is not None and (now.endswith("-") or now.split(" ")[-1] in connectors or nxt.split(" ")[0] in openers)
-            out.append((orders[k], f"{now.removesuffix('-')}{'' if now.endswith('-') else ' '}{nxt}" if joins else now))
+            now, after = texts[k], texts[k + 1] if k + 1 < len(texts) else None
+            last, opener = (now.split() or [""])[-1].upper(), ((after or "").split() or [""])[0].upper()
+            hyphen = after is not None and now.rstrip().endswith("-")
+            joins = hyphen or after is not None and (last in connectors or opener in openers)
+            out.append((orders[k], now.rstrip() + after.lstrip() if hyphen else f"{now} {after}".strip() if joins else now))
             k += 2 if joins else 1
         keys = {c: ordered[c].iloc[0] for c in by}
         return pd.DataFrame([{**keys, order: o, label: t} for o, t in out])
@@ -72,3 +81,53 @@ def merge_labels(rows: DataFrame, by: list[str], order: str, label: str, connect
     return rows.select(*by, order, label).groupBy(*by).applyInPandas(merged, schema)
 
 
+@dataclass(frozen=True)
+class TableRules:
+    """How the pages of printed tables are read. Expressions are Java's; `context` has one group; words are upper case."""
+
+    mark: str
+    classes: dict[str, str]
+    context: str
+    total: str
+    noise: str
+    connectors: tuple[str, ...]
+    openers: tuple[str, ...]
+    most_indent: int = 3
+    slack: int = 8
+
+
+def classified_pages(page_rows: DataFrame, doc: str, rules: TableRules) -> DataFrame:
+    """(doc, page, body, level, context): pages with at most one title, with the class and context of the last title that has a class."""
+    one = page_rows.filter(F.size(F.regexp_extract_all("body", F.lit(rules.mark), F.lit(0))) <= 1)
+    title = F.trim(F.regexp_replace(F.regexp_extract("body", rf"(?s){rules.mark}(.{{0,200}})", 1), r"(?U)\s+", " "))
+    found = one.withColumn("__title", title).withColumn("__level", first_match(F.col("__title"), rules.classes))
+    seen = F.when(F.col("__level").isNotNull(), F.struct(F.col("__level").alias("level"), F.trim(F.regexp_extract("__title", rules.context, 1)).alias("context")))
+    return carried(found, [doc], ["page"], seen, "__seen").select(doc, "page", "body", "__seen.level", "__seen.context").filter("level IS NOT NULL")
+
+
+def table_rows(page_rows: DataFrame, doc: str, rules: TableRules) -> DataFrame:
+    """(doc, page, position, level, context, label, value): the rows of printed tables, a label's value from the column of totals.
+
+    Below or above the line with the word `total`, a line gives a label if it is little indented, and
+    a value if its last part is a number that stands under that word. Noise lines are skipped. Pages
+    whose labels and values differ in number are left out.
+    """
+    by = [doc, "page"]
+    pages = classified_pages(page_rows, doc, rules).withColumn("lines", F.split("body", r"\r?\n"))
+    pages = pages.withColumn("header", F.array_position(F.transform("lines", lambda x: F.contains(x, F.lit(rules.total))), True)).filter("header > 0")
+    pages = pages.withColumn("column", F.instr(F.get("lines", F.col("header").cast("int") - 1), rules.total) - 1)
+    lines = pages.select(*by, "column", "header", F.posexplode("lines").alias("n", "line")).filter("n + 1 <> header").withColumn("text", stripped(F.col("line")))
+    lines = lines.filter((F.col("text") != "") & ~F.col("text").rlike(rules.noise)).withColumn("parts", F.split("text", r"(?U)\s{3,}"))
+    first = stripped(F.regexp_replace(F.get("parts", F.lit(0)), r"(?U)\s{2,}\d[\d\s]*$", ""))
+    labels = lines.withColumn("label", first).filter((F.col("label") != "") & ~F.col("label").rlike(r"(?U)^\d[\d\s]*$") & (indent(F.col("line")) <= rules.most_indent))
+    last = F.element_at("parts", -1)
+    end = F.char_length(F.regexp_replace("line", r"(?U)\s+$", ""))
+    values = lines.withColumn("value", parsed_count(last)).filter((F.col("value").isNotNull()) & (end - F.char_length(last) >= F.col("column") - rules.slack))
+    whole = merge_labels(labels, by, "n", "label", rules.connectors, rules.openers)
+    return paired(whole, values.select(*by, "n", "value"), by, "n").join(pages.select(*by, "level", "context"), by)
+
+
+def without_sub_units(rows: DataFrame, label: str, country: str) -> DataFrame:
+    """Rows that add up to the country: no totals, no sub-units (which start with a hyphen), not the country itself."""
+    name = stripped(F.col(label))
+    return rows.filter((unit_kind(name) != "total") & ~name.startswith("-") & (F.upper(name) != country))

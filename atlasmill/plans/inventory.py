@@ -32,7 +32,7 @@ def points_by_operator(spark: SparkSession, d: str) -> DataFrame:
     return X.points(spark, d).withColumn("operator", F.explode_outer(operators_of(F.col("operators"))))
 
 
-SQL_KEY = "regexp_replace(upper(strip_accents({})), '[^A-Z0-9]', '', 'g')"
+SQL_KEY = "upper(regexp_replace(strip_accents({}), '[^A-Za-z0-9]', '', 'g'))"
 
 
 def _sql_degrees(c: str) -> str:
@@ -141,10 +141,10 @@ def deserts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""WITH w AS (SELECT unnest(string_split_regex(text, '[^\\p{{L}}]+')) AS word FROM documents WHERE lang IN ('fr', 'es')), k AS (SELECT {SQL_KEY.format("replace(replace(word, 'ß', ''), 'ẞ', '')")} AS key, word FROM w)
+@query(f"""WITH w AS (SELECT unnest(string_split_regex(text, '[^\\p{{L}}]+')) AS word FROM documents), k AS (SELECT {SQL_KEY.format("word")} AS key, word FROM w)
 SELECT key, count(DISTINCT word) AS n_spellings, string_agg(DISTINCT word, ', ' ORDER BY word) AS spellings FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT word) > 1""")
 def norm_keys(spark: SparkSession, d: str) -> DataFrame:
-    words = X.table(spark, d, "documents").filter(F.col("lang").isin("fr", "es")).select(F.explode(F.split("text", r"[^\p{L}]+")).alias("word")).distinct()
+    words = X.table(spark, d, "documents").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("word")).distinct()
     return spelling_variants(words, "word", name_key(F.col("word"))).filter("key <> ''")
 
 

@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import access, inventory, ranking  # noqa: F401
+    from . import access, census, inventory, ranking  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+import unicodedata
 
 import pandas as pd
 import pytest
@@ -14,6 +16,19 @@ def test_name_key_folds_accents(spark):
     assert got == ["ECOLEN3", "ECOLEN3", None, ""]
 
 
+def test_name_key_of_every_kind_of_letter(spark):
+    names = ["Straße", "ẹlẹ", "Ĳssel", "ı", "ﬁn", "œuf", "Ａ１", "𝐁ac", "日本 2", "½", "é"]
+    plain = lambda s: re.sub("[^A-Z0-9]", "", unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().upper())
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = {r.n: r.k for r in df.select("n", text.name_key(F.col("n")).alias("k")).collect()}
+    assert got == {n: plain(n) for n in names} and got["Straße"] == "STRAE" and got["Ĳssel"] == "IJSSEL" and got["ı"] == ""
+
+
+def test_counts_are_digits_blanks_and_no_break_spaces_only(spark):
+    df = spark.createDataFrame([(x,) for x in ("1 234", "1\u00a0234", "-5", "+7", "1\t2", "1\u202f2", "", " ", "x", None)], "c string")
+    assert [r.n for r in df.select(text.parsed_count(F.col("c")).alias("n")).collect()] == [1234, 1234, *[None] * 8]
+
+
 def test_stable_id_is_the_digest_of_key_and_degrees(spark):
     df = spark.createDataFrame([("Agence Été", 977073, 8560677), ("x", -5, 10000000)], "n string, lon long, lat long")
     got = [r.i for r in df.select(text.stable_id(F.col("n"), F.col("lon"), F.col("lat")).alias("i")).collect()]

@@ -84,9 +84,15 @@ def test_pairing_needs_equal_lengths(spark):
 
 
 def test_merge_labels(spark):
-    rows = spark.createDataFrame([(1, 1, "SAINT-"), (1, 2, "PIERRE"), (1, 3, "VILLE DE"), (1, 4, "LOME"), (1, 5, "ZONE"), (1, 6, "SANS NOM"), (1, 7, "FIN")], "page int, o int, label string")
+    texts = ["TOTAL BAS- ", " MONO 2", "VILLE de", "LOME", "ZONE", "sans NOM", "FIN", "", "ET", "X-"]
+    rows = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "page int, o int, label string")
     got = [r.label for r in ordered.merge_labels(rows, ["page"], "o", "label", ("DE",), ("SANS", "ET")).orderBy("o").collect()]
-    assert got == ["SAINTPIERRE", "VILLE DE LOME", "ZONE SANS NOM", "FIN"]
+    assert got == ["TOTAL BAS-MONO 2", "VILLE de LOME", "ZONE sans NOM", "FIN", "ET", "X-"]
+
+
+def test_sub_units_and_totals_do_not_count(spark):
+    rows = spark.createDataFrame([("MARITIME",), (" - DAGL",), ("TOTAL KARA",), ("Togo",), ("KARA",)], "l string")
+    assert [r.l for r in ordered.without_sub_units(rows, "l", "TOGO").collect()] == ["MARITIME", "KARA"]
 
 
 def test_majority_and_shared_values(spark):
