@@ -1,10 +1,13 @@
 """HTML extraction: the maximum-scoring subsequence of a page's words and tags.
 
-A page becomes a sequence of tokens, words and tags. Words score positive and tags negative, each
-moved by the weight of its kind (a tag's name, or the element that a word stands in), which comes
-from labelled pages: the log odds of the kind inside and outside the content. One linear scan finds
-the contiguous region with the largest sum. The region is then widened to the element that holds it,
-and parts of other purpose inside it (menus, forms, comments and the like) are left out.
+A page becomes a sequence of tokens: words, which score positive, and tags, which score negative. What
+a token scores comes from labelled pages: log odds of its kinds inside and outside the content, kinds
+being the element that a word stands in, the elements of a purpose around it, and the class words
+around it; a tag's kind is its name. Names and class words that announce another purpose (menus,
+comments and the like) start from a negative weight, which the labelled pages may change. One linear
+scan finds the contiguous region with the largest sum: the main text is that region, less the words in
+it that score below zero themselves. An `article` or `main` element is a label and no kind: pages
+without one are read in the same way.
 """
 
 from __future__ import annotations
@@ -21,12 +24,14 @@ from pyspark.sql import functions as F
 
 from .shared import per_text, text_or_empty
 
-# Names of HTML elements by their part in a page, and words in class, id and role.
+# Names of HTML elements by their part in a page, and words in class, id and role that announce another purpose.
 CONTENT = frozenset("article main".split())
 CONTAINERS = frozenset("html body div section article main aside nav header footer form ul ol dl table thead tbody tfoot tr blockquote figure fieldset details dialog menu select template noscript iframe object svg button".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption pre hr address figcaption legend summary option center".split())
-OTHER = frozenset("nav footer aside form menu dialog select template noscript iframe object svg button title textarea fieldset".split())
+HIDDEN = frozenset("select template noscript iframe object svg button".split())
 RAW = frozenset("script style title textarea".split())
+HEAD = frozenset("head meta link base".split()) | RAW
+SEMANTIC = frozenset("nav footer aside header form menu dialog fieldset".split())
 PURPOSE = frozenset(
     "ad ads advert advertisement advertising sponsor sponsored promo promotion banner sidebar comment comments disqus respond reply replies cookie cookies consent gdpr notice alert popup modal overlay "
     "menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar related recommended share sharing social newsletter subscribe subscription signup login search pagination pager skip "
@@ -34,64 +39,102 @@ PURPOSE = frozenset(
 )
 #: At most so many labelled pages, those of the smallest hashes, are counted for the weights.
 LABELLED_PAGES = 4000
+#: The weight of what announces another purpose, before labelled pages are seen, and the count at which they weigh as much.
+PRIOR, PRIOR_COUNT = -4.0, 50
+#: A word scores 1 and what its kinds weigh, from LOW to HIGH in all; a tag costs 1 less its kind's weight, within CHEAP and DEAR.
+LOW, HIGH, CHEAP, DEAR = -4.0, 2.0, 0.1, 3.0
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_NAME = re.compile(r"[a-z]+")
+_QUOTE_OR_END = re.compile(r"[>\"']")
+_NAME_END = re.compile(r"[\s/>]|\Z")
+_CLOSES = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
+
+
+def prior(kind: str) -> float:
+    """A kind's weight before labelled pages are seen."""
+    return PRIOR if kind[1:] in (PURPOSE if kind[:1] == "." else SEMANTIC if kind[:1] == "#" else ()) else 0.0
 
 
 class Element:
-    __slots__ = ("name", "parent", "barred", "purpose", "other", "content", "holds")
+    """A container; its own kinds are "#" and a name of purpose, and "." and each class word."""
+
+    __slots__ = ("name", "parent", "hidden", "kinds", "content", "holds")
 
     def __init__(self, name: str, parent: Element | None, attributes: str):
         self.name, self.parent, self.holds = name, parent, False
         within = parent is not None and parent.content is not None
-        self.barred = (parent is not None and parent.barred) or name in OTHER or (name == "header" and not within)
-        self.purpose = self.other = False
-        role = ""
+        self.hidden = name in HIDDEN or (parent is not None and parent.hidden)
+        kinds, role = [], ""
+        if name in SEMANTIC and not (name == "header" and within):
+            kinds.append("#" + name)
         if "=" in attributes:
             for key, *values in _ATTRIBUTE.findall(attributes):
                 value = "".join(values).lower()
                 role = value if key.lower() == "role" else role
-                if name not in ("html", "body", "article", "main") and PURPOSE.intersection(value.split()):
-                    self.purpose = True
-        starts = (name in CONTENT or role == "main") and not within and not self.barred
+                if name not in ("html", "body", "article", "main"):
+                    kinds += ["." + x for x in dict.fromkeys(value.split())]
+        starts = (name in CONTENT or role == "main") and not within and not self.hidden
+        self.kinds = tuple(kinds)
         self.content = self if starts else parent.content if parent is not None else None
         up = self if starts else None
-        while up is not None and not up.holds:  # purpose words do not exclude what holds a content element
-            up.holds, up.purpose, up = True, False, up.parent
+        while up is not None and not up.holds:  # what holds a content element says nothing of other purpose
+            up.holds, up.kinds, up = True, (), up.parent
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, Element, int]]:
-    """(kind, text, element, block): kind is "<" and a tag's name or the element that a text stands in; a text is a run up to the next tag."""
-    elements: list[Element] = []
-    found = list(_tokens(page, elements))
-    for e in elements:  # parents come first
-        e.other = e.barred or e.purpose or (e.parent is not None and e.parent.other)
-    for kind, text, element, block in found:
-        yield ("other" if text and element.other else kind), text, element, block
+def _tag_end(page: str, at: int, quotes: bool) -> tuple[int, bool]:
+    """The place of the > that ends the tag whose attributes start at `at`, or -1; whether quotes still hide it in later tags."""
+    start = at
+    while quotes and (m := _QUOTE_OR_END.search(page, at)) is not None:
+        if m[0] == ">":
+            return m.start(), True
+        close = page.find(m[0], m.end())
+        if close < 0:
+            break
+        at = close + 1
+    return page.find(">", start), False  # a quote that never closes: from here on quotes are plain characters
+
 
+def tokens(page: str, elements: list[Element] | None = None) -> Iterator[tuple[str, str, Element, int]]:
+    """(kind, text, element, block): kind is "<" and a tag's name or the element that a text stands in; a text is a run up to the next tag.
 
-def _tokens(page: str, elements: list[Element]) -> Iterator[tuple[str, str, Element, int]]:
-    """The tokens, before it is known which elements are of other purpose; `elements` takes the elements in page order."""
+    `elements` takes the containers in page order. Every character is looked at a bounded number of times.
+    """
     here = root = Element("html", None, "")
+    elements = elements if elements is not None else []
     elements.append(root)
-    inner, block, at = "", 0, 0
-
-    def run(text: str) -> tuple[str, str, Element, int]:
-        return inner or here.name, text, here, block
-
-    while (m := _TOKEN.search(page, at)) is not None:
-        if m.start() > at:
-            yield run(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
+    inner, block, at, size, quotes = "", 0, 0, len(page), True
+    opened: Counter[str] = Counter()
+    text_from = 0
+    while (lt := page.find("<", at)) >= 0:
+        c = page[lt + 1 : lt + 2]
+        closing = c == "/"
+        head = page[lt + 2 : lt + 3] if closing else c
+        if c in ("!", "?") and c:
+            end = page.find("-->", lt + 4) + 2 if page.startswith("<!--", lt) else page.find(">", lt)
+            if end < lt + 2:
+                end = size if page.startswith("<!--", lt) else -1
+            if end < 0:
+                break
+            if lt > text_from:
+                yield inner or here.name, page[text_from:lt], here, block
+            at = text_from = end + 1
+            continue
+        if not (head.isascii() and head.isalpha()):
+            at = lt + 1
             continue
-        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
+        name_from = lt + 1 + closing
+        name_end = _NAME_END.search(page, name_from).start()
+        end, quotes = _tag_end(page, name_end, quotes)
+        if end < 0:
+            break
+        if lt > text_from:
+            yield inner or here.name, page[text_from:lt], here, block
+        name, attributes = page[name_from:name_end].lower(), page[name_end:end]
+        at = text_from = end + 1
         if name in RAW and not closing:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            found = _CLOSES[name].search(page, at)
+            close = page.find(">", found.end()) if found else -1
+            at = text_from = close + 1 if close >= 0 else size
             yield "<" + name, "", here, block
             continue
         if name in BLOCKS:
@@ -101,61 +144,99 @@ def _tokens(page: str, elements: list[Element]) -> Iterator[tuple[str, str, Elem
                 if name not in ("html", "body"):
                     here = Element(name, here, attributes)
                     elements.append(here)
-            elif closing:
-                up = here
-                while up is not root and up.name != name:
-                    up = up.parent
-                if up is not root:
-                    here = up.parent
-        elif name in BLOCKS or name == "a":
+                    opened[name] += 1
+            elif closing and opened[name]:
+                while here.name != name:
+                    opened[here.name] -= 1
+                    here = here.parent
+                opened[name] -= 1
+                here = here.parent
+        elif name in BLOCKS:
             inner = "" if closing else name
-        yield "<" + (name if name in BLOCKS or name in ("a", "br") else "inline"), "", here, block
-    if at < len(page):
-        yield run(page[at:])
+        alone = name == "a" and inner in ("", "li", "a")  # a link within a paragraph is like the rest of it
+        if alone:
+            inner = "" if closing else "a"
+        yield "<" + (name if name in BLOCKS or name in HEAD or name == "br" or alone else "inline"), "", here, block
+    if text_from < size:
+        yield inner or here.name, page[text_from:], here, block
 
 
 def counted(page: str) -> tuple[Counter, Counter] | None:
     """Tokens by kind inside and outside of a labelled page's content; None if the page has no content element."""
-    inside, outside, labelled = Counter(), Counter(), False
-    for kind, text, element, _ in tokens(page):
-        labelled = labelled or element.content is not None
-        (inside if element.content is not None and not element.other else outside)[kind] += len(text.split()) if text else 1
-    return (inside, outside) if labelled else None
+    elements: list[Element] = []
+    found = list(tokens(page, elements))
+    if not any(e.content is not None for e in elements):
+        return None
+    inside, outside = Counter(), Counter()
+    words: dict[int, list[int]] = {id(e): [0, 0] for e in elements}
+    for kind, text, element, _ in found:
+        n = len(text.split()) if text else 1
+        if not element.hidden:
+            (inside if element.content is not None else outside)[kind] += n
+            if text:
+                words[id(element)][element.content is None] += n
+    for e in reversed(elements):  # children come before their parents
+        n_in, n_out = words[id(e)]
+        for kind in e.kinds:
+            inside[kind] += n_in
+            outside[kind] += n_out
+        if e.parent is not None:
+            up = words[id(e.parent)]
+            up[0], up[1] = up[0] + n_in, up[1] + n_out
+    return inside, outside
 
 
 def weights(inside: Counter, outside: Counter) -> dict[str, float]:
-    """Log odds by kind, with pseudo-counts; a kind that is not listed has weight 0."""
-    n_in, n_out = sum(inside.values()) + 1, sum(outside.values()) + 1
-    return {k: math.log((inside[k] / n_in + 1e-4) / (outside[k] / n_out + 1e-4)) for k in {*inside, *outside}}
+    """Log odds by kind, with pseudo-counts, drawn to the kind's prior where it was seen little."""
+    n_in, n_out = (sum(n for k, n in c.items() if k[:1] not in ".#") + 1 for c in (inside, outside))
+    out = {}
+    for k in {*inside, *outside}:
+        odds = math.log((inside[k] / n_in + 1e-4) / (outside[k] / n_out + 1e-4))
+        n = inside[k] + outside[k]
+        out[k] = (odds * n + prior(k) * PRIOR_COUNT) / (n + PRIOR_COUNT)
+    return out
+
+
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """Start and end of the contiguous region with the largest sum; empty if no sum is above 0. One scan."""
+    best, total, start, region = 0.0, 0.0, 0, (0, 0)
+    for k, score in enumerate(scores):
+        if total <= 0:
+            total, start = 0.0, k
+        total += score
+        if total > best:
+            best, region = total, (start, k + 1)
+    return region
 
 
 def extract(page: str, weight: dict[str, float]) -> str:
     """The main text: its blocks in page order, joined by line feeds; empty if no region scores above 0."""
-    found = list(tokens(page))
-    best, sum_, start, region = 0.0, 0.0, 0, (0, 0)
-    for k, (kind, text, _, _) in enumerate(found):
-        score = len(text.split()) * (1.0 + weight.get(kind, 0.0)) if text else weight.get(kind, 0.0) - 1.0
-        if sum_ <= 0:
-            sum_, start = 0.0, k
-        sum_ += score
-        if sum_ > best:
-            best, region = sum_, (start, k + 1)
-    held = [e for _, text, e, _ in found[slice(*region)] if text.strip() and not e.other]
-    if not held:
-        return ""
-    # with content elements, all of each that the region touches; else the blocks that it touches
-    contents = {e.content for e in held if e.content is not None}
-    touched = {b for _, text, _, b in found[slice(*region)] if text.strip()}
+    elements: list[Element] = []
+    found = list(tokens(page, elements))
+    around: dict[int, float] = {}
+    for e in elements:  # parents come first
+        own = sum(weight.get(k, prior(k)) for k in e.kinds)
+        around[id(e)] = own + (around[id(e.parent)] if e.parent is not None else 0.0)
+    each, scores = [], []
+    for kind, text, element, _ in found:
+        if not text:
+            each.append(0.0)
+            scores.append(-min(max(1.0 - weight.get(kind, 0.0), CHEAP), DEAR))
+        else:
+            word = LOW if element.hidden else 1.0 + min(max(weight.get(kind, 0.0) + around[id(element)], LOW), HIGH)
+            each.append(word)
+            scores.append(word * len(text.split()))
+    first, last = best_region(scores)
     blocks: dict[int, list[str]] = {}
-    for kind, text, element, block in found:
-        if not element.other and (element.content in contents if contents else block in touched):
+    for (kind, text, _, block), word in zip(found[first:last], each[first:last], strict=True):
+        if kind == "<br" or (text and word > 0):
             blocks.setdefault(block, []).append(" " if kind == "<br" else text)
     lines = (" ".join(entities.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n".join(x for x in lines if x)
 
 
 def learn_weights(pages: DataFrame, id_col: str, html_col: str, most: int = LABELLED_PAGES) -> dict[str, float]:
-    """Weights from a bounded sample of pages with a content element. Kinds are HTML's element names, so the counts are few."""
+    """Weights from at most `most` different pages with a content element, those of the smallest hashes of id and html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside, outside = Counter(), Counter()
@@ -167,9 +248,13 @@ def learn_weights(pages: DataFrame, id_col: str, html_col: str, most: int = LABE
         kinds = sorted({*inside, *outside})
         yield pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.string()), "inside": pa.array([inside[k] for k in kinds], pa.int64()), "outside": pa.array([outside[k] for k in kinds], pa.int64())})
 
-    share = max(1, pages.count() // most)
-    rows = pages.select(F.col(id_col).alias("id"), text_or_empty(html_col).alias("html")).filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).limit(2 * most)
-    sums = rows.mapInArrow(run, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()
+    rows = pages.select(F.xxhash64(F.col(id_col), F.col(html_col)).alias("h"), text_or_empty(html_col).alias("html"))
+    labelled = rows.filter(F.col("html").rlike(r"(?i)<(article|main)[\s/>]|role\s*=\s*[\"']?main"))
+    smallest = labelled.select("h").distinct().orderBy("h").limit(most).agg(F.max("h").alias("h")).first().h
+    if smallest is None:
+        return {}
+    chosen = labelled.filter(F.col("h") <= smallest).dropDuplicates(["h"])
+    sums = chosen.select("html").mapInArrow(run, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()
     return weights(Counter({r.kind: r.inside for r in sums}), Counter({r.kind: r.outside for r in sums}))
 
 
@@ -178,7 +263,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     The whole html is read; null html counts as empty and gives an empty text. Character references
     are decoded; white space inside a block becomes one space. Without `weight`, weights are counted
-    on the pages themselves. Repeated rows give repeated rows; an empty table gives an empty result;
+    on the pages themselves; where none has a content element, words score 1 and tags -1 but for what
+    announces another purpose. Repeated rows give repeated rows; an empty table gives an empty result;
     other columns are ignored.
     """
     learned = weight if weight is not None else learn_weights(pages, id_col, html_col)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_rows import TEXTS
 
-from atlasmill.llm.html_text import extract, main_text, tokens
+from atlasmill.llm.html_text import best_region, counted, extract, learn_weights, main_text, tokens, weights
 from atlasmill.llm.secret_scan import BASE, MORE, scan_secrets
 from atlasmill.llm.sentencepiece_bpe import Bpe, Coder, encode_decode, read_vocabulary
 from atlasmill.llm.trigram_query import trigram_query
@@ -119,6 +120,51 @@ def test_every_article_that_the_region_touches_is_kept():
     assert extract(page, {}).split("\n") == [f"Article {k} has quite a few words of its own" for k in range(3)]
 
 
+def test_the_scan_finds_the_best_of_all_regions():
+    rng = random.Random(4)
+    for _ in range(300):
+        scores = [rng.choice((-3.0, -1.0, -0.1, 0.5, 1.0, 2.0)) for _ in range(rng.randint(0, 25))]
+        a, b = best_region(scores)
+        every = [sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+        best = max([0.0, *every])
+        assert sum(scores[a:b]) == pytest.approx(best) and (b > a) == (best > 0)
+
+
+def _labelled(rng, k, tag="article"):
+    words = lambda n: " ".join(rng.choice("lorem ipsum dolor sit amet sed do".split()) for _ in range(n))
+    text = "".join(f"<p>{words(rng.randint(1, 30))}</p>" for _ in range(6)) + f"<div class='notice big{k}'>{words(5)}</div><p>{words(9)} <a href='x'>{words(2)}</a> {words(1)}</p>"
+    return f"<html><head><title>{words(5)}</title><meta x><script>{words(9)}</script></head><body><div class='topline'>{words(6)}</div><ul><li><a>{words(2)}</a></li></ul><{tag}><h1>{words(4)}</h1>{text}</{tag}><div class='reader-says'><p>{words(20)}</p></div><footer>{words(12)}</footer></body></html>"
+
+
+def test_weights_from_labelled_pages_decide_on_unlabelled_ones(spark):
+    """Class words are kinds: one that labelled pages hold outside is left out, one that they hold inside is kept, though it announces another purpose."""
+    rng = random.Random(6)
+    pages = [(k, "u", _labelled(rng, k)) for k in range(80)]
+    df = spark.createDataFrame([*pages, pages[0]], "page_id long, url string, html string").repartition(3)
+    learned = learn_weights(df, "page_id", "html")
+    assert learned[".reader-says"] < -2 < 0 < learned["p"] and learned[".notice"] > 0
+    for k in range(30):
+        plain = _labelled(random.Random(k), k, "div")
+        marked = _labelled(random.Random(k), k)
+        text = extract(plain, learned)
+        assert text == extract(marked, learned) and text.count("\n") == 8
+        assert all(x not in text for x in ("<", "&"))
+    assert learn_weights(df, "page_id", "html", most=5).keys() <= {*learned}
+
+
+def test_kinds_are_counted_inside_and_outside():
+    inside, outside = counted("<div class='x y'><p>a b</p></div><article><div class='x'><p>c</p></div></article>")
+    assert (inside["p"], outside["p"], inside[".x"], outside[".x"], outside[".y"]) == (1, 2, 1, 2, 2)
+    assert counted("<p>a</p>") is None and weights(inside, outside)[".x"] < 0
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a \">\"", "<!-- ", "<script </script ", "<x y='", "</div>", "<div><p>w", "<", "</", "<!", "<div class='a b'>x"])
+def test_long_odd_pages_take_linear_time(piece):
+    started = time.process_time()
+    extract(piece * (2_000_000 // len(piece)), {})
+    assert time.process_time() - started < 20
+
+
 def test_without_labelled_pages_words_alone_decide():
     page = "<div id='menu'><a>x</a></div><div><h1>Title here</h1><p>One para with some words</p></div><div id='footer'>end</div>"
     assert "One para with some words" in extract(page, {}) and "end" not in extract(page, {}).split()
