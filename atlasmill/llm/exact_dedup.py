@@ -1,11 +1,14 @@
 """Exact dedup: a tree-merge of sorted digest runs, in DataFrame operations only.
 
-Documents are reduced to digest rows first, so no text is shuffled. Rows are dealt to `runs` runs
-by a hash of their identifier, which spreads a group of copies, however large, over all runs. Each
-round brings `fan_in` neighbouring runs together: the rows of a run are sorted by digest and equal
-digests merge into one row that retains the winning identifier and the number of copies. Rounds go
-on until one run per digest is left, so at the last level a digest has at most `fan_in` rows. The
-winner then travels back to the first level's runs, again at most `runs` rows per digest.
+Documents are reduced to digest rows first, so no text is shuffled. Rows are dealt to `runs` runs by a
+hash of their identifier, which spreads a group of copies, however large, over all runs, and within a
+run equal digests become one row: the run's winning identifier and number of copies. The runs are then
+exchanged once, by digest, and sorted by digest and run number, so that each task holds a stretch of
+every run. From there they merge in binomial rounds: in each, neighbouring runs (those whose numbers
+differ in the last bit; `fan_in` of them where more merge at a time) meet, and equal digests become one
+row that retains the winner. A round reads its rows in the order in which the round before wrote them
+and keeps it: no round sorts or exchanges again. At most `runs` rows of a digest ever meet. The winner
+then travels back to the first level's runs, again at most `runs` rows per digest.
 
 A digest is SHA-256; it is verified at every level, as the byte length and an independent 64-bit
 hash are part of the merge key: texts that differ in either never merge.
@@ -28,23 +31,25 @@ def digest_rows(docs: DataFrame, id_col: str, text_col: str, runs: int) -> DataF
     return keyed.groupBy(*KEY, "id").agg(F.count("*").alias("copies")).withColumn("run", F.pmod(F.xxhash64("id"), F.lit(runs)).cast("int"))
 
 
-def merge_round(level: DataFrame, fan_in: int) -> DataFrame:
-    """One round: `fan_in` runs meet, and equal digests merge. The struct makes the merge sort-based: runs arrive and leave sorted by digest."""
-    return (
-        level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-        .groupBy(*KEY, "run")
-        .agg(F.max("best").alias("best"), F.sum("copies").alias("copies"))
-    )
+def merge_tree(level: DataFrame, runs: int, fan_in: int) -> DataFrame:
+    """All rounds: `level` has a row for each key and run; the result one for each key. Run numbers are held as bits, the highest first, so that rows sorted by all of them are sorted for every round."""
+    bits = [f"bit{k}" for k in reversed(range((runs - 1).bit_length()))]
+    level = level.select(*KEY, *[F.shiftright("run", int(b[3:])).bitwiseAND(F.lit(1)).alias(b) for b in bits], "best", "copies")
+    level = level.repartition("digest").sortWithinPartitions(*KEY, *bits)
+    step = max(1, fan_in.bit_length() - 1)
+    while True:
+        bits = bits[:-step]
+        level = level.groupBy(*KEY, *bits).agg(F.max("best").alias("best"), F.sum("copies").alias("copies"))
+        if not bits:
+            return level
 
 
-def verdicts(docs: DataFrame, id_col: str, text_col: str, keep: str = "largest", runs: int = 64, fan_in: int = 8) -> DataFrame:
-    """A row per (text, id): id, digest, n_bytes, check, copies, keep_id, group_size."""
+def verdicts(docs: DataFrame, id_col: str, text_col: str, keep: str = "largest", runs: int = 64, fan_in: int = 2) -> DataFrame:
+    """A row per (text, id): id, digest, n_bytes, check, copies, keep_id, group_size. fan_in is a power of two."""
     sign = {"largest": 1, "smallest": -1}[keep]
     rows = staged(digest_rows(docs, id_col, text_col, runs), "digests")
-    level = rows.groupBy(*KEY, "run").agg(F.max(F.struct((F.col("id") * sign).alias("id"))).alias("best"), F.sum("copies").alias("copies"))
-    first, left = level, runs
-    while left > 1:
-        level, left = merge_round(level, fan_in), -(-left // fan_in)
+    first = rows.groupBy(*KEY, "run").agg(F.max(F.struct((F.col("id") * sign).alias("id"))).alias("best"), F.sum("copies").alias("copies"))
+    level = merge_tree(first, runs, fan_in)
     groups = level.filter("copies > 1").select(*KEY, (F.col("best.id") * sign).alias("keep_id"), F.col("copies").alias("group_size"))
     by_run = first.select(*KEY, "run").join(groups, KEY)
     found = rows.join(by_run, [*KEY, "run"], "left")
@@ -58,7 +63,7 @@ def verdicts(docs: DataFrame, id_col: str, text_col: str, keep: str = "largest",
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", runs: int = 64, fan_in: int = 8) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", runs: int = 64, fan_in: int = 2) -> DataFrame:
     """Finds groups of identical texts; returns a row per document: id, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty. The row with the largest (or, with keep="smallest", the smallest)
@@ -78,6 +83,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """One document of each group of identical texts, with all its columns; which one stays is as in exact_dedup()."""
+    """One document of each group of identical texts, with all its columns and no others; which one stays is as in exact_dedup().
+
+    Null and empty texts are one group. Of rows with the same id and text one occurrence stays. An
+    empty table gives an empty result.
+    """
     found = verdicts(docs, id_col, text_col, keep)
     return keep_rows(docs, id_col, text_col, found.withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id"))))
