@@ -176,10 +176,57 @@ def test_sparse_sites_are_shrunk(spark):
     assert got["big"] > 0.9 and got["bad"] < 0.1 and got["bad"] < got["tiny"] < 0.5
 
 
+def test_posteriors_are_those_of_the_formulas(spark):
+    """Shares, strengths, and posteriors without the document's own part, recomputed in numpy from the evidence."""
+    docs, labels = labelled(spark)
+    got = docs.join(quality.classify(docs, labels).drop("good"), "doc_id").na.fill("none", ["source"]).toPandas()
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    base = np.round(sigmoid(got.evidence), 6).mean()
+    got["p"] = np.round(sigmoid(got.evidence + np.log(base / (1 - base))), 6)
+    path = got.groupby(["source", "lang"]).p.agg(n="count", good="sum").reset_index()
+    host = path.groupby("source")[["n", "good"]].sum().reset_index()
+    share, n = got.p.mean(), len(got)
+
+    def strength(t, above):
+        within = above * (1 - above) * np.ones(len(t))
+        between = max(((t.n * (t.good / t.n - above) ** 2).sum() - within.sum()) / t.n.sum(), 1e-6)
+        return min(max((t.n * within).sum() / t.n.sum() / between - 1, 1.0), 1000.0)
+
+    k = strength(host, share)
+    path = path.merge(host, on="source", suffixes=("", "_host"))
+    k2 = strength(path, (path.good_host + k * share) / (path.n_host + k))
+    m = got.merge(path, on=["source", "lang"])
+    rest = (got.p.sum() - m.p) / (n - 1)
+    above = (m.good_host - m.p + k * rest) / (m.n_host - 1 + k)
+    own = (m.good - m.p + k2 * above) / (m.n - 1 + k2)
+    assert np.allclose(m.host_share, above, atol=1e-5) and np.allclose(m.path_share, own, atol=1e-5)
+    assert np.allclose(m.posterior, sigmoid(m.evidence + np.log(own / (1 - own))), atol=1e-4)
+
+
+def test_words_alone_tell_documents_apart(spark):
+    """Same length, same characters of every kind: only the vocabulary differs; repartitioning changes nothing."""
+    rng = random.Random(12)
+    words = ["".join(rng.sample("abcdefghijklmnop", 6)) for _ in range(60)]
+    docs = [(i, " ".join(rng.choice(words[:40] if i % 3 else words[20:]) for _ in range(30)), "s", "en") for i in range(240)]
+    labels = [(i, int(i % 3 > 0)) for i in range(0, 240, 2)]
+    df, known = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.classify(df.repartition(7), known).collect()}
+    assert np.mean([got[i].good == (i % 3 > 0) for i in range(1, 240, 2)]) > 0.95
+    again = {r.doc_id: r for r in quality.classify(df.coalesce(1), known).collect()}
+    assert got == again
+
+
+def test_hashed_words_are_the_words():
+    words, grams = quality.hashed("Ab  cd\nab é")
+    assert len(words) == 4 and words[0] == words[2] != words[1] and len(grams) == len("Ab  cd\nab é".encode()) - 3
+    assert [len(x) for x in quality.hashed("")] == [0, 0] and [len(x) for x in quality.hashed(" a ")] == [1, 0]
+
+
 def test_quality_of_odd_rows(odd, none, spark):
     labels = spark.createDataFrame([(1, 1), (5, 0), (None, 1), (7, None), (77, 1)], "doc_id long, quality int")
     assert quality.classify(odd, labels).count() == len(TEXTS)
     assert quality.keep_good(odd, labels).columns == odd.columns
-    assert quality.classify(none, labels).collect() == []
+    assert quality.classify(none, labels).collect() == [] and quality.keep_good(none, labels).collect() == []
+    assert quality.keep_good(odd, labels.limit(0)).count() == len(TEXTS)
     neutral = quality.classify(odd, labels.limit(0)).collect()
     assert all(r.good and r.evidence == 0 for r in neutral)
