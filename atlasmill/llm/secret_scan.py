@@ -15,11 +15,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged, text_or_empty
+from .shared import BROADCAST_KEYS, row_key, staged, text_or_empty
 from .trigram_query import trigram_query
 
 CHUNK = 32768
-#: Candidate bitmaps up to so many bytes go to every task; larger ones are joined by chunk.
+#: Candidate bitmaps up to so many bytes go to every task; larger ones are joined with keys, not with texts.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -95,8 +95,28 @@ def _is_candidate(rule: int) -> Column:
     return F.coalesce(F.getbit(byte, F.pmod("bit", F.lit(8)).cast("int")) == 1, F.lit(False))
 
 
+def _with_candidates(placed: DataFrame, chosen: DataFrame, indexed: list[int]) -> DataFrame:
+    """look<rule> for each text, by a join of the bitmaps with rows that hold no text: only the keys of candidates come back to the texts."""
+    key = row_key("id", "text")
+    found = placed.select(*key, "chunk", "bit").join(chosen, "chunk").select("id", "check", "n_bytes", *[_is_candidate(k).alias(f"look{k}") for k in indexed])
+    keys = found.groupBy("id", "check", "n_bytes").agg(*[F.bool_or(f"look{k}").alias(f"look{k}") for k in indexed])
+    keys = staged(keys.filter(" OR ".join(f"look{k}" for k in indexed)), "candidate-keys")
+    keys = keys.select(F.col("id").alias("c_id"), F.col("check").alias("c_check"), F.col("n_bytes").alias("c_bytes"), *[f"look{k}" for k in indexed])
+    few = keys.count() <= BROADCAST_KEYS
+    same = F.col("id").eqNullSafe(F.col("c_id")) & (key[1] == F.col("c_check")) & (key[2] == F.col("c_bytes"))
+    joined = placed.select("id", "text").join(F.broadcast(keys) if few else keys, same, "left")
+    return joined.select("id", "text", *[F.coalesce(f"look{k}", F.lit(False)).alias(f"look{k}") for k in indexed])
+
+
+#: Matches whose spans are summed up together; the blocks' starts are then sums of whole blocks.
+_BLOCK = 256
+
+
 def _spans(kind: int, rule: Rule) -> Column:
-    """Array of (start, kind, end) of the rule's matches in `text`, in code points."""
+    """Array of (start, kind, end) of the rule's matches in `text`, in code points.
+
+    A match starts where the texts between matches and the matches before it end: running sums, by blocks.
+    """
     pattern, text = F.lit(rule.pattern), F.col("text")
     hits, values = F.regexp_extract_all(text, pattern, F.lit(0)), F.regexp_extract_all(text, pattern, F.lit(rule.group))
     gaps = F.slice(F.split(text, rule.pattern), F.lit(1), F.size(hits))
@@ -111,7 +131,14 @@ def _spans(kind: int, rule: Rule) -> Column:
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["found"], F.array(span)).alias("found"))
 
-    all_spans = F.aggregate(sized, F.struct(F.lit(0).alias("at"), none.alias("found")), step)["found"]
+    def moved(block: Column, by: Column) -> Column:
+        return F.transform(block["found"], lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end"), s["value"].alias("value")))
+
+    count = F.ceil(F.size(sized) / _BLOCK).cast("int")
+    numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    blocks = F.transform(numbers, lambda b: F.aggregate(F.slice(sized, b * _BLOCK + 1, F.lit(_BLOCK)), F.struct(F.lit(0).alias("at"), none.alias("found")), step))
+    starts = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["at"])))
+    all_spans = F.flatten(F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), moved))
     kept = F.filter(all_spans, lambda s: s["value"] >= rule.least)
     return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
@@ -138,11 +165,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     chosen = staged(candidates(index, terms), "candidates")
     held = (chosen.agg(F.sum(F.size("bitmaps"))).first()[0] or 0) * CHUNK // 8
     placed = rows.withColumn("slot", _slot(slots)).select("id", "text", F.bitmap_bucket_number("slot").alias("chunk"), F.bitmap_bit_position("slot").alias("bit"))
-    joined = placed.join(F.broadcast(chosen) if held <= BROADCAST_BYTES else chosen, "chunk", "left")
+    if held <= BROADCAST_BYTES:
+        joined = placed.join(F.broadcast(chosen), "chunk", "left").withColumns({f"look{k}": _is_candidate(k) for k in sorted(indexed)})
+    else:
+        joined = _with_candidates(placed, chosen, sorted(indexed))
     nothing = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     found = []
     for k, rule in enumerate(rules):
-        look = _is_candidate(k) if k in indexed else F.col("text").rlike(rule.pattern)
+        look = F.col(f"look{k}") if k in indexed else F.col("text").rlike(rule.pattern)
         found.append(F.when(look, _spans(k, rule)).otherwise(nothing).alias(f"s{k}"))
     spans = joined.select("id", *found)
     base, every = [F.col(f"s{k}") for k in range(len(BASE))], [F.col(f"s{k}") for k in range(len(rules))]
