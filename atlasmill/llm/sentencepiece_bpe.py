@@ -4,13 +4,16 @@ Texts are cut into units, between which no piece of the vocabulary reaches; equa
 once. All new units are encoded together: their characters are one flat array of symbols; a round
 finds each unit's minimum pair rank (a segmented minimum), merges that pair's occurrences from the
 left all at once, and compacts the arrays; units without a pair leave. Where a merge makes a pair
-that ranks before, or as, the one just merged, only the unit's leftmost occurrence is merged in that
-round, so the order of merges is the library's own.
+that ranks before, or as, the one just merged, the unit's occurrences up to the leftmost such one are
+merged in that round, so the order of merges is the library's own. A unit of very many characters
+(unbroken text) would need very many rounds: its merges are taken one by one from a queue, in the same
+order.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Callable
 
@@ -22,6 +25,8 @@ from .shared import per_text
 SPACE = "▁"
 #: Units whose encoding a task remembers, and characters that are encoded at a time.
 MEMORY, FLUSH = 300_000, 1 << 20
+#: Units of more characters are merged by queue.
+LONG = 2048
 
 
 def read_vocabulary(path: str) -> dict:
@@ -94,6 +99,13 @@ class Bpe:
         sym = np.where(sym < 0, -1 - code.astype(np.int64), sym)
         unit = np.repeat(np.arange(len(units)), lengths)
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        if (long := np.flatnonzero(lengths > LONG)).size:
+            ends = np.cumsum(lengths)
+            for u in long.tolist():
+                merged = self.merged_by_queue(sym[ends[u] - lengths[u] : ends[u]])
+                done.append((np.full(len(merged), u), merged))
+            short = lengths[unit] <= LONG
+            sym, unit = sym[short], unit[short]
         while len(sym):
             at = self.pair(sym[:-1], sym[1:])
             at = np.where(unit[:-1] == unit[1:], at, len(self.keys) - 1)
@@ -134,9 +146,9 @@ class Bpe:
             right = np.flatnonzero((p + 1 < len(s2)) & (u2[np.minimum(p + 1, len(s2) - 1)] == u2[p]))
             early[right] |= self.rank[self.pair(s2[p[right]], s2[p[right] + 1])] <= best_of(least, hit[right])
             if early.any():
-                careful = np.isin(unit[hit], unit[hit[early]])
                 first = np.append(True, np.diff(unit[hit]) > 0)
-                hit = hit[~careful | first]
+                before = np.cumsum(early) - early  # early ones to the left, of any unit
+                hit = hit[before == np.repeat(before[first], np.diff(np.append(np.flatnonzero(first), len(hit))))]
                 after, keep = sym.copy(), np.ones(len(sym), bool)
                 after[hit] = self.merged[at[hit]]
                 keep[hit + 1] = False
@@ -148,6 +160,46 @@ class Bpe:
         order = np.argsort(unit, kind="stable")
         return self._to_bytes(unit[order], sym[order], len(units))
 
+    def merged_by_queue(self, symbols: np.ndarray) -> np.ndarray:
+        """The symbols of one unit after all merges: always the pair of the least rank, of equal ranks the leftmost."""
+        n, none = len(symbols), len(self.keys) - 1
+        sym, after, before = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        at = self.pair(symbols[:-1], symbols[1:])
+        place = np.flatnonzero(at != none)
+        queue = ((self.rank[at[place]].astype(np.int64) << 32) | place).tolist()
+        pending = dict(zip(place.tolist(), at[place].tolist(), strict=True))  # the pair that now starts at a place
+        heapq.heapify(queue)
+        known: dict[int, int] = {}
+
+        def offer(left: int, right: int) -> None:
+            a, b = sym[left], sym[right]
+            key = a << 20 | b if a >= 0 <= b else -1
+            if (k := known.get(key, -1)) < 0:
+                k = known[key] = int(self.pair(np.array([a]), np.array([b]))[0])
+            if k != none:
+                pending[left] = k
+                heapq.heappush(queue, int(self.rank[k]) << 32 | left)
+            else:
+                pending.pop(left, None)
+
+        while queue:
+            entry = heapq.heappop(queue)
+            left = entry & 0xFFFFFFFF
+            k = pending.get(left, -1)
+            if k < 0 or self.rank[k] != entry >> 32:
+                continue
+            right = after[left]
+            sym[left], sym[right] = int(self.merged[k]), None
+            pending.pop(right, None)
+            del pending[left]
+            after[left] = right = after[right]
+            if right < n:
+                before[right] = left
+                offer(left, right)
+            if before[left] >= 0:
+                offer(before[left], left)
+        return np.array([x for x in sym if x is not None], np.int64)
+
     def _to_bytes(self, unit: np.ndarray, sym: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Symbols that are no pieces become the ids of their UTF-8 bytes."""
         odd = np.flatnonzero((sym < 0) | (sym >= self.size))

@@ -3,6 +3,7 @@ import random
 import re
 import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -42,6 +43,24 @@ def test_random_texts_encode_as_the_library_does(library, coder):
     assert list(zip(*coder.digests(texts), strict=True)) == [expected(library, t) for t in texts]
 
 
+def test_long_unbroken_texts_encode_as_the_library_does_in_near_linear_time(library, coder):
+    rng = random.Random(3)
+    letters = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    texts = [letters(n, of) for n in (2000, 2100, 40_000) for of in ("abcdefghijklmnopqrstuvwxyz", "abc", "ABCxyz0123+/日é")] + ["ab" * 30_000, "=" * 70_000, letters(300_000, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/")]
+    started = time.process_time()
+    assert list(zip(*coder.digests(texts), strict=True)) == [expected(library, t) for t in texts]
+    assert time.process_time() - started < 60
+
+
+def test_both_ways_of_merging_agree(coder):
+    rng = random.Random(5)
+    bpe = coder.bpe
+    for _ in range(200):
+        text = "".join(rng.choice("aabcdeinrst") for _ in range(rng.randint(2, 120)))
+        ids, _ = bpe.encode_units([text])
+        assert bpe.merged_by_queue(bpe.char[np.frombuffer(text.encode("utf-32-le"), np.uint32)].astype(np.int64)).tolist() == ids.tolist()
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.characters(blacklist_categories=["Cs"]), max_size=60))
 def test_any_text_encodes_as_the_library_does(text):
