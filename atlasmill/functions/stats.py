@@ -7,9 +7,13 @@ summed within each range, and shifted by the totals of the ranges before: a dist
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 #: Ranges of a prefix sum: the table of their totals is this long at most.
 RANGES = 64
 
@@ -115,6 +119,49 @@ def weighted_median(df: DataFrame, by: list[str], value: str, weight: str, to: s
     return summed.withColumn("__share", share).groupBy(*by).agg(F.min(F.when(F.col("__share") >= 0.5, F.col(value))).alias(to))
 
 
+#: Rank error of the approximate percentiles that bracket an exact one, as a share of the group: 1 / ACCURACY.
+ACCURACY = 10_000
+
+
+def group_percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], more: list[Column] | None = None) -> DataFrame:
+    """(by, each name, and the aggregates `more`): exact percentiles with linear interpolation, by group; nulls do not count.
+
+    Approximate percentiles, which combine before the shuffle, bracket the two values that each exact
+    one lies between; only rows inside a bracket are sorted, so a group's rows never meet in one task.
+    """
+    names = list(shares)
+    ends = sorted({round(min(max(q + d / ACCURACY, 0.0), 1.0), 9) for q in shares.values() for d in (-3, 3)})
+    rows = df.withColumn("__v", F.col(value).cast("double"))
+    bounds = rows.groupBy(*by).agg(F.count("__v").alias("__n"), F.percentile_approx("__v", ends, ACCURACY).alias("__b"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), *(more or []))
+    few = F.col("__n") <= ACCURACY  # such groups are sorted whole
+
+    def end(q: float, d: int) -> Column:
+        share = round(min(max(q + d / ACCURACY, 0.0), 1.0), 9)
+        outer = F.col("__lo") if d < 0 else F.col("__hi")
+        return F.when(few | F.lit(share in (0.0, 1.0)), outer).otherwise(F.get("__b", F.lit(ends.index(share))))
+
+    brackets = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(q)).alias("q"), end(q, -3).alias("lo"), end(q, 3).alias("hi")) for n, q in shares.items()])
+    bounds = staged(bounds.withColumn("__b", brackets), "brackets")
+    same = [rows[c].eqNullSafe(bounds[c]) for c in by]
+    met = rows.join(bounds.select(*by, "__n", "__b"), reduce(lambda a, b: a & b, same)) if by else rows.crossJoin(F.broadcast(bounds.select("__n", "__b")))
+    met = met.filter("__v IS NOT NULL").select(*[rows[c] for c in by], "__v", "__n", F.explode("__b").alias("__k"))
+    below = met.filter("__v < __k.lo").groupBy(*by, F.col("__k.name").alias("__name")).agg(F.count("*").alias("__below"))
+    inside = met.filter("__v BETWEEN __k.lo AND __k.hi").groupBy(*by, F.col("__k.name").alias("__name"), F.col("__k.q").alias("__q"), "__n", "__v").agg(F.count("*").alias("__same"))
+    order = Window.partitionBy(*by, "__name").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("__upto", F.sum("__same").over(order))
+    pairs = [inside[c].eqNullSafe(below[c]) for c in (*by, "__name")]
+    ranked = inside.join(below, reduce(lambda a, b: a & b, pairs), "left").select(*[inside[c] for c in by], inside["__name"], "__q", "__n", "__v", (F.col("__upto") + F.coalesce("__below", F.lit(0))).alias("__upto"))
+    place = F.col("__q") * (F.col("__n") - 1)
+    value_at = lambda rank: F.min(F.when(F.col("__upto") > rank, F.col("__v")))
+    found = ranked.groupBy(*by, "__name").agg(value_at(F.floor(place)).alias("__a"), value_at(F.ceil(place)).alias("__c"), F.max(place - F.floor(place)).alias("__f"))
+    each = found.groupBy(*by).agg(*[F.max(F.when(F.col("__name") == n, F.col("__a") + (F.col("__c") - F.col("__a")) * F.col("__f"))).alias(n) for n in names])
+    if not by:
+        return bounds.drop("__n", "__b", "__lo", "__hi").crossJoin(each) if more else each
+    kept = bounds.drop("__n", "__b", "__lo", "__hi")
+    both = kept.join(each, reduce(lambda a, b: a & b, [kept[c].eqNullSafe(each[c]) for c in by]), "left")
+    return both.select(*[kept[c] for c in by], *[each[n] for n in names], *[kept[c] for c in kept.columns if c not in by])
+
+
 def lorenz(df: DataFrame, key: str, population: str, points: str, ranges: int = 1) -> DataFrame:
     """(key, x, y, px, py): cumulated shares of population and points by rising points per inhabitant, with the shares before; rows with nobody are left out."""
     rated = df.filter(F.col(population) > 0).withColumn("__rate", F.col(points) / F.col(population))

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geo import distance_km
 from ..sources.staging import staged
 
-#: Targets up to so many are held as one array next to every source.
-FEW_TARGETS = 1000
+#: Targets up to so many are held as one array in every task.
+FEW_TARGETS = 2048
+#: Beyond it, cells split until none holds more targets than LEAF, by 4 to the power of STEPS at a time.
+LEAF, STEPS = 16, 2
 
 
 def _edges(ring: Column) -> Column:
@@ -47,46 +55,76 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, side: float, x: str
     return pairs.filter(inside(F.col(x).cast("double"), F.col(y).cast("double"), F.col(rings))).drop("__px", "__py", "__cx", "__cy")
 
 
-def nearest_km(sources: DataFrame, targets: DataFrame, key: str, groups: list[str] | None = None, to: str = "dist_km", few: int = FEW_TARGETS, side: float | None = None) -> DataFrame:
-    """(key, to): distance of each source (key, x, y; metres) to the nearest target (x, y); null without targets.
+def _nearest_of_few(sources: DataFrame, targets: np.ndarray, carry: list[str], to: str) -> DataFrame:
+    """Distances to a bounded array of targets (x, y), which goes to every task; sources stream by in Arrow batches."""
+    tx, ty = targets[:, 0], targets[:, 1]
+    at_once = max(1, (1 << 20) // len(tx))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y"))
+            near = np.empty(len(x))
+            for k in range(0, len(x), at_once):
+                part = slice(k, k + at_once)
+                near[part] = ((x[part, None] - tx) ** 2 + (y[part, None] - ty) ** 2).min(1)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(np.sqrt(near) / 1000, from_pandas=True)], names=[*carry, to])
+
+    rows = sources.select(*carry, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return rows.mapInArrow(run, T.StructType([*rows.select(*carry).schema.fields, T.StructField(to, T.DoubleType())]))
+
+
+def _nearest_by_descent(sources: DataFrame, targets: DataFrame, key: str, to: str, leaf: int) -> DataFrame:
+    """(key, to): descent in a tree of nested cells, for any number of targets.
+
+    Cells split until none holds more than `leaf` different targets, so crowded places have deep cells.
+    A cell is known by one of its targets: a source's distance to it bounds what the source need look
+    at, and cells whose boxes are farther than the least bound are left out at every level. Only the
+    last cells' targets meet sources.
+    """
+    t = staged(targets.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL").distinct(), "targets")
+    box = t.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count("*").alias("n")).first()
+    spread = max(box.x1 - box.x0, box.y1 - box.y0, 1e-3) * (1 + 1e-9)
+    depth = max(1, math.ceil(math.log(max(box.n / leaf, 1), 4)))
+
+    def placed(level: int) -> DataFrame:
+        cell = lambda c, c0: F.least(F.floor((F.col(c) - c0) / (spread / 2**level)), F.lit(2**level - 1)).cast("long")
+        return t.select("x", "y", cell("x", box.x0).alias("cx"), cell("y", box.y0).alias("cy"))
+
+    while depth < 2 * STEPS * 8 and placed(depth).groupBy("cx", "cy").count().filter(F.col("count") > leaf).limit(1).count():
+        depth += STEPS
+    lowest = staged(placed(depth), "targets-placed")
+    found = sources.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy")).filter("x IS NOT NULL AND y IS NOT NULL")
+    for level in range((depth - 1) % STEPS + 1, depth + 1, STEPS):
+        down = STEPS if level > STEPS else level
+        side = spread / 2**level
+        up = lambda c: F.shiftright(c, depth - level)  # noqa: E731, B023
+        cells = lowest.groupBy(up("cx").alias("nx"), up("cy").alias("ny")).agg(F.min(F.struct("x", "y")).alias("t"))
+        cells = cells.withColumns({"px": F.shiftright("nx", down), "py": F.shiftright("ny", down)})
+        met = found.join(cells, (F.col("cx") == F.col("px")) & (F.col("cy") == F.col("py")))
+        outside = lambda c, n, c0: F.greatest(F.lit(c0) + F.col(n) * side - F.col(c), F.col(c) - (F.lit(c0) + (F.col(n) + 1) * side), F.lit(0.0))  # noqa: E731, B023
+        least = F.hypot(outside("x", "nx", box.x0), outside("y", "ny", box.y0)) - 1e-6 * side
+        most = F.min(F.hypot(F.col("x") - F.col("t.x"), F.col("y") - F.col("t.y"))).over(Window.partitionBy(key))
+        kept = met.select(key, "x", "y", F.col("nx").alias("cx"), F.col("ny").alias("cy"), least.alias("least"), most.alias("most")).filter("least <= most")
+        found = staged(kept.drop("least", "most"), "nearest-cells")
+    met = found.join(lowest.select("cx", "cy", F.col("x").alias("tx"), F.col("y").alias("ty")), ["cx", "cy"])
+    return met.groupBy(key).agg(F.min(distance_km(F.col("x"), F.col("y"), F.col("tx"), F.col("ty"))).alias(to))
+
+
+def nearest_km(sources: DataFrame, targets: DataFrame, key: str, groups: list[str] | None = None, to: str = "dist_km", few: int = FEW_TARGETS, leaf: int = LEAF, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carry, to): distance of each source (key, x, y; metres) to the nearest target (x, y); null without targets or position.
 
     With `groups`, targets have a column `target_group`, and one distance column to_<g> is made for
-    each group. Few targets are held as one array. Otherwise both sides are dealt to cells: a
-    distance up to the cells' side, found in the cell or its neighbours, is final; sources without
-    one go on with cells of twice the side, until every cell's neighbourhood spans all targets.
+    each group. Up to `few` targets are held as one array in every task; more are found by descent in
+    a tree of cells. `carry` names columns of the sources to keep.
     """
     if groups is not None:
-        out = sources.select(key)
+        out = sources.select(key, *carry)
         for g in groups:
-            out = out.join(nearest_km(sources, targets.filter(F.col("target_group") == g), key, None, f"{to}_{g}", few, side), key)
+            out = out.join(nearest_km(sources, targets.filter(F.col("target_group") == g), key, None, f"{to}_{g}", few, leaf), key)
         return out
-    box = targets.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-    if not box.n:
-        return sources.select(key, F.lit(None).cast("double").alias(to))
-    if box.n <= few:
-        held = targets.agg(F.collect_list(F.struct("x", "y")).alias("__t"))
-        near = F.array_min(F.transform("__t", lambda t: distance_km(F.col("x"), F.col("y"), t["x"], t["y"])))
-        return sources.crossJoin(F.broadcast(held)).select(key, near.alias(to))
-    spread = max(box.x1 - box.x0, box.y1 - box.y0, 1.0)
-    side = side or max(spread / box.n**0.5, 1e-6) * 2
-    reach = sources.agg(F.max(F.greatest(F.abs(F.col("x") - box.x0), F.abs(F.col("x") - box.x1), F.abs(F.col("y") - box.y0), F.abs(F.col("y") - box.y1))).alias("r")).first().r or 0.0
-    left, done = sources.select(key, "x", "y"), []
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    while True:
-        cell = lambda c: F.floor(F.col(c) / side).cast("long")  # noqa: E731, B023
-        there = targets.select(F.col("x").alias("tx"), F.col("y").alias("ty"), cell("x").alias("cx"), cell("y").alias("cy"))
-        around = left.select("*", F.explode(steps).alias("dx")).select("*", F.explode(steps).alias("dy")).withColumns({"cx": cell("x") + F.col("dx"), "cy": cell("y") + F.col("dy")})
-        found = around.join(there, ["cx", "cy"]).groupBy(key).agg(F.min(distance_km(F.col("x"), F.col("y"), F.col("tx"), F.col("ty"))).alias(to))
-        last = side >= 2 * reach
-        final = staged(found if last else found.filter(F.col(to) * 1000 <= side), "nearest")
-        done.append(final)
-        if last:
-            break
-        left = staged(left.join(final, key, "left_anti"), "nearest-left")
-        if not left.limit(1).count():
-            break
-        side *= 2
-    every = done[0]
-    for d in done[1:]:
-        every = every.unionByName(d)
-    return sources.select(key).join(every, key, "left")
+    held = targets.filter("x IS NOT NULL AND y IS NOT NULL").select(F.col("x").cast("double"), F.col("y").cast("double")).limit(few + 1).toPandas().to_numpy(float)
+    if not len(held):
+        return sources.select(key, *carry, F.lit(None).cast("double").alias(to))
+    if len(held) <= few:
+        return _nearest_of_few(sources, held, [key, *carry], to)
+    return sources.select(key, *carry).join(_nearest_by_descent(sources, targets, key, to, leaf), key, "left")

@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import grid, projected, unprojected
-from ..functions.stats import weighted_median
+from ..functions.stats import group_percentiles, weighted_median
+from ..functions.text import operators_of
 from ..operators.crosswalk import agreement, majority
 from ..operators.spatial import nearest_km, point_in_polygon
+from ..sources.staging import staged
 from . import fixtures as X
 from .inventory import PRELUDE, branches
 from .registry import query
 
 #: Side of the cells of point-in-polygon joins, in micro-degrees.
 SIDE = 100_000.0
-STEP = 10_000.0
+#: Step of the grid of void cells, in metres.
+STEP = 1_000.0
 
 
 def active_branches(spark: SparkSession, d: str) -> DataFrame:
@@ -95,12 +98,11 @@ def nearest_by_operator(spark: SparkSession, d: str) -> DataFrame:
 @query(SQL_NEAR + """SELECT level2, count(*) AS n, round(median(dist_km), 6) AS median_km, round(quantile_cont(dist_km, 0.9), 6) AS p90_km, round(min(dist_km), 6) AS min_km, round(max(dist_km), 6) AS max_km,
 round(avg((dist_km <= 5)::INT), 6) AS within_5, round(avg((dist_km <= 10)::INT), 6) AS within_10, round(avg((dist_km <= 20)::INT), 6) AS within_20 FROM nb GROUP BY 1""")
 def distance_profile(spark: SparkSession, d: str) -> DataFrame:
-    p = X.metres(X.points(spark, d))
-    near = p.select("id", "level2").join(nearest_km(p, active_branches(spark, d), "id"), "id")
+    near = nearest_km(X.metres(X.points(spark, d)), active_branches(spark, d), "id", carry=("level2",))
     within = [F.round(F.avg((F.col("dist_km") <= s).cast("double")), 6).alias(f"within_{s}") for s in (5, 10, 20)]
-    return near.groupBy("level2").agg(
-        F.count("*").alias("n"), F.round(F.median("dist_km"), 6).alias("median_km"), F.round(F.percentile("dist_km", F.lit(0.9)), 6).alias("p90_km"), F.round(F.min("dist_km"), 6).alias("min_km"), F.round(F.max("dist_km"), 6).alias("max_km"), *within
-    )
+    sums = [F.count("*").alias("n"), F.round(F.min("dist_km"), 6).alias("min_km"), F.round(F.max("dist_km"), 6).alias("max_km"), *within]
+    found = group_percentiles(staged(near, "distances"), ["level2"], "dist_km", {"median_km": 0.5, "p90_km": 0.9}, sums)
+    return found.withColumns({c: F.round(c, 6) for c in ("median_km", "p90_km")})
 
 
 def zone_distances(spark: SparkSession, d: str) -> DataFrame:
@@ -142,15 +144,37 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
     return point_in_polygon(cells, polygons, STEP * 4).drop("rings")
 
 
-@query(PRELUDE + f"""b AS (SELECT floor(least(min(x_0), min(x_1), min(x_2), min(x_3)) / {STEP}) * {STEP} AS bx0, floor(greatest(max(x_0), max(x_1), max(x_2), max(x_3)) / {STEP}) * {STEP} AS bx1,
+SQL_VOID = PRELUDE + f"""b AS (SELECT floor(least(min(x_0), min(x_1), min(x_2), min(x_3)) / {STEP}) * {STEP} AS bx0, floor(greatest(max(x_0), max(x_1), max(x_2), max(x_3)) / {STEP}) * {STEP} AS bx1,
   floor(least(min(y_0), min(y_1), min(y_2), min(y_3)) / {STEP}) * {STEP} AS by0, floor(greatest(max(y_0), max(y_1), max(y_2), max(y_3)) / {STEP}) * {STEP} AS by1 FROM za),
-g AS (SELECT bx0 + i * {STEP} AS x, by0 + j * {STEP} AS y FROM b, range(400) r(i), range(400) s(j) WHERE bx0 + i * {STEP} <= bx1 AND by0 + j * {STEP} <= by1),
-e AS (SELECT pcode, area_sqkm, [[x_0, y_0, x_1, y_1], [x_1, y_1, x_2, y_2], [x_2, y_2, x_3, y_3], [x_3, y_3, x_0, y_0]] AS es, least(x_0, x_3) AS a, greatest(x_1, x_2) AS c, least(y_0, y_1) AS f, greatest(y_2, y_3) AS h FROM za),
-ins AS MATERIALIZED (SELECT pcode, area_sqkm, x, y FROM g JOIN e ON x BETWEEN a AND c AND y BETWEEN f AND h WHERE len(list_filter(es, lambda k: ((k[2] > y) <> (k[4] > y)) AND x < k[1] + (k[3] - k[1]) * (y - k[2]) / nullif(k[4] - k[2], 0))) % 2 = 1),
-nn AS (SELECT pcode, i.x, i.y, min(sqrt((i.x - p.x) * (i.x - p.x) + (i.y - p.y) * (i.y - p.y))) / 1000 AS dist FROM ins i CROSS JOIN pts p GROUP BY 1, 2, 3)
-SELECT pcode, count(*) AS n_cells, round(avg((dist > 10)::INT), 6) AS void_share, round(avg(dist), 6) AS mean_km, round(max(dist), 6) AS max_km FROM nn GROUP BY 1""")
+g AS MATERIALIZED (SELECT i, j, bx0 + i * {STEP} AS x, by0 + j * {STEP} AS y FROM b, range(2000) r(i), range(2000) s(j) WHERE bx0 + i * {STEP} <= bx1 AND by0 + j * {STEP} <= by1),
+e AS (SELECT pcode, [[x_0, y_0, x_1, y_1], [x_1, y_1, x_2, y_2], [x_2, y_2, x_3, y_3], [x_3, y_3, x_0, y_0]] AS es, least(x_0, x_3) AS a, greatest(x_1, x_2) AS c, least(y_0, y_1) AS f, greatest(y_2, y_3) AS h FROM za),
+ins AS MATERIALIZED (SELECT pcode, i, j, x, y FROM g JOIN e ON x BETWEEN a AND c AND y BETWEEN f AND h WHERE len(list_filter(es, lambda k: ((k[2] > y) <> (k[4] > y)) AND x < k[1] + (k[3] - k[1]) * (y - k[2]) / nullif(k[4] - k[2], 0))) % 2 = 1),
+w AS MATERIALIZED (SELECT x AS px, y AS py, contains(operators, 'OpA') AS a, contains(operators, 'OpB') AS b FROM pts),
+nn AS MATERIALIZED (SELECT pcode, i, j, x, y, sqrt(min((x - px) * (x - px) + (y - py) * (y - py))) / 1000 AS d, sqrt(min(CASE WHEN a THEN (x - px) * (x - px) + (y - py) * (y - py) END)) / 1000 AS da, sqrt(min(CASE WHEN b THEN (x - px) * (x - px) + (y - py) * (y - py) END)) / 1000 AS db FROM ins CROSS JOIN w GROUP BY ALL)
+"""
+
+
+def _void_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Grid cells inside zones with their distance to the nearest service point: of any operator, and of each."""
+    cells = staged(_cells(spark, d), "cells")
+    points = staged(X.metres(X.points(spark, d)).withColumn("ops", operators_of(F.col("operators"))).select("x", "y", "ops"), "witnesses")
+    out = nearest_km(cells, points, "cell", carry=("pcode", "ix", "iy", "x", "y"))
+    for o in ("OpA", "OpB"):
+        out = out.join(nearest_km(cells, points.filter(F.array_contains("ops", o)), "cell", to=f"dist_km_{o}"), "cell")
+    return out
+
+
+@query(SQL_VOID + """SELECT pcode, count(*) AS n_cells, round(avg((d > 10)::INT), 6) AS void_share, round(avg((da > 10)::INT), 6) AS void_share_OpA, round(avg((db > 10)::INT), 6) AS void_share_OpB, round(avg(d), 6) AS mean_km, round(max(d), 6) AS max_km FROM nn GROUP BY 1""")
 def void_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Share of each zone's grid cells without a service point within 10 km."""
-    cells = _cells(spark, d)
-    near = cells.select("cell", "pcode").join(nearest_km(cells.select("cell", "x", "y"), X.metres(X.points(spark, d)).select("x", "y"), "cell"), "cell")
-    return near.groupBy("pcode").agg(F.count("*").alias("n_cells"), F.round(F.avg((F.col("dist_km") > 10).cast("double")), 6).alias("void_share"), F.round(F.avg("dist_km"), 6).alias("mean_km"), F.round(F.max("dist_km"), 6).alias("max_km"))
+    """Share of each zone's 1 km cells without a service point within 10 km: of any operator, and of each."""
+    near = _void_distances(spark, d)
+    void = [F.round(F.avg((F.col(f"dist_km{o}") > 10).cast("double")), 6).alias(f"void_share{o}") for o in ("", "_OpA", "_OpB")]
+    return near.groupBy("pcode").agg(F.count("*").alias("n_cells"), *void, F.round(F.avg("dist_km"), 6).alias("mean_km"), F.round(F.max("dist_km"), 6).alias("max_km"))
+
+
+@query(SQL_VOID + """SELECT pcode, i AS ix, j AS iy, round(d, 1) AS dist_km, round(da, 1) AS dist_km_OpA, round(db, 1) AS dist_km_OpB FROM nn WHERE greatest(d, da, db) > 10 AND i % 2 = 0 AND j % 2 = 0""")
+def void_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells to show: one of four, void for any operator or for one at least, with rounded distances."""
+    void = F.greatest("dist_km", "dist_km_OpA", "dist_km_OpB") > 10
+    shown = _void_distances(spark, d).filter(void & (F.pmod("ix", F.lit(2)) == 0) & (F.pmod("iy", F.lit(2)) == 0))
+    return shown.select("pcode", "ix", "iy", *[F.round(f"dist_km{o}", 1).alias(f"dist_km{o}") for o in ("", "_OpA", "_OpB")])

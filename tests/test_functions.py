@@ -3,6 +3,7 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,17 @@ def test_weighted_median_is_the_lower_one(spark):
     assert sorted(map(tuple, stats.weighted_median(df, ["g"], "v", "w", "m").collect())) == [("a", 2.0), ("b", 4.0)]
 
 
+def test_exact_percentiles_by_group(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(g, rng.choice((None, rng.gauss(0, 1), 3.0))) for g in ("a", "b", None) for _ in range(400)] + [("one", 7.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    want = {g: ([float(x) for x in np.percentile(v, [50, 90])] if (v := [y for h, y in rows if h == g and y is not None]) else [None, None]) for g in {r[0] for r in rows}}
+    for accuracy in (10_000, 20):
+        monkeypatch.setattr(stats, "ACCURACY", accuracy)
+        got = {r.g: [r.median, r.p90] for r in stats.group_percentiles(df, ["g"], "v", {"median": 0.5, "p90": 0.9}, [F.count("*").alias("n")]).collect()}
+        assert got.keys() == want.keys() and all(a == b if a is None else a == pytest.approx(b) for g in got for a, b in zip(got[g], want[g], strict=True))
+
+
 def test_concentration(spark):
     df = spark.createDataFrame([("a", 10, 0), ("b", 10, 10), ("c", 20, 30), ("d", 0, 5)], "k string, p long, q long")
     curve = stats.lorenz(df, "k", "p", "q")

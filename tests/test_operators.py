@@ -33,12 +33,24 @@ def test_nearest_is_brute_force_either_way(spark):
     tgt = [(rng.gauss(3e4, 1e4), rng.gauss(5e4, 2e4)) for _ in range(80)]
     want = {i: min(math.hypot(x - a, y - b) for a, b in tgt) / 1000 for i, x, y in src}
     s, t = spark.createDataFrame(src, "id int, x double, y double"), spark.createDataFrame(tgt, "x double, y double")
-    for few in (1000, 10):
-        got = {r.id: r.dist_km for r in nearest_km(s, t, "id", few=few).collect()}
+    for few, leaf in ((1000, 16), (10, 1), (10, 16)):
+        got = {r.id: r.dist_km for r in nearest_km(s, t, "id", few=few, leaf=leaf).collect()}
         assert got == pytest.approx(want)
     assert {r.dist_km for r in nearest_km(s, t.filter("x < -1e9"), "id").collect()} == {None}
 
 
+def test_nearest_in_crowds_and_without_positions(spark):
+    """Many targets in one place, sources far off, repeated targets, null positions."""
+    rng = random.Random(8)
+    tgt = [(rng.gauss(0, 1e-3), rng.gauss(0, 1e-3)) for _ in range(150)] + [(5.0, 5.0)] * 50 + [(1e6, 1e6), (None, 1.0)]
+    src = [(i, rng.uniform(-1e6, 2e6), rng.uniform(-1e6, 2e6)) for i in range(40)] + [(50, 0.0, 0.0), (51, 1e6, 1e6), (52, None, 1.0)]
+    want = {i: None if x is None else min(math.hypot(x - a, y - b) for a, b in tgt if a is not None) / 1000 for i, x, y in src}
+    s, t = spark.createDataFrame(src, "id int, x double, y double"), spark.createDataFrame(tgt, "x double, y double")
+    for few in (1000, 10):
+        got = {r.id: r.dist_km for r in nearest_km(s, t, "id", few=few, leaf=4).collect()}
+        assert got.pop(52) is None and got == pytest.approx({k: v for k, v in want.items() if k != 52})
+
+
 def test_keep_first_follows_source_order(spark):
     df = spark.createDataFrame([("k", 1, 5, "b"), ("k", 0, 9, "a"), ("k", 0, 2, "c"), ("z", 2, 1, "d")], "id string, src_rank int, line_no int, v string").repartition(3)
     got = {r.id: (r.v, r.present_in) for r in tidy.keep_first(df, ["id"], ["src_rank", "line_no"], listing="v").collect()}
