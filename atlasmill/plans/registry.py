@@ -24,8 +24,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _ORACLES[name]
+
+
 def _load() -> None:
-    from . import access, census, inventory, ranking  # noqa: F401
+    from . import access, census, decisions, inventory, ranking  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -14,7 +14,7 @@ from atlasmill.plans import registry
 ROOT = Path(__file__).resolve().parents[1]
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHOSEN = ["facilities_dedupe", "indicators_level3", "norm_keys", "hierarchical_sum_check", "context_carry", "point_zone", "zone_vote", "nearest_point_of_many", "weighted_medians", "priority_index", "coverage_gap", "price_ranks", "gini_of_many", "lever_matrix", "census_rows", "merged_labels", "parsed_counts"]
+CHOSEN = ["facilities_dedupe", "indicators_level3", "norm_keys", "hierarchical_sum_check", "context_carry", "point_zone", "zone_vote", "nearest_point_of_many", "weighted_medians", "priority_index", "coverage_gap", "price_ranks", "gini_of_many", "lever_matrix", "census_rows", "merged_labels", "parsed_counts", "distance_profile", "indicators_by_operator", "facility_reference", "level3_index", "extremes", "convergence", "preset_weights", "plausibility_checks", "format_comparison"]
 
 
 @pytest.fixture(scope="module")
