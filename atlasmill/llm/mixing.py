@@ -191,7 +191,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3, seed: int = 17) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with all its columns and no others; documents without words are left out. Texts are not shuffled."""
+    """The mix itself: each document as often as it is taken, with all its columns and no others; documents without words are left out. Texts are not shuffled.
+
+    Null and empty texts have no words; a null source is a source of its own; repeated rows are mixed
+    as documents of their own. An empty table gives an empty result.
+    """
     place = _place(id_col, text_col, source_col, seed)
     plan = mix_plan(staged(docs.select(*place), "sizes"), weights, max_repeats)
     rows = docs.select(F.struct("*").alias("row"), *place)

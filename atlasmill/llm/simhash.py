@@ -102,7 +102,9 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """The document with the smallest id of each component, with all its columns.
 
     Of documents with the same id in one component the one with the smallest text hash stays, of
-    repeated rows one occurrence.
+    repeated rows one occurrence. Null, empty and blank texts have fingerprint zero and are one
+    component, of which one document stays; a null id stays only where a component has no other. An
+    empty table gives an empty result.
     """
     found = groups(docs, id_col, text_col).groupBy("id", "check", "n_bytes").agg(F.count("*").alias("copies"), F.min("first").alias("first"))
     mine = F.struct(F.col("id").isNull().alias("no_id"), "id", "check", "n_bytes")

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -140,6 +141,9 @@ def test_media_columns(odd, none):
     assert len(got) == len(TEXTS)
     for r in got:
         payload, _ = ogg.unmux(bytes(r.media))
+        texts = {(t or "").encode() for i, t, *_ in TEXTS if i == r.doc_id}
+        assert r.n_bytes in set(map(len, texts)) and payload in {t + bytes(-len(t) % 64 if t else 64) for t in texts}
+        assert hashlib.sha256(payload).hexdigest() == r.payload_sha256
         assert len(payload) == r.payload_bytes and zlib.crc32(payload[-64:]) == r.tail_crc32 and len(r.media) == r.media_bytes
     assert {r.payload_bytes for r in got if r.doc_id in (3, 4)} == {64}
     assert len({tuple(r)[1:] for r in got if r.doc_id in (1, 2)}) == 1
