@@ -1,11 +1,12 @@
 """SimHash near-dedup: fingerprints, pigeonhole blocks, verified links, connected components.
 
-A fingerprint of 64 bits is split into four blocks. Two fingerprints that differ in at most two
-bits agree on at least two whole blocks, so they meet under one of the six pairs of blocks (32 bits
-each), where their distance is verified. Equal fingerprints are one node from the start. A bucket of
-few nodes compares its pairs; in a larger one each node names itself and all fingerprints one
-differing bit away: two nodes are at distance two or less if and only if they name one in common,
-so linking each name's nodes to the smallest loses no link and emits no pairs.
+A fingerprint of 64 bits is split into 2 d blocks, where d is the distance that links. Two
+fingerprints that differ in at most d bits agree on at least d whole blocks, so they meet under one
+of the choices of d blocks (32 bits each; 6 choices at two bits, 70 at four), where their distance
+is verified. Equal fingerprints are one node from the start. A bucket of few nodes compares its
+pairs; in a larger one each node names itself and all fingerprints at most d / 2 differing bits
+away: two nodes are at distance d or less if and only if they name one in common, so linking each
+name's nodes to the smallest loses no link and emits no pairs.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import keep_rows, per_text, row_key, staged
 
-BITS, BLOCKS, DISTANCE = 64, 4, 2
+BITS, SHINGLE, DISTANCE = 64, 3, 2
 #: Up to this many nodes, a bucket's pairs are compared one by one.
 PAIRWISE = 32
 SEED = 42
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """The fingerprint as a signed 64-bit integer. Words are runs without ASCII white space, A-Z in lower case."""
     words = text.encode().translate(_LOWER).split()
     if not words:
@@ -51,61 +52,65 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) over the distinct fingerprints `nodes` (fp): those within DISTANCE bits are connected, no others."""
-    width = BITS // BLOCKS
-    blocks = [((1 << width) - 1) << (k * width) for k in range(BLOCKS)]
-    masks = [_signed(sum(pair)) for pair in combinations(blocks, BLOCKS - DISTANCE)]
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)])
-    rows = nodes.select("fp", F.explode(keys).alias("x")).select("fp", "x.k", "x.key")
+def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Edges (a, b) over the distinct fingerprints `nodes` (fp): those within `distance` bits are connected, no others.
+
+    distance is even and 2 * distance divides 64: 2, 4 or 8, of which 8 needs 12,870 keys a node.
+    """
+    if distance < 2 or distance % 2 or BITS % (2 * distance):
+        raise ValueError("distance must be even, and twice of it divide 64")
+    width = BITS // (2 * distance)
+    blocks = [((1 << width) - 1) << (k * width) for k in range(2 * distance)]
+    masks = F.array(*[F.lit(_signed(sum(some))) for some in combinations(blocks, distance)])
+    rows = nodes.select("fp", F.posexplode(masks).alias("k", "mask")).select("fp", "k", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     shared = rows.groupBy("k", "key").agg(F.count("*").alias("n")).filter("n > 1")
     members = staged(rows.join(shared, ["k", "key"]), "buckets")
     few = members.filter(F.col("n") <= PAIRWISE)
     left, right = few.select("k", "key", F.col("fp").alias("a")), few.select("k", "key", F.col("fp").alias("b"))
-    pairs = left.join(right, ["k", "key"]).filter("a < b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE).select("a", "b")
-    # a crowded bucket: its nodes differ outside the mask only
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << b)) for b in range(BITS)])
-    outside = F.filter(flips, lambda x: x.bitwiseAND(F.array(*map(F.lit, masks))[F.col("k")]) == 0)
-    many = members.filter(F.col("n") > PAIRWISE).select("k", "fp", F.explode(outside).alias("flip"))
-    named = many.select("k", F.col("fp").bitwiseXOR(F.col("flip")).alias("name"), "fp")
-    least = named.groupBy("k", "name").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    stars = named.join(least, ["k", "name"]).filter("fp <> b").select(F.col("fp").alias("a"), "b")
+    pairs = left.join(right, ["k", "key"]).filter("a < b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b")
+    # nodes of crowded buckets, each once
+    flips = [_signed(sum(1 << b for b in some)) for n in range(distance // 2 + 1) for some in combinations(range(BITS), n)]
+    crowd = members.filter(F.col("n") > PAIRWISE).select("fp").distinct()
+    named = crowd.select("fp", F.explode(F.array(*map(F.lit, flips))).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("name"))
+    least = named.groupBy("name").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    stars = named.join(least, "name").filter("fp <> b").select(F.col("fp").alias("a"), "b")
     return pairs.unionByName(stars).distinct()
 
 
-def groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def groups(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """A row per document: id, check, n_bytes, fp, and first, the (no_id, id, check, n_bytes) of its component's first document."""
     rows = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
     key = ["id", "check", "n_bytes"]
-    prints = staged(per_text(rows, "text", key, lambda: lambda texts: [[fingerprint(t) for t in texts]], "fp long"), "fingerprints")
+    prints = staged(per_text(rows, "text", key, lambda: lambda texts: [[fingerprint(t, shingle) for t in texts]], "fp long"), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), *key)).alias("least"))
-    roots = components(links(nodes.select("fp")))
+    roots = components(links(nodes.select("fp"), distance))
     linked = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = linked.groupBy("root").agg(F.min("least").alias("first"))
     return prints.join(linked.join(least, "root").select("fp", "first"), "fp")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """A row per document: id, fingerprint (16 hex digits), component_id.
 
+    Fingerprints of shingles of `shingle` words link at `distance` or fewer differing bits.
     component_id is the smallest id that is reachable over links, the document's own included.
     Documents without words (null, empty, white space) have fingerprint zero and link like any
     other; fewer words than a shingle make one shingle. Null ids never are a component's id, unless
     it has no other. Repeated rows give repeated rows; an empty table gives an empty result; other
     columns are ignored.
     """
-    found = groups(docs, id_col, text_col)
+    found = groups(docs, id_col, text_col, shingle, distance)
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each component, with all its columns.
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The document with the smallest id of each component of near_groups, with all its columns.
 
     Of documents with the same id in one component the one with the smallest text hash stays, of
     repeated rows one occurrence. Null, empty and blank texts have fingerprint zero and are one
     component, of which one document stays; a null id stays only where a component has no other. An
     empty table gives an empty result.
     """
-    found = groups(docs, id_col, text_col).groupBy("id", "check", "n_bytes").agg(F.count("*").alias("copies"), F.min("first").alias("first"))
+    found = groups(docs, id_col, text_col, shingle, distance).groupBy("id", "check", "n_bytes").agg(F.count("*").alias("copies"), F.min("first").alias("first"))
     mine = F.struct(F.col("id").isNull().alias("no_id"), "id", "check", "n_bytes")
     return keep_rows(docs, id_col, text_col, found.withColumn("kept", mine.eqNullSafe(F.col("first"))))

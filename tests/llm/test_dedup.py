@@ -18,16 +18,16 @@ from atlasmill.llm.simhash import drop_near, fingerprint, links, near_groups
 from llm_rows import TEXTS
 
 
-def brute_print(text):
+def brute_print(text, width=3):
     words = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()).split()
     if not words:
         return 0
-    shingles = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))]
+    shingles = [b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))]
     hashes = [xxhash.xxh64_intdigest(s, seed=42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(prints):
+def brute_components(prints, distance=2):
     """Smallest id by fingerprint, by flooding over all pairs."""
     nodes = sorted(set(prints.values()))
     seen = {}
@@ -39,7 +39,7 @@ def brute_components(prints):
             x = stack.pop()
             if x not in group:
                 group.add(x)
-                stack += [y for y in nodes if (x ^ y).bit_count() <= 2]
+                stack += [y for y in nodes if (x ^ y).bit_count() <= distance]
         least = min(i for i, p in prints.items() if p in group)
         seen |= dict.fromkeys(group, least)
     return {i: seen[p] for i, p in prints.items()}
@@ -83,7 +83,8 @@ def test_simhash_matches_brute_force(spark, odd):
     assert fingerprint("One two") & (1 << 64) - 1 == brute_print("One two")
 
 
-def test_links_of_crowded_and_of_small_buckets(spark):
+@pytest.mark.parametrize("distance", [2, 4])
+def test_links_of_crowded_and_of_small_buckets(spark, distance):
     rng = random.Random(1)
     base = rng.getrandbits(64)
     prints = {base}
@@ -91,16 +92,16 @@ def test_links_of_crowded_and_of_small_buckets(spark):
         prints.add(base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
     for _ in range(40):
         x = rng.getrandbits(64)
-        prints |= {x, x ^ 3, x ^ 3 ^ (1 << 40), x ^ 7 ^ (1 << 50) ^ (1 << 51)}
+        prints |= {x, x ^ 3, x ^ 3 ^ (1 << 40), x ^ 7 ^ (1 << 50) ^ (1 << 51), x ^ 15 ^ (7 << 30), x ^ (31 << 20)}
     signed = [int(np.uint64(p).view(np.int64)) for p in prints]
     nodes = spark.createDataFrame([(p,) for p in signed], "fp long")
-    roots = {r.node: r.root for r in components(links(nodes)).collect()}
+    roots = {r.node: r.root for r in components(links(nodes, distance)).collect()}
     got = defaultdict(set)
     for s in signed:
         got[roots.get(s, s)].add(s & (1 << 64) - 1)
     ids = {p: p for p in prints}
     want = defaultdict(set)
-    for p, least in brute_components(ids).items():
+    for p, least in brute_components(ids, distance).items():
         want[least].add(p)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
@@ -120,6 +121,26 @@ def test_drop_near(odd, none):
     assert drop_near(none).collect() == [] and near_groups(none).collect() == []
 
 
+def test_drop_near_by_other_shingles_and_distance(spark, odd):
+    rng = random.Random(3)
+    words = [f"wo{k}rd" for k in range(300)]
+    texts = {}
+    for i in range(0, 120, 4):
+        base = [rng.choice(words) for _ in range(200)]
+        texts[i] = " ".join(base)
+        for k in range(1, 4):
+            texts[i + k] = " ".join("changed" if n in range(7 * k, 7 * k + k) else w for n, w in enumerate(base))
+    want = brute_components({i: brute_print(t, 2) for i, t in texts.items()}, 4)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_groups(docs, shingle=2, distance=4).collect()}
+    assert got == want and len(set(want.values())) < len(set(brute_components({i: brute_print(t) for i, t in texts.items()}).values()))
+    assert sorted(r.doc_id for r in drop_near(docs, shingle=2, distance=4).collect()) == sorted(set(want.values()))
+    assert drop_near(odd, shingle=2, distance=4).columns == odd.columns
+    for bad in (3, 0, 6):
+        with pytest.raises(ValueError):
+            links(docs, bad)
+
+
 def brute_lines(rows, threshold=0.8, least=1):
     seen, out = [], {}
     for key, text in rows:
