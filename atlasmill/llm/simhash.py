@@ -68,13 +68,24 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     few = members.filter(F.col("n") <= PAIRWISE)
     left, right = few.select("k", "key", F.col("fp").alias("a")), few.select("k", "key", F.col("fp").alias("b"))
     pairs = left.join(right, ["k", "key"]).filter("a < b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b")
-    # nodes of crowded buckets, each once
-    flips = [_signed(sum(1 << b for b in some)) for n in range(distance // 2 + 1) for some in combinations(range(BITS), n)]
     crowd = members.filter(F.col("n") > PAIRWISE).select("fp").distinct()
-    named = crowd.select("fp", F.explode(F.array(*map(F.lit, flips))).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("name"))
-    least = named.groupBy("name").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    stars = named.join(least, "name").filter("fp <> b").select(F.col("fp").alias("a"), "b")
-    return pairs.unionByName(stars).distinct()
+    return (pairs if crowd.isEmpty() else pairs.unionByName(_crowd_links(crowd, distance))).distinct()
+
+
+def _crowd_links(crowd: DataFrame, distance: int) -> DataFrame:
+    """Edges (a, b) that connect the fingerprints `crowd` (fp) within `distance` bits, by names one bit away, then two and so on.
+
+    From the second round on only names that different components share are linked.
+    """
+    at = crowd.withColumn("root", F.col("fp"))
+    for radius in range(1, distance // 2 + 1):
+        flips = [_signed(sum(1 << b for b in some)) for n in range(radius + 1) for some in combinations(range(BITS), n)]
+        named = at.select("root", "fp", F.explode(F.array(*map(F.lit, flips))).alias("flip")).select("root", F.col("fp").bitwiseXOR(F.col("flip")).alias("name"))
+        least = named.groupBy("name").agg(F.min("root").alias("b"), F.max("root").alias("top")).filter("b < top").select("name", "b")
+        stars = named.join(least, "name").filter("root <> b").select(F.col("root").alias("a"), "b")
+        roots = components(stars).withColumnRenamed("root", "to")
+        at = at.join(roots, F.col("root") == F.col("node"), "left").select("fp", F.coalesce("to", "root").alias("root"))
+    return at.filter("fp <> root").select(F.col("fp").alias("a"), F.col("root").alias("b"))
 
 
 def groups(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
