@@ -16,6 +16,8 @@ from .sentencepiece_bpe import encode_decode
 from .sharding import ring_shards
 from .shared import read
 from .simhash import near_groups
+from .token_alignment import align_tokenizers
+
 
 def tokenizer_path(name: str) -> str:
     """Where the public tokenizer files lie; only the driver reads them."""
@@ -80,6 +82,10 @@ def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
