@@ -17,6 +17,7 @@ from .sharding import ring_shards
 from .shared import read
 from .simhash import near_groups
 from .token_alignment import align_tokenizers
+from .whitening import whiten
 
 
 def tokenizer_path(name: str) -> str:
@@ -82,6 +83,10 @@ def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
