@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .html_text import main_text
+from .language_id import fold, identify
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .ogg import media_columns
@@ -83,6 +84,13 @@ def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id")) == 0
+    found = identify(docs, learn=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_spans")
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(read(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
 
