@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import dirichlet
 from ..functions.stats import descending_rank, min_max, ranks_of
 from ..sources.staging import staged
 
@@ -69,18 +70,8 @@ def compared(long: DataFrame, by: str, key: str, k: int) -> DataFrame:
 
 
 def drawn_weights(spark: SparkSession, draws: int, parts: int, shape: int, seed: int) -> DataFrame:
-    """(draw, w): weights that sum to 1, of a symmetric Dirichlet law with an integer shape.
-
-    Each weight is a sum of `shape` exponentials, from uniform numbers of an integer generator, so
-    every engine draws the same.
-    """
-    ids = spark.range(draws * parts * shape)
-    u = (F.pmod(F.pmod(F.col("id") * 48271 + seed, F.lit(2147483647)) * 16807 + 12345, F.lit(2147483647)) + 1) / 2147483649.0
-    per = ids.select(F.floor(F.col("id") / (parts * shape)).alias("draw"), (F.floor(F.col("id") / shape) % parts).alias("part"), (-F.log(u)).alias("e"))
-    sums = per.groupBy("draw", "part").agg(F.sum("e").alias("g"))
-    total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x["g"])
-    packed = sums.groupBy("draw").agg(F.array_sort(F.collect_list(F.struct("part", "g"))).alias("w"))
-    return packed.select("draw", F.transform("w", lambda x: x["g"] / total).alias("w"))
+    """(draw, w): weights that sum to 1, of a symmetric Dirichlet law with an integer shape; every engine draws the same."""
+    return spark.range(draws).select(F.col("id").alias("draw"), dirichlet(seed, parts, shape, F.col("id")).alias("w"))
 
 
 def sensitivity(scored: DataFrame, key: str, parts: list[str], draws: DataFrame, k: int) -> DataFrame:

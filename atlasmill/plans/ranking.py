@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from ..functions.draws import sql_uniform
 from ..operators import index as I
 from ..operators import planning as P
 from ..operators.checks import largest_gap
@@ -59,15 +60,13 @@ def priority_variants(spark: SparkSession, d: str) -> DataFrame:
     return rounded(I.compared(scores, "variant", "level2", 10), ("spearman",))
 
 
-DRAWS, SHAPE, SEED = 200, 8, 20260908
+# The number of draws, the law's shape and the seed.
+DRAWS, SHAPE, SEED = 2000, 8, 20260908
+GAP_SHAPE, GAP_SEED = 1, 20220
 
 
-#: As many as the reference draws; the queries of DRAWS are held to their SQL.
-ALL_DRAWS = 2000
-
-
-def _sql_draws(parts: int, shape: int, seed: int, draws: int = DRAWS) -> str:
-    return f"""en AS (SELECT i // {parts * shape} AS draw, (i // {shape}) % {parts} AS part, -ln(((((i * 48271 + {seed}) % 2147483647) * 16807 + 12345) % 2147483647 + 1) / 2147483649.0) AS e FROM range({draws * parts * shape}) t(i)),
+def _sql_draws(parts: int, shape: int, seed: int) -> str:
+    return f"""en AS (SELECT draw, part, -ln({sql_uniform(seed, 'draw', 'part', 'k')}) AS e FROM range({DRAWS}) t(draw), range({parts}) p(part), range({shape}) s(k)),
 gs AS (SELECT draw, part, sum(e) AS g FROM en GROUP BY 1, 2), ws AS (SELECT draw, {', '.join(f'max(g) FILTER (part = {k}) / sum(g) AS w{k}' for k in range(parts))} FROM gs GROUP BY 1)
 """
 
@@ -76,24 +75,17 @@ _RANKED = """rk AS (SELECT draw, {key}, rank() OVER (PARTITION BY draw ORDER BY
 SELECT {key}, round(avg((r <= {k})::INT), 6) AS frequency, median(r) AS rank_median, min(r) AS rank_min, max(r) AS rank_max FROM rk GROUP BY 1"""
 
 
-@query(SQL_INDEX + "," + _sql_draws(4, SHAPE, SEED) + ", dr AS (SELECT draw, level2, round(w0 * n_d1 + w1 * n_d2 + w2 * n_d3 + w3 * n_d4, 9) AS value FROM ws, ix WHERE score IS NOT NULL)," + _RANKED.format(key="level2", k=10))
-def priority_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    draws = I.drawn_weights(spark, DRAWS, 4, SHAPE, SEED)
-    found = I.sensitivity(indexed(spark, d).filter("score IS NOT NULL"), "level2", [f"n_{c}" for c in I.COMPONENTS], draws, 10)
-    return rounded(found, ("frequency",))
-
-
-_SQL_ALL = SQL_INDEX + "," + _sql_draws(4, SHAPE, SEED, ALL_DRAWS) + ", dr AS (SELECT draw, level2, score AS reference, round(w0 * n_d1 + w1 * n_d2 + w2 * n_d3 + w3 * n_d4, 9) AS value FROM ws, ix WHERE score IS NOT NULL),"
+_SQL_ALL = SQL_INDEX + "," + _sql_draws(4, SHAPE, SEED) + ", dr AS (SELECT draw, level2, score AS reference, round(w0 * n_d1 + w1 * n_d2 + w2 * n_d3 + w3 * n_d4, 9) AS value FROM ws, ix WHERE score IS NOT NULL),"
 _MEAN_SPEARMAN = """cr AS (SELECT draw, rank() OVER (PARTITION BY draw ORDER BY reference) + (count(*) OVER (PARTITION BY draw, reference) - 1) / 2 AS a, rank() OVER (PARTITION BY draw ORDER BY value) + (count(*) OVER (PARTITION BY draw, value) - 1) / 2 AS b FROM dr),
 cs AS (SELECT draw, corr(a, b) AS s FROM cr GROUP BY 1) SELECT count(*) AS draws, round(avg(s), 6) AS mean_spearman FROM cs"""
 
 
 def _all_priority(spark: SparkSession, d: str) -> tuple[DataFrame, str, list[str], DataFrame]:
-    return indexed(spark, d).filter("score IS NOT NULL"), "level2", [f"n_{c}" for c in I.COMPONENTS], I.drawn_weights(spark, ALL_DRAWS, 4, SHAPE, SEED)
+    return indexed(spark, d).filter("score IS NOT NULL"), "level2", [f"n_{c}" for c in I.COMPONENTS], I.drawn_weights(spark, DRAWS, 4, SHAPE, SEED)
 
 
 @query(_SQL_ALL + _RANKED.format(key="level2", k=10))
-def priority_sensitivity_2000(spark: SparkSession, d: str) -> DataFrame:
+def priority_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(I.sensitivity(*_all_priority(spark, d), 10), ("frequency",))
 
 
@@ -105,7 +97,7 @@ def priority_mean_spearman(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT level2, frequency FROM (" + _SQL_ALL + _RANKED.format(key="level2", k=10) + ") WHERE frequency >= 0.9")
 def priority_robust(spark: SparkSession, d: str) -> DataFrame:
     """The units among the first ten in nine of ten draws."""
-    return I.robust(priority_sensitivity_2000(spark, d)).select("level2", "frequency")
+    return I.robust(priority_sensitivity(spark, d)).select("level2", "frequency")
 
 
 @query(SQL_INDEX + ", nw AS (SELECT level2, score, n_d1 * 0.1 + n_d2 * 0.2 + n_d3 * 0.5 + n_d4 * 0.2 AS new_score FROM ix WHERE score IS NOT NULL), rr AS (SELECT level2, new_score, rank() OVER (ORDER BY new_score DESC) AS new_rank, rank() OVER (ORDER BY score DESC) AS old_rank FROM nw) SELECT level2, round(new_score, 6) AS new_score, new_rank, old_rank - new_rank AS moved FROM rr")
@@ -174,21 +166,15 @@ def coverage_gap_operator(spark: SparkSession, d: str) -> DataFrame:
     return own.join(every, "pcode").select("pcode", "risk", "class", ((F.col("class") == "high") & (F.col("overall") != "high")).alias("only_here"))
 
 
-@query(SQL_GAP + "," + _sql_draws(4, 1, 20220) + ", dr AS (SELECT draw, pcode, round(w0 * r1 + w1 * r2 + w2 * r3 + w3 * r4, 9) AS value FROM ws, gp)," + _RANKED.format(key="pcode", k=40))
-def gap_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    draws = I.drawn_weights(spark, DRAWS, 4, 1, 20220)
-    return rounded(I.sensitivity(I.gap_index(gap_zones(spark, d), "pcode"), "pcode", ["r1", "r2", "r3", "r4"], draws, 40), ("frequency",))
-
-
-_SQL_ALL_GAP = SQL_GAP + "," + _sql_draws(4, 1, 20220, ALL_DRAWS) + ", dr AS (SELECT draw, pcode, risk AS reference, round(w0 * r1 + w1 * r2 + w2 * r3 + w3 * r4, 9) AS value FROM ws, gp),"
+_SQL_ALL_GAP = SQL_GAP + "," + _sql_draws(4, GAP_SHAPE, GAP_SEED) + ", dr AS (SELECT draw, pcode, risk AS reference, round(w0 * r1 + w1 * r2 + w2 * r3 + w3 * r4, 9) AS value FROM ws, gp),"
 
 
 def _all_gap(spark: SparkSession, d: str) -> tuple[DataFrame, str, list[str], DataFrame]:
-    return I.gap_index(gap_zones(spark, d), "pcode"), "pcode", list(I.GAP_PARTS), I.drawn_weights(spark, ALL_DRAWS, 4, 1, 20220)
+    return I.gap_index(gap_zones(spark, d), "pcode"), "pcode", list(I.GAP_PARTS), I.drawn_weights(spark, DRAWS, 4, GAP_SHAPE, GAP_SEED)
 
 
 @query(_SQL_ALL_GAP + _RANKED.format(key="pcode", k="(SELECT round_even(count(*) * 0.1, 0) FROM gp)"))
-def gap_sensitivity_2000(spark: SparkSession, d: str) -> DataFrame:
+def gap_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     """Frequency is that of the first tenth of the zones."""
     gaps, *rest = _all_gap(spark, d)
     return rounded(I.sensitivity(gaps, *rest, round(gaps.count() * 0.1)), ("frequency",))

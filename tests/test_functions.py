@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import unicodedata
@@ -127,3 +128,24 @@ def test_running_sums_by_ranges(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), F.lit(1).alias("one")).repartition(6)
     got = stats.running_sums(df, "v", ["one"], ranges=16).collect()
     assert all(r.sum_one == r.v + 1 for r in got)
+
+
+@pytest.mark.parametrize("shape,seed", [(8, 20260908), (1, 20220)])
+def test_dirichlet_weights_have_the_law_s_moments(spark, shape, seed):
+    from atlasmill.operators.index import drawn_weights
+
+    w = np.array([r.w for r in drawn_weights(spark, 2000, 4, shape, seed).collect()])
+    assert np.allclose(w.sum(1), 1)
+    total = 4 * shape
+    deviation = math.sqrt(0.25 * 0.75 / (total + 1))
+    assert np.allclose(w.mean(0), 0.25, rtol=0.05)
+    assert np.allclose(w.std(0), deviation, rtol=0.05)
+    off = np.corrcoef(w.T)[~np.eye(4, dtype=bool)]
+    assert np.allclose(off, -1 / 3, atol=0.05)
+
+
+def test_numbers_do_not_depend_on_partitions(spark):
+    from atlasmill.functions.draws import uniform
+
+    one, many = (sorted(tuple(r) for r in spark.range(0, 500, 1, n).select("id", uniform(7, F.col("id"), 3).alias("u")).collect()) for n in (1, 7))
+    assert one == many and all(0 < u < 1 for _, u in one)

@@ -42,7 +42,7 @@ def test_query_matches_sql(spark, con, name):
     assert all(same(x, y) for a, b in zip(got, want, strict=True) for x, y in zip(a, b, strict=True))
 
 
-@pytest.mark.parametrize("name", ["priority_sensitivity_2000", "priority_mean_spearman", "priority_robust", "gap_sensitivity_2000", "gap_mean_spearman", "gap_variants"])
+@pytest.mark.parametrize("name", ["priority_sensitivity", "priority_mean_spearman", "priority_robust", "gap_sensitivity", "gap_mean_spearman", "gap_variants"])
 def test_all_draws_match_sql(spark, con, name):
     test_query_matches_sql(spark, con, name)
     if name.endswith("spearman"):
