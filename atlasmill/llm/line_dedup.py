@@ -51,23 +51,29 @@ HOT_SET = 1e-5
 #: Removed lines up to so many bytes go to every task.
 BROADCAST_BYTES = 16 << 20
 
-# Fixed values of the word hash: a random number for each byte (0 for ASCII white space), and the base of the positions.
+# Fixed values of the word hash: a random number for each byte (0 for ASCII white space) at each of so many positions.
+_POSITIONS = 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
-_BYTE[_SPACE] = 0
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_TABLE = np.random.default_rng(20240229).integers(0, 1 << 64, (_POSITIONS, 256), np.uint64) | np.uint64(1)
+_TABLE[:, _SPACE] = 0
 
 
-def powers(n: int) -> np.ndarray:
-    """_BASE to the powers 0 to n - 1, modulo 2^64."""
-    out = np.full(n, _BASE, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+def byte_values(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A random number for each byte at its place in its word; farther on, the table's numbers are mixed with the round they are in."""
+    value = _TABLE.ravel()[(place & (_POSITIONS - 1)) << 8 | data]
+    far = np.flatnonzero((place >= _POSITIONS) & (value > 0))
+    if len(far):
+        value[far] = _mixed(value[far], place[far] >> 8)
+    return value
 
 
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The number of the text and a 64-bit hash for each word: runs without ASCII white space, in order."""
+    """The number of the text and a 64-bit hash for each word: runs without ASCII white space, in order.
+
+    A word's hash is the sum of its bytes' random numbers, which are independent from place to place:
+    two different words have the same one with a probability of 2^-64, whatever they look like.
+    """
     texts = texts.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     first, last = int(offsets[0]), int(offsets[-1])
@@ -86,8 +92,7 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     span = np.diff(np.append(start, start[0] + len(data)))
     place = np.arange(len(data), dtype=np.int64) - np.repeat(start - start[0], span)
     with np.errstate(over="ignore"):
-        value = _BYTE[data] * powers(int(span.max()))[place]
-        h = np.add.reduceat(value, start - start[0])
+        h = np.add.reduceat(byte_values(data, place), start - start[0])
     return np.searchsorted(offsets - first, start, "right") - 1, _mixed(h)
 
 

@@ -245,3 +245,19 @@ def test_bitmap_never_misses(spark):
     b = Bitmap.of(keys, 500)
     ids = np.arange(500)
     assert b.has(ids * 31 - 400, ids).all() and b.has(ids * 31 - 399, ids).mean() < 0.2
+
+
+def test_long_words_that_look_alike_are_told_apart(spark):
+    """Words whose polynomial hashes modulo 2^64 agree, and lines of very long words, against brute force."""
+    swap = str.maketrans("ab", "ba")
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(swap)
+    rng = random.Random(11)
+    longs = ["".join(rng.choice("xyz") for _ in range(2048)) for _ in range(6)]
+    rows = [(1, word), (2, word.translate(swap)), (3, f"{word} tail"), (4, f"{word.translate(swap)} tail"), (5, word), (6, " ".join(longs[:5])), (7, " ".join(longs[:4])), (8, " ".join(longs[1:])), (9, " ".join(longs))]
+    rows += [(10, longs[0][:-1] + "q"), (11, longs[0][:300]), (12, longs[0])]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), least=1).collect()}
+    gone = brute_lines(rows)
+    assert {d for d, text in rows if got[d] != text} == {d for d, lines in gone.items() if lines}
+    assert got[2] == rows[1][1] and got[5] == ""
