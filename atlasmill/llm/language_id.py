@@ -186,10 +186,12 @@ def _sample(docs: DataFrame, text_col: str, lang_col: str, texts: int, languages
     """(lang, text): distinct texts of the smallest hashes of each language."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND length(text) > 0").withColumn("h", F.xxhash64("text"))
     keys = staged(rows.select("lang", "h").distinct(), "language-keys")
-    most = keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
-    nth = keys.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("nth") <= texts)  # ranked within each task first
-    cuts = nth.join(F.broadcast(most), "lang", "left_semi").groupBy("lang").agg(F.max("h").alias("cut"))  # a row per language
-    chosen = rows.join(F.broadcast(cuts), "lang").filter("h <= cut")
+    most = keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    # a share of each language's hashes that holds about twice as many texts, so that few rows are ranked
+    few = keys.join(F.broadcast(most), "lang").filter(F.pmod("h", F.lit(1 << 20)) <= F.ceil(F.lit(2.0 * texts * (1 << 20)) / F.col("count"))).select("lang", "h")
+    nth = few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "h"))).filter(F.col("nth") <= texts)
+    cuts = nth.groupBy("lang").agg(F.max(F.struct(F.pmod("h", F.lit(1 << 20)).alias("low"), "h")).alias("cut"))  # a row per language
+    chosen = rows.join(F.broadcast(cuts), "lang").filter(F.struct(F.pmod("h", F.lit(1 << 20)).alias("low"), "h") <= F.col("cut"))
     return chosen.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
 
