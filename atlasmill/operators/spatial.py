@@ -1,9 +1,10 @@
-"""Point in polygon and nearest neighbour, by grid cells and exact tests, in Column expressions."""
+"""Point in polygon, nearest neighbour and merged outlines, by grid cells, exact tests and joins on edges."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geo import distance_km
-from ..sources.staging import staged
+from ..sources.staging import discard, staged
 
 #: Targets up to so many are held as one array in every task.
 FEW_TARGETS = 2048
@@ -55,76 +56,158 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, side: float, x: str
     return pairs.filter(inside(F.col(x).cast("double"), F.col(y).cast("double"), F.col(rings))).drop("__px", "__py", "__cx", "__cy")
 
 
-def _nearest_of_few(sources: DataFrame, targets: np.ndarray, carry: list[str], to: str) -> DataFrame:
-    """Distances to a bounded array of targets (x, y), which goes to every task; sources stream by in Arrow batches."""
-    tx, ty = targets[:, 0], targets[:, 1]
-    at_once = max(1, (1 << 20) // len(tx))
+def _named(groups: Sequence[str] | dict[str, Column] | None) -> dict[str, Column]:
+    """Each group's condition on the targets; without groups one that takes all."""
+    if groups is None:
+        return {"": F.lit(True)}
+    return groups if isinstance(groups, dict) else {f"_{g}": F.col("target_group") == g for g in groups}
+
+
+def _nearest_of_few(sources: DataFrame, targets: np.ndarray, carry: list[str], to: list[str]) -> DataFrame:
+    """Distances to a bounded array of targets (x, y, and whether each group has it), which goes to every task; sources stream by in Arrow batches, once for all groups."""
+    sets = [targets[targets[:, 2 + k] > 0, :2] for k in range(len(to))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y"))
-            near = np.empty(len(x))
-            for k in range(0, len(x), at_once):
-                part = slice(k, k + at_once)
-                near[part] = ((x[part, None] - tx) ** 2 + (y[part, None] - ty) ** 2).min(1)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(np.sqrt(near) / 1000, from_pandas=True)], names=[*carry, to])
+            near = [np.full(len(x), np.nan) for _ in sets]
+            for held, found in zip(sets, near, strict=True):
+                at_once = max(1, (1 << 20) // max(1, len(held)))
+                for k in range(0, len(x) if len(held) else 0, at_once):
+                    part = slice(k, k + at_once)
+                    found[part] = ((x[part, None] - held[:, 0]) ** 2 + (y[part, None] - held[:, 1]) ** 2).min(1)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), *(pa.array(np.sqrt(n) / 1000, from_pandas=True) for n in near)], names=[*carry, *to])
 
     rows = sources.select(*carry, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return rows.mapInArrow(run, T.StructType([*rows.select(*carry).schema.fields, T.StructField(to, T.DoubleType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.select(*carry).schema.fields, *[T.StructField(c, T.DoubleType()) for c in to]]))
 
 
-def _nearest_by_descent(sources: DataFrame, targets: DataFrame, key: str, to: str, leaf: int) -> DataFrame:
-    """(key, to): descent in a tree of nested cells, for any number of targets.
+def _nearest_by_descent(sources: DataFrame, t: DataFrame, key: str, to: list[str], leaf: int) -> DataFrame:
+    """(key, to): dual descent of blocks of sources in a tree of nested cells of targets, for any number of either.
 
-    Cells split until none holds more than `leaf` different targets, so crowded places have deep cells.
-    A cell is known by one of its targets: a source's distance to it bounds what the source need look
-    at, and cells whose boxes are farther than the least bound are left out at every level. Only the
-    last cells' targets meet sources.
+    `t` has x, y and a boolean column g<k> for each group of `to`. Cells split until none holds more
+    than `leaf` different targets, so crowded places have deep cells. Sources that share a cell of
+    half a last cell's side are one block. A cell is known by one of its targets in each group: the
+    farthest corner of a block's box from it bounds what the block need look at, and cells whose boxes
+    are farther from the block's than the least bound of every group that they hold are left out at
+    every level. Only the last cells' targets meet single sources.
     """
-    t = staged(targets.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL").distinct(), "targets")
     box = t.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count("*").alias("n")).first()
     spread = max(box.x1 - box.x0, box.y1 - box.y0, 1e-3) * (1 + 1e-9)
     depth = max(1, math.ceil(math.log(max(box.n / leaf, 1), 4)))
+    marks = [f"g{k}" for k in range(len(to))]
 
     def placed(level: int) -> DataFrame:
         cell = lambda c, c0: F.least(F.floor((F.col(c) - c0) / (spread / 2**level)), F.lit(2**level - 1)).cast("long")
-        return t.select("x", "y", cell("x", box.x0).alias("cx"), cell("y", box.y0).alias("cy"))
+        return t.select("x", "y", *marks, cell("x", box.x0).alias("cx"), cell("y", box.y0).alias("cy"))
 
     while depth < 2 * STEPS * 8 and placed(depth).groupBy("cx", "cy").count().filter(F.col("count") > leaf).limit(1).count():
         depth += STEPS
     lowest = staged(placed(depth), "targets-placed")
-    found = sources.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy")).filter("x IS NOT NULL AND y IS NOT NULL")
+    block = lambda c, c0: F.floor((F.col(c) - c0) / (spread / 2 ** (depth + 1))).alias(f"b{c}")
+    rows = sources.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+    rows = staged(rows.select(key, "x", "y", block("x", box.x0), block("y", box.y0)), "sources-placed")
+    found = rows.groupBy("bx", "by").agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
+    found = found.withColumns({"cx": F.lit(0).cast("long"), "cy": F.lit(0).cast("long")})
+    ends = ("lox", "hix", "loy", "hiy")
     for level in range((depth - 1) % STEPS + 1, depth + 1, STEPS):
         down = STEPS if level > STEPS else level
         side = spread / 2**level
         up = lambda c: F.shiftright(c, depth - level)  # noqa: E731, B023
-        cells = lowest.groupBy(up("cx").alias("nx"), up("cy").alias("ny")).agg(F.min(F.struct("x", "y")).alias("t"))
+        known = [F.min(F.when(F.col(g), F.struct("x", "y"))).alias(f"t{g}") for g in marks]
+        cells = lowest.groupBy(up("cx").alias("nx"), up("cy").alias("ny")).agg(*known)
         cells = cells.withColumns({"px": F.shiftright("nx", down), "py": F.shiftright("ny", down)})
         met = found.join(cells, (F.col("cx") == F.col("px")) & (F.col("cy") == F.col("py")))
-        outside = lambda c, n, c0: F.greatest(F.lit(c0) + F.col(n) * side - F.col(c), F.col(c) - (F.lit(c0) + (F.col(n) + 1) * side), F.lit(0.0))  # noqa: E731, B023
+        outside = lambda c, n, c0: F.greatest(F.lit(c0) + F.col(n) * side - F.col(f"hi{c}"), F.col(f"lo{c}") - (F.lit(c0) + (F.col(n) + 1) * side), F.lit(0.0))  # noqa: E731, B023
         least = F.hypot(outside("x", "nx", box.x0), outside("y", "ny", box.y0)) - 1e-6 * side
-        most = F.min(F.hypot(F.col("x") - F.col("t.x"), F.col("y") - F.col("t.y"))).over(Window.partitionBy(key))
-        kept = met.select(key, "x", "y", F.col("nx").alias("cx"), F.col("ny").alias("cy"), least.alias("least"), most.alias("most")).filter("least <= most")
-        found = staged(kept.drop("least", "most"), "nearest-cells")
-    met = found.join(lowest.select("cx", "cy", F.col("x").alias("tx"), F.col("y").alias("ty")), ["cx", "cy"])
-    return met.groupBy(key).agg(F.min(distance_km(F.col("x"), F.col("y"), F.col("tx"), F.col("ty"))).alias(to))
-
-
-def nearest_km(sources: DataFrame, targets: DataFrame, key: str, groups: list[str] | None = None, to: str = "dist_km", few: int = FEW_TARGETS, leaf: int = LEAF, carry: tuple[str, ...] = ()) -> DataFrame:
+        far = lambda c, v: F.greatest(F.abs(F.col(f"lo{c}") - v), F.abs(F.col(f"hi{c}") - v))
+        bounds = {f"m{g}": F.min(F.when(F.col(f"t{g}").isNotNull(), F.hypot(far("x", F.col(f"t{g}.x")), far("y", F.col(f"t{g}.y"))))).over(Window.partitionBy("bx", "by")) for g in marks}
+        wanted = reduce(lambda a, b: a | b, [F.col(f"t{g}").isNotNull() & (F.col("least") <= F.col(f"m{g}")) for g in marks])
+        kept = met.withColumn("least", least).withColumns(bounds).filter(wanted)
+        found = staged(kept.select("bx", "by", *ends, F.col("nx").alias("cx"), F.col("ny").alias("cy")), "nearest-cells")
+    held = found.select("bx", "by", "cx", "cy").join(lowest.select("cx", "cy", F.col("x").alias("tx"), F.col("y").alias("ty"), *marks), ["cx", "cy"])
+    met = rows.join(held.drop("cx", "cy"), ["bx", "by"])
+    apart = distance_km(F.col("x"), F.col("y"), F.col("tx"), F.col("ty"))
+    return met.groupBy(key).agg(*[F.min(F.when(F.col(g), apart)).alias(c) for g, c in zip(marks, to, strict=True)])
+
+
+def nearest_km(sources: DataFrame, targets: DataFrame, key: str, groups: Sequence[str] | dict[str, Column] | None = None, to: str = "dist_km", few: int = FEW_TARGETS, leaf: int = LEAF, carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, carry, to): distance of each source (key, x, y; metres) to the nearest target (x, y); null without targets or position.
 
-    With `groups`, targets have a column `target_group`, and one distance column to_<g> is made for
-    each group. Up to `few` targets are held as one array in every task; more are found by descent in
-    a tree of cells. `carry` names columns of the sources to keep.
+    With `groups`, one distance column to<suffix> is made for each group, all in one pass over the
+    sources: a list names values of the targets' column `target_group` (suffix _<value>), a dictionary
+    has a condition on the targets for each suffix, and a target may belong to several. Up to `few`
+    targets are held as one array in every task; more are found by descent in a tree of cells. `key` is
+    unique among the sources; `carry` names columns of theirs to keep.
     """
-    if groups is not None:
-        out = sources.select(key, *carry)
-        for g in groups:
-            out = out.join(nearest_km(sources, targets.filter(F.col("target_group") == g), key, None, f"{to}_{g}", few, leaf), key)
-        return out
-    held = targets.filter("x IS NOT NULL AND y IS NOT NULL").select(F.col("x").cast("double"), F.col("y").cast("double")).limit(few + 1).toPandas().to_numpy(float)
-    if not len(held):
-        return sources.select(key, *carry, F.lit(None).cast("double").alias(to))
+    named = _named(groups)
+    columns, marks = [f"{to}{suffix}" for suffix in named], [f"g{k}" for k in range(len(named))]
+    belongs = [F.coalesce(condition, F.lit(False)).alias(m) for m, condition in zip(marks, named.values(), strict=True)]
+    t = targets.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *belongs).filter("x IS NOT NULL AND y IS NOT NULL")
+    t = staged(t.groupBy("x", "y").agg(*[F.bool_or(m).alias(m) for m in marks]), "targets")
+    held = t.limit(few + 1).toPandas()
     if len(held) <= few:
-        return _nearest_of_few(sources, held, [key, *carry], to)
-    return sources.select(key, *carry).join(_nearest_by_descent(sources, targets, key, to, leaf), key, "left")
+        return _nearest_of_few(sources, held.astype(float).to_numpy().reshape(-1, 2 + len(marks)), [key, *carry], columns)
+    return sources.select(key, *carry).join(_nearest_by_descent(sources, t, key, columns, leaf), key, "left")
+
+
+def _points(ring: Column) -> Column:
+    """A closed ring's directed edges as (a, b)."""
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
+    return F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def outline_edges(parts: DataFrame, code: str, rings: str = "rings") -> DataFrame:
+    """(code, a, b): the directed edges of all parts of a code that no other part of it shares, a once for each occurrence left over.
+
+    Every part's rings are turned counter-clockwise first (holes too: a hole's edge lies on the other
+    side of its neighbours'), so that a shared edge occurs once in each direction and cancels out.
+    """
+
+    def turned(ring: Column) -> Column:
+        edges = _points(ring)
+        twice = F.aggregate(edges, F.lit(0.0), lambda s, e: s + (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]))
+        return F.when(twice >= 0, edges).otherwise(F.transform(edges, lambda e: F.struct(e["b"].alias("a"), e["a"].alias("b"))))
+
+    edges = parts.select(code, F.explode(F.flatten(F.transform(rings, turned))).alias("e")).select(code, "e.a", "e.b").filter("a <> b")
+    forward = F.col("a") < F.col("b")
+    both = edges.select(code, F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"), F.when(forward, 1).otherwise(-1).alias("way"))
+    left = both.groupBy(code, "p", "q").agg(F.sum("way").alias("way")).filter("way <> 0")
+    return left.select(code, F.when(F.col("way") > 0, F.col("p")).otherwise(F.col("q")).alias("a"), F.when(F.col("way") > 0, F.col("q")).otherwise(F.col("p")).alias("b"))
+
+
+def dissolved(parts: DataFrame, code: str, rings: str = "rings") -> DataFrame:
+    """(code, rings): the parts of each code merged to closed rings: outer ones counter-clockwise, holes and gaps between parts clockwise.
+
+    Parts share whole edges (the same two vertices). Edges that two parts share cancel out; the rest
+    are chained to rings by pointer jumping: rounds of joins, as many as the logarithm of the longest
+    ring, whatever the number of edges of a code. Where parts touch in a vertex only, its edges are
+    paired by direction, which leaves areas as they are. Each ring starts at its smallest edge.
+    """
+    edges = outline_edges(parts, code, rings)
+    # the edges that leave a vertex are paired with those that arrive, in order
+    leaves, arrives = Window.partitionBy(code, "a").orderBy("b"), Window.partitionBy(code, "b").orderBy("a")
+    edges = staged(edges.withColumns({"no": F.xxhash64(code, "a", "b"), "out": F.row_number().over(leaves), "in": F.row_number().over(arrives)}), "edges")
+    after = edges.select(code, F.col("a").alias("b"), F.col("out").alias("in"), F.struct("a", "b").alias("next"))
+    at = edges.select(code, F.struct("a", "b").alias("e"), "b", "in").join(after, [code, "b", "in"]).select(code, "e", "next")
+    # the smallest edge that can be reached: pointers twice as long in each round
+    now = staged(at.select(code, "e", "next", F.least("e", "next").alias("first")), "chains")
+    while True:
+        there = now.select(code, F.col("e").alias("next"), F.col("next").alias("far"), F.col("first").alias("seen"))
+        after_now = staged(now.join(there, [code, "next"]).select(code, "e", F.col("far").alias("next"), F.least("first", "seen").alias("first"), (F.col("seen") < F.col("first")).alias("moved")), "chains")
+        done = not after_now.filter("moved").limit(1).count()
+        discard(now)
+        now = after_now.drop("moved")
+        if done:
+            break
+    # the distance to the end of each ring, which is the edge before its first one
+    ring = at.join(now.select(code, "e", "first"), [code, "e"])
+    steps = staged(ring.select(code, "e", "first", F.when(F.col("next") != F.col("first"), F.col("next")).alias("next"), F.when(F.col("next") != F.col("first"), 1).otherwise(0).alias("left")), "steps")
+    while steps.filter("next IS NOT NULL").limit(1).count():
+        there = steps.select(code, F.col("e").alias("next"), F.col("next").alias("far"), F.col("left").alias("more"))
+        longer = staged(steps.join(there, [code, "next"], "left").select(code, "e", "first", F.col("far").alias("next"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")), "steps")
+        discard(steps)
+        steps = longer
+    each = steps.groupBy(code, "first").agg(F.array_sort(F.collect_list(F.struct((-F.col("left")).alias("k"), F.col("e.a").alias("p")))).alias("r"))
+    closed = F.concat(F.transform("r", lambda v: v["p"]), F.array(F.get("r", F.lit(0))["p"]))
+    return each.groupBy(code).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", closed.alias("ring")))), lambda v: v["ring"]).alias("rings"))

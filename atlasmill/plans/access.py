@@ -34,10 +34,10 @@ def zone_centres(spark: SparkSession, d: str) -> DataFrame:
     return z.withColumns({"x": x, "y": y})
 
 
-def located(spark: SparkSession, d: str) -> DataFrame:
-    """(id, level2, pcode, found2): service points and the zone that holds them."""
+def located(spark: SparkSession, d: str, status: str | None = None) -> DataFrame:
+    """(id, level2, pcode, found2): service points (of a status) and the zone that holds them."""
     z = X.zones(spark, d).select("pcode", F.col("level2").alias("found2"), "rings")
-    return point_in_polygon(X.points(spark, d), z, SIDE, "lon_u", "lat_u").drop("rings")
+    return point_in_polygon(X.points(spark, d, status), z, SIDE, "lon_u", "lat_u").drop("rings")
 
 
 SQL_PIP = PRELUDE + """pz AS (SELECT pts.*, pcode, zn.level2 AS found2 FROM pts JOIN zn ON lon_u > x0 AND lon_u < x1 AND lat_u > y0 AND lat_u < y1)
@@ -144,37 +144,58 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
     return point_in_polygon(cells, polygons, STEP * 4).drop("rings")
 
 
-SQL_VOID = PRELUDE + f"""b AS (SELECT floor(least(min(x_0), min(x_1), min(x_2), min(x_3)) / {STEP}) * {STEP} AS bx0, floor(greatest(max(x_0), max(x_1), max(x_2), max(x_3)) / {STEP}) * {STEP} AS bx1,
+SQL_CELLS = PRELUDE + f"""b AS (SELECT floor(least(min(x_0), min(x_1), min(x_2), min(x_3)) / {STEP}) * {STEP} AS bx0, floor(greatest(max(x_0), max(x_1), max(x_2), max(x_3)) / {STEP}) * {STEP} AS bx1,
   floor(least(min(y_0), min(y_1), min(y_2), min(y_3)) / {STEP}) * {STEP} AS by0, floor(greatest(max(y_0), max(y_1), max(y_2), max(y_3)) / {STEP}) * {STEP} AS by1 FROM za),
 g AS MATERIALIZED (SELECT i, j, bx0 + i * {STEP} AS x, by0 + j * {STEP} AS y FROM b, range(2000) r(i), range(2000) s(j) WHERE bx0 + i * {STEP} <= bx1 AND by0 + j * {STEP} <= by1),
 e AS (SELECT pcode, [[x_0, y_0, x_1, y_1], [x_1, y_1, x_2, y_2], [x_2, y_2, x_3, y_3], [x_3, y_3, x_0, y_0]] AS es, least(x_0, x_3) AS a, greatest(x_1, x_2) AS c, least(y_0, y_1) AS f, greatest(y_2, y_3) AS h FROM za),
 ins AS MATERIALIZED (SELECT pcode, i, j, x, y FROM g JOIN e ON x BETWEEN a AND c AND y BETWEEN f AND h WHERE len(list_filter(es, lambda k: ((k[2] > y) <> (k[4] > y)) AND x < k[1] + (k[3] - k[1]) * (y - k[2]) / nullif(k[4] - k[2], 0))) % 2 = 1),
-w AS MATERIALIZED (SELECT x AS px, y AS py, contains(operators, 'OpA') AS a, contains(operators, 'OpB') AS b FROM pts),
+"""
+
+
+def _sql_void(having: str = "") -> str:
+    return SQL_CELLS + f"""w AS MATERIALIZED (SELECT x AS px, y AS py, contains(operators, 'OpA') AS a, contains(operators, 'OpB') AS b FROM pts {having}),
 nn AS MATERIALIZED (SELECT pcode, i, j, x, y, sqrt(min((x - px) * (x - px) + (y - py) * (y - py))) / 1000 AS d, sqrt(min(CASE WHEN a THEN (x - px) * (x - px) + (y - py) * (y - py) END)) / 1000 AS da, sqrt(min(CASE WHEN b THEN (x - px) * (x - px) + (y - py) * (y - py) END)) / 1000 AS db FROM ins CROSS JOIN w GROUP BY ALL)
 """
 
 
-def _void_distances(spark: SparkSession, d: str) -> DataFrame:
-    """Grid cells inside zones with their distance to the nearest service point: of any operator, and of each."""
+#: Columns of the void grid by reading: of any operator, and of each.
+READINGS = {"": F.lit(True), "_OpA": F.array_contains("ops", "OpA"), "_OpB": F.array_contains("ops", "OpB")}
+
+
+def _void_distances(spark: SparkSession, d: str, status: str | None = None) -> DataFrame:
+    """Grid cells inside zones with their distance to the nearest service point (of a status): of any operator, and of each, in one descent."""
     cells = staged(_cells(spark, d), "cells")
-    points = staged(X.metres(X.points(spark, d)).withColumn("ops", operators_of(F.col("operators"))).select("x", "y", "ops"), "witnesses")
-    out = nearest_km(cells, points, "cell", carry=("pcode", "ix", "iy", "x", "y"))
-    for o in ("OpA", "OpB"):
-        out = out.join(nearest_km(cells, points.filter(F.array_contains("ops", o)), "cell", to=f"dist_km_{o}"), "cell")
-    return out
+    points = X.metres(X.points(spark, d, status)).withColumn("ops", operators_of(F.col("operators"))).select("x", "y", "ops")
+    return nearest_km(cells, points, "cell", READINGS, carry=("pcode", "ix", "iy", "x", "y"))
+
+
+_VOID_SHARES = """SELECT pcode, count(*) AS n_cells, round(avg((d > 10)::INT), 6) AS void_share, round(avg((da > 10)::INT), 6) AS void_share_OpA, round(avg((db > 10)::INT), 6) AS void_share_OpB, round(avg(d), 6) AS mean_km, round(max(d), 6) AS max_km FROM nn GROUP BY 1"""
+
+
+def _void_shares(near: DataFrame) -> DataFrame:
+    void = [F.round(F.avg((F.col(f"dist_km{o}") > 10).cast("double")), 6).alias(f"void_share{o}") for o in READINGS]
+    return near.groupBy("pcode").agg(F.count("*").alias("n_cells"), *void, F.round(F.avg("dist_km"), 6).alias("mean_km"), F.round(F.max("dist_km"), 6).alias("max_km"))
 
 
-@query(SQL_VOID + """SELECT pcode, count(*) AS n_cells, round(avg((d > 10)::INT), 6) AS void_share, round(avg((da > 10)::INT), 6) AS void_share_OpA, round(avg((db > 10)::INT), 6) AS void_share_OpB, round(avg(d), 6) AS mean_km, round(max(d), 6) AS max_km FROM nn GROUP BY 1""")
+@query(_sql_void() + _VOID_SHARES)
 def void_grid(spark: SparkSession, d: str) -> DataFrame:
     """Share of each zone's 1 km cells without a service point within 10 km: of any operator, and of each."""
-    near = _void_distances(spark, d)
-    void = [F.round(F.avg((F.col(f"dist_km{o}") > 10).cast("double")), 6).alias(f"void_share{o}") for o in ("", "_OpA", "_OpB")]
-    return near.groupBy("pcode").agg(F.count("*").alias("n_cells"), *void, F.round(F.avg("dist_km"), 6).alias("mean_km"), F.round(F.max("dist_km"), 6).alias("max_km"))
+    return _void_shares(_void_distances(spark, d))
+
 
+@query(_sql_void(f"WHERE status = '{X.PENDING}'") + _VOID_SHARES)
+def void_grid_pending(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the points that are still being set up as the only witnesses, which leaves gaps."""
+    return _void_shares(_void_distances(spark, d, X.PENDING))
 
-@query(SQL_VOID + """SELECT pcode, i AS ix, j AS iy, round(d, 1) AS dist_km, round(da, 1) AS dist_km_OpA, round(db, 1) AS dist_km_OpB FROM nn WHERE greatest(d, da, db) > 10 AND i % 2 = 0 AND j % 2 = 0""")
+
+_LON, _LAT = X.sql_unprojected("x", "y")
+
+
+@query(_sql_void(f"WHERE status = '{X.PENDING}'") + f"""SELECT pcode, i AS ix, j AS iy, round({_LON}, 6) AS lon, round({_LAT}, 6) AS lat, round(d, 3) AS dist_km, round(da, 3) AS dist_km_OpA, round(db, 3) AS dist_km_OpB FROM nn WHERE greatest(d, da, db) > 10 AND i % 2 = 0 AND j % 2 = 0""")
 def void_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Cells to show: one of four, void for any operator or for one at least, with rounded distances."""
-    void = F.greatest("dist_km", "dist_km_OpA", "dist_km_OpB") > 10
-    shown = _void_distances(spark, d).filter(void & (F.pmod("ix", F.lit(2)) == 0) & (F.pmod("iy", F.lit(2)) == 0))
-    return shown.select("pcode", "ix", "iy", *[F.round(f"dist_km{o}", 1).alias(f"dist_km{o}") for o in ("", "_OpA", "_OpB")])
+    """Cells to show: one of four, void for any operator or for one at least, with position and rounded distances; witnesses are the points that are being set up."""
+    void = F.greatest(*[f"dist_km{o}" for o in READINGS]) > 10
+    shown = _void_distances(spark, d, X.PENDING).filter(void & (F.pmod("ix", F.lit(2)) == 0) & (F.pmod("iy", F.lit(2)) == 0))
+    lon, lat = unprojected(F.col("x"), F.col("y"))
+    return shown.select("pcode", "ix", "iy", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"), *[F.round(f"dist_km{o}", 3).alias(f"dist_km{o}") for o in READINGS])

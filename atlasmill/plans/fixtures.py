@@ -59,9 +59,14 @@ def _position(k: Column) -> tuple[Column, Column]:
     return lon, lat
 
 
-def points(spark: SparkSession, d: str) -> DataFrame:
-    """(id, level1, level2, level3, operators, lon_u, lat_u): service points; operators is multivalued."""
-    o = table(spark, d, "orders").join(customers(spark, d), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(units2(spark, d)), "k2")
+#: Service points of this status are the few that are still being set up; as witnesses they leave gaps.
+PENDING = "P"
+
+
+def points(spark: SparkSession, d: str, status: str | None = None) -> DataFrame:
+    """(id, level1, level2, level3, operators, lon_u, lat_u): service points, or those of one status; operators is multivalued."""
+    rows = table(spark, d, "orders")
+    o = (rows.filter(F.col("o_orderstatus") == status) if status else rows).join(customers(spark, d), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(units2(spark, d)), "k2")
     lon, lat = _position(F.col("o_orderkey"))
     p = F.substring("o_orderpriority", 1, 1)
     raw = F.when(p.isin("1", "2"), "OpA, OpB").when(p == "3", "OpB").when(p == "5", "OpA").otherwise("Nsp")
@@ -131,6 +136,21 @@ def sql_projected(lon: str, lat: str) -> tuple[str, str]:
     return f"(500000 + {r!r} * {x})", f"({r!r} * {y})"
 
 
+def sql_unprojected(x: str, y: str) -> tuple[str, str]:
+    """Degrees of grid positions in SQL: the inverse series, zone 31."""
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    r = 0.9996 * 6378137 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    b = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480]
+    d = [2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
+    xi, eta = f"({y} / {r!r})", f"(({x} - 500000) / {r!r})"
+    xi1 = f"({xi}" + "".join(f" - {c!r} * sin({2 * j} * {xi}) * cosh({2 * j} * {eta})" for j, c in enumerate(b, 1)) + ")"
+    eta1 = f"({eta}" + "".join(f" - {c!r} * cos({2 * j} * {xi}) * sinh({2 * j} * {eta})" for j, c in enumerate(b, 1)) + ")"
+    chi = f"asin(sin({xi1}) / cosh({eta1}))"
+    phi = f"({chi}" + "".join(f" + {c!r} * sin({2 * j} * {chi})" for j, c in enumerate(d, 1)) + ")"
+    return f"(3 + degrees(atan2(sinh({eta1}), cos({xi1}))))", f"degrees({phi})"
+
+
 def _corner(a: int, b: int) -> tuple[str, str]:
     return sql_projected(f"((x0 + {a * CELL_W // PARTS}) / 1e6)", f"((y0 + {b * CELL_H // PARTS}) / 1e6)")
 
@@ -151,7 +171,7 @@ p2 AS (SELECT u2.*, coalesce(population, 0)::BIGINT AS population FROM u2 LEFT J
 p3 AS (SELECT level1, level2, level2 || ' ' || seg_no AS level3, sum(inhabitants)::BIGINT AS population FROM cust JOIN u2 USING (k2) GROUP BY 1, 2, 3),
 pts0 AS (SELECT o_orderkey AS id, level1, level2, level2 || ' ' || seg_no AS level3,
         CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2') THEN 'OpA, OpB' WHEN substr(o_orderpriority, 1, 1) = '3' THEN 'OpB' WHEN substr(o_orderpriority, 1, 1) = '5' THEN 'OpA' ELSE 'Nsp' END AS operators,
-        {lon.format(k="o_orderkey")} AS lon_u, {lat.format(k="o_orderkey")} AS lat_u
+        o_orderstatus AS status, {lon.format(k="o_orderkey")} AS lon_u, {lat.format(k="o_orderkey")} AS lat_u
         FROM orders JOIN cust ON o_custkey = c_custkey JOIN u2 USING (k2)),
 pts AS MATERIALIZED (SELECT *, {px} AS x, {py} AS y FROM pts0),
 fac0 AS (SELECT s_name AS name, s_suppkey AS k, k2, level1, level2, level2 || ' ' || (s_suppkey % 5 + 1) AS level3, CASE WHEN s_suppkey % 3 = 0 THEN 'OpA' ELSE 'OpB' END AS operator,
