@@ -107,16 +107,32 @@ def spearman(df: DataFrame, a: str, b: str, ranges: int = 1) -> DataFrame:
     return both.join(ra, a).join(rb, b).agg(F.corr("ra", "rb").alias("spearman"))
 
 
-def weighted_median(df: DataFrame, by: list[str], value: str, weight: str, to: str) -> DataFrame:
-    """(by, to): in order of value, the first at which the weights reach half of the group's.
+#: Ranges that a group's values are dealt to for a weighted median.
+MEDIAN_RANGES = 512
 
-    Weights are summed by distinct value first, so a group's rows are not sorted together.
+
+def weighted_median(df: DataFrame, by: list[str], value: str, weight: str, to: str, ranges: int = MEDIAN_RANGES) -> DataFrame:
+    """(by, to): in order of value, the first at which the weights reach half of the group's; nulls in `by` are a group.
+
+    A group's values are dealt to ranges by approximate percentiles, and weights are summed by range,
+    which combines before the shuffle. Only the values of the range in which half is reached are summed
+    one by one and sorted, so a group's rows never meet in one task. Weights are added as decimals of
+    nine places: the sums do not depend on their order.
     """
-    summed = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(weight).alias("__w"))
-    group = Window.partitionBy(*by)
-    upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    share = F.sum("__w").over(upto) / F.sum("__w").over(group)
-    return summed.withColumn("__share", share).groupBy(*by).agg(F.min(F.when(F.col("__share") >= 0.5, F.col(value))).alias(to))
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"), F.col(weight).cast("decimal(28,9)").alias("__w"))
+    cuts = [k / ranges for k in range(1, ranges)]
+    ends = rows.groupBy(*by).agg(F.percentile_approx(F.col("__v").cast("double"), cuts, 10_000).alias("__ends")).withColumn("__ends", F.array_distinct("__ends"))
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in by])
+    ends = staged(ends, "median-ranges")
+    # a value's range: how many of its group's ends lie below it
+    dealt = rows.join(ends, same(rows, ends)).select(*[rows[c] for c in by], "__v", "__w", F.aggregate("__ends", F.lit(0), lambda n, e: n + (e < F.col("__v").cast("double")).cast("int")).alias("__r"))
+    group, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)
+    sums = dealt.groupBy(*by, "__r").agg(F.sum("__w").alias("__s")).withColumns({"__upto": F.sum("__s").over(upto), "__all": F.sum("__s").over(group)})
+    half = staged(sums.filter("2 * __upto >= __all").groupBy(*by).agg(F.min_by(F.struct("__r", (F.col("__upto") - F.col("__s")).alias("before"), "__all"), "__r").alias("__h")), "median-halves")
+    inside = dealt.join(half, same(dealt, half) & (dealt["__r"] == half["__h.__r"])).groupBy(*[dealt[c] for c in by], "__h", "__v").agg(F.sum("__w").alias("__w"))
+    order = Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    reached = inside.withColumn("__upto", F.sum("__w").over(order) + F.col("__h.before")).filter(2 * F.col("__upto") >= F.col("__h.__all"))
+    return reached.groupBy(*by).agg(F.min("__v").alias(to))
 
 
 #: Rank error of the approximate percentiles that bracket an exact one, as a share of the group: 1 / ACCURACY.

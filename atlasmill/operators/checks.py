@@ -11,28 +11,61 @@ from ..functions.geo import at_null_island, outside_box
 from ..functions.text import is_null_token, stripped
 
 
+#: Sample values of a column.
+SAMPLES = 4
+#: A check's name, whether it holds and its detail, as aggregates over one table.
+Check = tuple[str, Column, Column]
+
+
+def checked(df: DataFrame, step: str, *checks: Check) -> DataFrame:
+    """A row per check, all from one aggregation of df; an aggregate that is null counts as failed."""
+    rows = [F.struct(F.lit(name).alias("name"), F.coalesce(ok, F.lit(False)).alias("ok"), F.coalesce(detail.cast("string"), F.lit("")).alias("detail")) for name, ok, detail in checks]
+    return df.agg(F.array(*rows).alias("c")).select(F.lit(step).alias("step"), F.explode("c").alias("c")).select("step", "c.*")
+
+
+def has_count(expected: int) -> Check:
+    return f"rows = {expected}", F.count("*") == expected, F.count("*")
+
+
+def is_complete(column: str) -> Check:
+    n = F.count_if(F.col(column).isNull())
+    return f"{column} is complete", n == 0, n
+
+
+def is_unique(column: str) -> Check:
+    n = F.count(column) - F.countDistinct(column)
+    return f"{column} is unique", n == 0, n
+
+
+def is_share(name: str, condition: Column, least: float) -> Check:
+    share = F.avg(condition.cast("double"))
+    return name, share >= least, F.round(share, 6)
+
+
+def no_estimate(flagged: Column, columns: list[str]) -> Check:
+    """Flagged rows have no value in these columns."""
+    n = F.count_if(flagged & reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in columns]))
+    return "flagged rows have null ratios", n == 0, n
+
+
 def check(df: DataFrame, step: str, name: str, ok: Column, detail: Column) -> DataFrame:
-    """One row from aggregates over df; an aggregate that is null counts as failed."""
-    return df.agg(F.coalesce(ok, F.lit(False)).alias("ok"), detail.cast("string").alias("detail")).select(F.lit(step).alias("step"), F.lit(name).alias("name"), "ok", F.coalesce("detail", F.lit("")).alias("detail"))
+    return checked(df, step, (name, ok, detail))
 
 
 def has_rows(df: DataFrame, step: str, expected: int) -> DataFrame:
-    return check(df, step, f"rows = {expected}", F.count("*") == expected, F.count("*"))
+    return checked(df, step, has_count(expected))
 
 
 def complete(df: DataFrame, step: str, column: str) -> DataFrame:
-    n = F.count_if(F.col(column).isNull())
-    return check(df, step, f"{column} is complete", n == 0, n)
+    return checked(df, step, is_complete(column))
 
 
 def unique(df: DataFrame, step: str, column: str) -> DataFrame:
-    n = F.count(column) - F.countDistinct(column)
-    return check(df, step, f"{column} is unique", n == 0, n)
+    return checked(df, step, is_unique(column))
 
 
 def share_at_least(df: DataFrame, step: str, name: str, condition: Column, least: float) -> DataFrame:
-    share = F.avg(condition.cast("double"))
-    return check(df, step, name, share >= least, F.round(share, 6))
+    return checked(df, step, is_share(name, condition, least))
 
 
 def same_sum(a: DataFrame, x: str, b: DataFrame, y: str, step: str, name: str, tolerance: float = 0) -> DataFrame:
@@ -50,10 +83,7 @@ def same_keys(a: DataFrame, b: DataFrame, key: str, step: str, name: str) -> Dat
 
 
 def nulls_where(df: DataFrame, step: str, flagged: Column, columns: list[str]) -> DataFrame:
-    """Flagged rows have no estimate in these columns."""
-    filled = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in columns])
-    n = F.count_if(flagged & filled)
-    return check(df, step, "flagged rows have null ratios", n == 0, n)
+    return checked(df, step, no_estimate(flagged, columns))
 
 
 def registry(checks: list[DataFrame]) -> DataFrame:
@@ -65,12 +95,22 @@ def tally(results: DataFrame) -> DataFrame:
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """A row per column: rows, nulls, null_tokens, distinct_values, dirty_edges, smallest and largest value as text. One pass."""
+    """A row per column: rows, nulls, null_tokens, distinct_values, dirty_edges, smallest and largest value as text, and samples. One pass.
+
+    samples are up to SAMPLES different values, sorted and joined by ` | `: for each of so many parts of
+    a value's md5, the value with the smallest. They are the same however the rows are dealt out.
+    """
+
+    def samples(c: str) -> Column:
+        digest = F.md5(F.col(c).cast("binary"))
+        least = [F.min(F.concat(F.substring(digest, 1 + 8 * k, 8), F.col(c))) for k in range(SAMPLES)]
+        return F.concat_ws(" | ", F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.substring(x, 9, 1 << 30) for x in least])))))
+
     text = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
     parts = [
         F.struct(
             F.lit(c).alias("column"), F.count("*").alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"), F.count_if(F.col(c).isNotNull() & is_null_token(F.col(c))).alias("null_tokens"),
-            F.countDistinct(c).alias("distinct_values"), F.count_if(F.col(c) != stripped(F.col(c))).alias("dirty_edges"), F.min(c).alias("smallest"), F.max(c).alias("largest"),
+            F.countDistinct(c).alias("distinct_values"), F.count_if(F.col(c) != stripped(F.col(c))).alias("dirty_edges"), F.min(c).alias("smallest"), F.max(c).alias("largest"), samples(c).alias("samples"),
         )
         for c in df.columns
     ]

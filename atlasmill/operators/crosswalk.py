@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,31 @@ def shared_values(units: DataFrame, published: DataFrame, unit: str, label: str,
     return units.join(rows, unit, "left").withColumn("shared_with", F.when(F.col("__label") != F.col(unit), F.col("__label"))).drop("__label")
 
 
+def attached_by_prefix(units: DataFrame, shared: DataFrame, unit: str, prefix: str, label: str, value: str) -> DataFrame:
+    """Adds `value` and `shared_with` to units whose name begins with a prefix of `shared` (prefix, label, value); of several the longest counts.
+
+    One published total stands for all of those units: each gets the whole value and the label that
+    says so; nothing is divided. Units without such a prefix have null in both. The join is on the
+    name's first characters, for each length that prefixes have, so no unit meets a prefix it does not
+    begin with. Of equal prefixes the smallest (label, value) counts.
+    """
+    once = shared.filter(F.length(prefix) > 0).groupBy(F.col(prefix).alias("__prefix")).agg(F.min(F.struct(F.col(label).alias("label"), F.col(value).alias("value"))).alias("__found"))
+    lengths = once.agg(F.array_sort(F.collect_set(F.length("__prefix"))).alias("__lengths"))  # as many as a prefix has characters at most
+    keys = units.select(unit).distinct().crossJoin(F.broadcast(lengths)).select(unit, F.explode("__lengths").alias("__n")).filter(F.length(unit) >= F.col("__n"))
+    met = keys.withColumn("__prefix", F.expr(f"substring(`{unit}`, 1, __n)")).join(once, "__prefix")
+    best = met.groupBy(unit).agg(F.max_by("__found", "__n").alias("__found"))
+    return units.join(best, unit, "left").withColumns({value: F.col("__found.value"), "shared_with": F.col("__found.label")}).drop("__found")
+
+
+def paired(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Rows of both sides by key, never by position. A key that one side lacks, or holds twice, fails the job where the rows are made."""
+    left, right = (side.withColumn("__n", F.count("*").over(Window.partitionBy(key))) for side in (a, b))
+    both = left.withColumnRenamed("__n", "__a").join(right.withColumnRenamed("__n", "__b"), key, "full")
+    wrong = F.col("__a").isNull() | F.col("__b").isNull() | (F.col("__a") > 1) | (F.col("__b") > 1)
+    message = F.concat(F.lit(f"{key} is not on both sides once: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    return both.withColumn("__ok", F.when(wrong, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))).filter("__ok").drop("__a", "__b", "__ok")
+
+
 def agreement(rows: DataFrame, declared: str, found: str) -> Column:
     """Share of rows with a finding that agree with it."""
     return F.avg(F.when(F.col(found).isNotNull(), (F.col(declared) == F.col(found)).cast("double")))

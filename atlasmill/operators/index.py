@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import dirichlet
 from ..functions.stats import descending_rank, min_max, ranks_of
 from ..sources.staging import staged
+from .crosswalk import paired
 
 # The priority index's weights and its components' sources, turned so that more is worse.
 WEIGHTS = {"d1": 0.30, "d2": 0.25, "d3": 0.25, "d4": 0.20}
@@ -114,6 +115,12 @@ def reweighted(indexed: DataFrame, key: str, weights: dict[str, float]) -> DataF
     return t.select(key, "new_score", "new_rank", (F.col("old_rank") - F.col("new_rank")).alias("moved"))
 
 
+def movement(old: DataFrame, new: DataFrame, key: str, rank: str) -> DataFrame:
+    """(key, old_rank, new_rank, moved): two rankings of the same units, paired by key; a unit that one of them lacks fails the job."""
+    both = paired(old.select(key, F.col(rank).alias("old_rank")), new.select(key, F.col(rank).alias("new_rank")), key)
+    return both.withColumn("moved", F.col("old_rank") - F.col("new_rank"))
+
+
 def breakdown(indexed: DataFrame, key: str) -> DataFrame:
     """(key, c_d1..c_d4, dominant, dominant_share): each component's part of the score; ties go to the first component."""
     parts = {c: F.col(f"n_{c}") * w for c, w in WEIGHTS.items()}

@@ -158,15 +158,16 @@ nn AS MATERIALIZED (SELECT pcode, i, j, x, y, sqrt(min((x - px) * (x - px) + (y
 """
 
 
-#: Columns of the void grid by reading: of any operator, and of each.
-READINGS = {"": F.lit(True), "_OpA": F.array_contains("ops", "OpA"), "_OpB": F.array_contains("ops", "OpB")}
+#: Suffixes of the void grid's columns: of any operator, and of each.
+READINGS = ("", "_OpA", "_OpB")
 
 
 def _void_distances(spark: SparkSession, d: str, status: str | None = None) -> DataFrame:
     """Grid cells inside zones with their distance to the nearest service point (of a status): of any operator, and of each, in one descent."""
     cells = staged(_cells(spark, d), "cells")
     points = X.metres(X.points(spark, d, status)).withColumn("ops", operators_of(F.col("operators"))).select("x", "y", "ops")
-    return nearest_km(cells, points, "cell", READINGS, carry=("pcode", "ix", "iy", "x", "y"))
+    groups = {o: F.array_contains("ops", o[1:]) if o else F.lit(True) for o in READINGS}
+    return nearest_km(cells, points, "cell", groups, carry=("pcode", "ix", "iy", "x", "y"))
 
 
 _VOID_SHARES = """SELECT pcode, count(*) AS n_cells, round(avg((d > 10)::INT), 6) AS void_share, round(avg((da > 10)::INT), 6) AS void_share_OpA, round(avg((db > 10)::INT), 6) AS void_share_OpB, round(avg(d), 6) AS mean_km, round(max(d), 6) AS max_km FROM nn GROUP BY 1"""

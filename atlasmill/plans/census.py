@@ -41,7 +41,7 @@ def booklets(spark: SparkSession, d: str) -> DataFrame:
     """(doc, text): per first-level unit a booklet with a summary, a page per second-level unit, and pages that the rules leave out.
 
     A unit's first child is printed over two lines, split at a hyphen; the second follows a connector.
-    On the page of a unit whose number is a multiple of 7 a value is missing.
+    Each page has a sub-unit's row, which starts with a hyphen, and the country's. On the page of a unit whose number is a multiple of 7 a value is missing.
     """
     units = X.units2(spark, d).select("level2", "k2")
     rows = X.population3(spark, d).join(F.broadcast(units), "level2").withColumn("seg", F.regexp_extract("level3", r"(\d+)$", 1).cast("int"))
@@ -52,7 +52,8 @@ def booklets(spark: SparkSession, d: str) -> DataFrame:
     head = F.concat(F.lit("Tableau "), F.col("k2").cast("string"), F.lit(": Population résidente par commune  et sexe, préfecture de "), name, F.lit(" (Région "), F.col("level1"), F.lit(")\n"))
     title = F.concat(F.rpad(F.lit("Commune / Canton"), 40, " "), F.lpad(F.lit("Masculin"), 16, " "), F.lpad(F.lit("Féminin"), 16, " "), F.lpad(F.lit("Ensemble"), 16, " "))
     lines = rows.groupBy("level1", "level2", "k2").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", spelt.alias("line")))), lambda x: x["line"]), "\n").alias("lines"), F.sum("population").alias("sum"))
-    page = lines.select("level1", "k2", F.concat(head, title, F.lit("\n"), "lines", F.lit("\n"), _line(F.concat(F.lit("TOTAL "), name), F.col("sum")), F.lit("\nSource : recensement")).alias("page"))
+    parts = F.concat(_line(F.lit("- dont urbain"), F.col("sum")), F.lit("\n"), _line(F.lit("TOGO"), F.col("sum")))
+    page = lines.select("level1", "k2", F.concat(head, title, F.lit("\n"), "lines", F.lit("\n"), parts, F.lit("\n"), _line(F.concat(F.lit("TOTAL "), name), F.col("sum")), F.lit("\nSource : recensement")).alias("page"))
     body = page.groupBy("level1").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k2", "page"))), lambda x: x["page"]), "\f").alias("body"))
     return body.select(F.col("level1").alias("doc"), F.concat(F.lit("Sommaire\nTableau 1: a\nTableau 2: résidente des régions par sexe\f"), "body", F.lit("\fnotes without a table")).alias("text"))
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import group_percentiles, percentile_of
+from ..functions.stats import group_percentiles, percentile_of, weighted_median
 from ..operators import checks as C
 from ..operators import index as I
 from ..operators.spatial import nearest_km
@@ -15,26 +15,34 @@ from ..operators.tidy import access_ratios, union_exports
 from ..sources import readers as R
 from ..sources.staging import shared_dir, staged
 from . import fixtures as X
-from .access import SQL_NEAR, active_branches
+from .access import SQL_NEAR, SQL_ZD, active_branches, zone_centres
 from .inventory import PRELUDE, SQL_IND2, SQL_IND3, branches, data_centres, indicators2, indicators3, points_by_operator, rounded
-from .ranking import SQL_GAP, SQL_INDEX, gap_hotspots, gap_zones, indexed, priority_robust
+from .ranking import SQL_GAP_PENDING, SQL_INDEX, gap_zones, hotspots, indexed, priority_robust, sql_hotspots
 from .registry import query, sql_of
 
 OPERATORS = ("OpA", "OpB")
 
 
-@query(PRELUDE + """o AS (SELECT unnest(['OpA', 'OpB']) AS operator),
+@query(PRELUDE + SQL_ZD + """, o AS (SELECT unnest(['OpA', 'OpB']) AS operator),
 pc AS (SELECT level2, operator, count(*) AS points FROM pop_op GROUP BY 1, 2), bc AS (SELECT level2, operator, count(*) AS branches, count(*) FILTER (active) AS active_branches FROM br GROUP BY 1, 2),
+oz AS MATERIALIZED (SELECT pcode, zc.level2, area_sqkm, b.operator, min(sqrt((mx - b.x) * (mx - b.x) + (my - b.y) * (my - b.y))) / 1000 AS dist_km FROM zc CROSS JOIN act b GROUP BY 1, 2, 3, 4),
+od AS (SELECT level2, operator, min(dist_km) FILTER (2 * upto >= whole) AS median_km, max(dist_km) AS max_km FROM
+ (SELECT *, sum(w) OVER (PARTITION BY level2, operator ORDER BY dist_km) AS upto, sum(w) OVER (PARTITION BY level2, operator) AS whole FROM (SELECT level2, operator, dist_km, sum(area_sqkm::DECIMAL(28, 9)) AS w FROM oz GROUP BY 1, 2, 3)) GROUP BY 1, 2),
 j AS (SELECT level2, operator, population, coalesce(points, 0) AS points, coalesce(branches, 0) AS branches, coalesce(active_branches, 0) AS active_branches FROM p2 CROSS JOIN o LEFT JOIN pc USING (level2, operator) LEFT JOIN bc USING (level2, operator))
-SELECT *, round(population / nullif(points, 0), 6) AS inhabitants_per_point, round(points / nullif(population, 0) * 1e4, 6) AS points_per_10k, round(active_branches / nullif(population, 0) * 1e5, 6) AS branches_per_100k FROM j""")
+SELECT j.*, round(population / nullif(points, 0), 6) AS inhabitants_per_point, round(points / nullif(population, 0) * 1e4, 6) AS points_per_10k, round(active_branches / nullif(population, 0) * 1e5, 6) AS branches_per_100k, round(median_km, 6) AS median_km, round(max_km, 6) AS max_km FROM j LEFT JOIN od USING (level2, operator)""")
 def indicators_by_operator(spark: SparkSession, d: str) -> DataFrame:
-    """Each unit's supply and ratios by operator; the population is the same for all."""
+    """Each unit's supply, ratios and distances (area-weighted median and largest of its zones) by operator; the population is the same for all."""
     named = F.explode(F.array(*map(F.lit, OPERATORS))).alias("operator")
     base = X.population2(spark, d).select("level2", "population", named)
     points = points_by_operator(spark, d).groupBy("level2", "operator").agg(F.count("*").alias("points"))
     supply = branches(spark, d).groupBy("level2", "operator").agg(F.count("*").alias("branches"), F.count_if("active").alias("active_branches"))
     both = base.join(points, ["level2", "operator"], "left").join(supply, ["level2", "operator"], "left").na.fill(0, ["points", "branches", "active_branches"])
-    return rounded(access_ratios(both), ("inhabitants_per_point", "points_per_10k", "branches_per_100k"))
+    zones = zone_centres(spark, d).select("pcode", "level2", "area_sqkm", "x", "y")
+    near = nearest_km(zones, active_branches(spark, d), "pcode", OPERATORS, carry=("level2", "area_sqkm"))
+    long = staged(near.select("level2", "area_sqkm", F.explode(F.array(*[F.struct(F.lit(o).alias("operator"), F.col(f"dist_km_{o}").alias("dist_km")) for o in OPERATORS])).alias("v")).select("level2", "area_sqkm", "v.*"), "operator-distances")
+    by = ["level2", "operator"]
+    far = weighted_median(long, by, "dist_km", "area_sqkm", "median_km").join(long.groupBy(*by).agg(F.max("dist_km").alias("max_km")), by)
+    return rounded(access_ratios(both).join(far, by, "left"), ("inhabitants_per_point", "points_per_10k", "branches_per_100k", "median_km", "max_km"))
 
 
 @query(PRELUDE + """q AS (SELECT 1) SELECT (SELECT count(*) FROM exp_rows) AS listed, count(*) AS facilities, count(*) FILTER (active) AS active, count(*) FILTER (NOT active) AS closed, count(*) FILTER (operator = 'OpA') AS of_a, count(*) FILTER (operator = 'OpB') AS of_b,
@@ -71,18 +79,23 @@ def level3_index(spark: SparkSession, d: str) -> DataFrame:
     return rounded(units.join(scored, "level3", "left"), ("distance_km", "score")).select("level3", "distance_km", "score", "rank", "reason")
 
 
-@query(SQL_IND2 + """SELECT arg_max(level2, inhabitants_per_point) AS worst, round(max(inhabitants_per_point), 6) AS worst_value, arg_min(level2, inhabitants_per_point) AS best, round(min(inhabitants_per_point), 6) AS best_value, round(max(inhabitants_per_point) / min(inhabitants_per_point), 6) AS ratio FROM ind2 WHERE inhabitants_per_point IS NOT NULL""")
+@query(SQL_IND2 + """SELECT (SELECT level2 FROM ind2 ORDER BY inhabitants_per_point DESC NULLS LAST, level2 LIMIT 1) AS worst, round(max(inhabitants_per_point), 6) AS worst_value, (SELECT level2 FROM ind2 ORDER BY inhabitants_per_point NULLS LAST, level2 LIMIT 1) AS best, round(min(inhabitants_per_point), 6) AS best_value, round(max(inhabitants_per_point) / min(inhabitants_per_point), 6) AS ratio FROM ind2 WHERE inhabitants_per_point IS NOT NULL""")
 def extremes(spark: SparkSession, d: str) -> DataFrame:
-    """The worst and the best served unit, and how far they are apart."""
+    """The worst and the best served unit (of equal ones the first by name), and how far they are apart."""
     v = "inhabitants_per_point"
-    found = indicators2(spark, d).filter(F.col(v).isNotNull()).agg(F.max_by("level2", v).alias("worst"), F.max(v).alias("worst_value"), F.min_by("level2", v).alias("best"), F.min(v).alias("best_value"))
+    key = lambda sign: F.struct((F.col(v) * sign).alias("v"), F.col("level2").alias("u"))
+    found = indicators2(spark, d).filter(F.col(v).isNotNull()).agg(F.min_by("level2", key(-1)).alias("worst"), F.max(v).alias("worst_value"), F.min_by("level2", key(1)).alias("best"), F.min(v).alias("best_value"))
     return rounded(found.withColumn("ratio", F.col("worst_value") / F.col("best_value")), ("worst_value", "best_value", "ratio"))
 
 
-@query(f"SELECT h.level2, h.high_zones, r.frequency FROM ({sql_of('gap_hotspots')}) h JOIN ({sql_of('priority_robust')}) r USING (level2)")
+#: Units with most high-risk zones that convergence looks at.
+HOTSPOTS = 15
+
+
+@query(f"SELECT h.level2, h.high_zones, r.frequency FROM ({SQL_GAP_PENDING + sql_hotspots(HOTSPOTS)}) h JOIN ({sql_of('priority_robust')}) r USING (level2)")
 def convergence(spark: SparkSession, d: str) -> DataFrame:
-    """Units with most high-risk zones that are also robustly among the first of the priority index."""
-    return gap_hotspots(spark, d).join(priority_robust(spark, d), "level2").select("level2", "high_zones", "frequency")
+    """Units with most high-risk zones (the points being set up are the witnesses) that are also robustly among the first of the priority index."""
+    return hotspots(I.gap_index(gap_zones(spark, d, status=X.PENDING), "pcode"), HOTSPOTS).join(priority_robust(spark, d), "level2").select("level2", "high_zones", "frequency")
 
 
 # The presets' weights, in percent.
@@ -100,15 +113,15 @@ def preset_weights(spark: SparkSession, d: str) -> DataFrame:
     return rounded(I.compared(long, "preset", "level2", 10), ("spearman",))
 
 
-@query(SQL_GAP + """, pr AS (SELECT (rank() OVER (ORDER BY risk) + (count(*) OVER (PARTITION BY risk) - 1) / 2 - 1) / (count(*) OVER () - 1) * 100 AS p, witnesses FROM gp),
+@query(SQL_GAP_PENDING + """, pr AS (SELECT (rank() OVER (ORDER BY risk) + (count(*) OVER (PARTITION BY risk) - 1) / 2 - 1) / (count(*) OVER () - 1) * 100 AS p, witnesses FROM gp),
 pa1 AS (SELECT sum(area_sqkm) AS s FROM gp), pa2 AS (SELECT sum(a) AS s FROM (SELECT level2, round(sum(round(area_sqkm, 6)), 3) AS a FROM za GROUP BY 1)),
 pc1 AS (SELECT sum(points) AS s FROM ind2), pc2 AS (SELECT count(DISTINCT id) AS s FROM pop_op)
 SELECT 'zones' AS step, 'area is conserved within 0.5' AS name, abs((SELECT s FROM pa1) - (SELECT s FROM pa2)) <= 0.5 AS ok
 UNION ALL SELECT 'zones', 'zones without witness rank high', coalesce((SELECT median(p) FROM pr WHERE witnesses = 0) >= 75, false)
 UNION ALL SELECT 'points', 'both ways give one total', (SELECT s FROM pc1) = (SELECT s FROM pc2)""")
 def plausibility_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Conservation within a tolerance, zones without witness among the risky, and one total by two ways."""
-    gaps = I.gap_index(gap_zones(spark, d), "pcode")
+    """Conservation within a tolerance, zones without witness (of the points being set up) among the risky, and one total by two ways."""
+    gaps = I.gap_index(gap_zones(spark, d, status=X.PENDING), "pcode")
     ranked = percentile_of(gaps.select("risk", "witnesses"), "risk", "p").filter("witnesses = 0")
     units = indicators2(spark, d)
     distinct = points_by_operator(spark, d).select("id").distinct().agg(F.count("*").alias("n"))

@@ -105,6 +105,15 @@ def reweight(spark: SparkSession, d: str) -> DataFrame:
     return rounded(I.reweighted(indexed(spark, d).filter("score IS NOT NULL"), "level2", {"d1": 1, "d2": 2, "d3": 5, "d4": 2}), ("new_score",))
 
 
+@query(SQL_INDEX + ", nw AS (SELECT level2, score, n_d1 * 0.25 + n_d2 * 0.15 + n_d3 * 0.15 + n_d4 * 0.45 AS new_score FROM ix WHERE score IS NOT NULL) SELECT level2, rank() OVER (ORDER BY score DESC) AS old_rank, rank() OVER (ORDER BY new_score DESC) AS new_rank, rank() OVER (ORDER BY score DESC) - rank() OVER (ORDER BY new_score DESC) AS moved FROM nw")
+def rank_movement(spark: SparkSession, d: str) -> DataFrame:
+    """The published ranking against one that stresses population, paired by unit; a unit without a partner would fail the job."""
+    scored = indexed(spark, d).filter("score IS NOT NULL").select("level2", "score", *[f"n_{c}" for c in I.COMPONENTS])
+    old = S.descending_rank(scored, "score", "place")
+    new = S.descending_rank(scored.withColumn("other", I.composed(dict(zip(I.COMPONENTS, (0.25, 0.15, 0.15, 0.45), strict=True)))), "other", "place")
+    return I.movement(old, new, "level2", "place")
+
+
 @query(SQL_INDEX + """, pt AS (SELECT level2, score, n_d1 * 0.3 AS c_d1, n_d2 * 0.25 AS c_d2, n_d3 * 0.25 AS c_d3, n_d4 * 0.2 AS c_d4 FROM ix WHERE score IS NOT NULL), g AS (SELECT *, greatest(c_d1, c_d2, c_d3, c_d4) AS m FROM pt)
 SELECT level2, round(c_d1, 6) AS c_d1, round(c_d2, 6) AS c_d2, round(c_d3, 6) AS c_d3, round(c_d4, 6) AS c_d4, CASE m WHEN c_d1 THEN 'd1' WHEN c_d2 THEN 'd2' WHEN c_d3 THEN 'd3' ELSE 'd4' END AS dominant, round(m / score, 6) AS dominant_share FROM g""")
 def score_breakdown(spark: SparkSession, d: str) -> DataFrame:
@@ -118,9 +127,9 @@ def published_gap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(largest_gap(now, published, "level2", "score", "published"), ("max_gap",))
 
 
-def gap_zones(spark: SparkSession, d: str, operator: str | None = None) -> DataFrame:
-    """Zones with witnesses, their density and operators, distance to a branch and population density of their unit; of one operator if named."""
-    held = located(spark, d).withColumn("ops", operators_of(F.col("operators")))
+def gap_zones(spark: SparkSession, d: str, operator: str | None = None, status: str | None = None) -> DataFrame:
+    """Zones with witnesses (of a status, if named), their density and operators, distance to a branch and population density of their unit; of one operator if named."""
+    held = located(spark, d, status).withColumn("ops", operators_of(F.col("operators")))
     held = held.filter(F.array_contains("ops", operator)) if operator else held
     seen = held.groupBy("pcode").agg(F.count("*").alias("witnesses"), F.count_if(F.array_contains("ops", "OpA")).alias("wa"), F.count_if(F.array_contains("ops", "OpB")).alias("wb"))
     z = zone_centres(spark, d)
@@ -150,6 +159,8 @@ gp{s} AS MATERIALIZED (SELECT gs0{s}.*, CASE WHEN risk IS NOT NULL THEN rank() O
 
 
 SQL_GAP = SQL_IND2 + "," + SQL_ZD + ", pz AS MATERIALIZED " + SQL_PIP.split("pz AS ", 1)[1] + "," + _sql_gap()
+#: The same with the points that are being set up as the only witnesses: some zones have none.
+SQL_GAP_PENDING = SQL_GAP.replace("FROM pts JOIN zn", f"FROM (SELECT * FROM pts WHERE status = '{X.PENDING}') pts JOIN zn")
 _GAP_COLS = ("distance_km", "witness_density", "r1", "r2", "r3", "r4", "risk")
 
 
@@ -198,12 +209,20 @@ def gap_variants(spark: SparkSession, d: str) -> DataFrame:
     return rounded(I.compared(I.gap_variant_scores(gaps, "pcode"), "variant", "pcode", round(gaps.count() * 0.1)), ("spearman",))
 
 
-@query(SQL_GAP + ", hz AS (SELECT level2, count(*) FILTER (class = 'high') AS high_zones, round(sum(CASE WHEN class = 'high' THEN area_sqkm ELSE 0 END) / sum(area_sqkm), 6) AS high_area_share FROM gp GROUP BY 1) SELECT * FROM hz WHERE high_zones > 0 ORDER BY high_zones DESC, level2 LIMIT 5")
-def gap_hotspots(spark: SparkSession, d: str) -> DataFrame:
-    """The units with most high-risk zones, and the share of their area in them."""
+def sql_hotspots(k: int) -> str:
+    return f", hz AS (SELECT level2, count(*) FILTER (class = 'high') AS high_zones, round(sum(CASE WHEN class = 'high' THEN area_sqkm ELSE 0 END) / sum(area_sqkm), 6) AS high_area_share FROM gp GROUP BY 1) SELECT * FROM hz WHERE high_zones > 0 ORDER BY high_zones DESC, level2 LIMIT {k}"
+
+
+def hotspots(gaps: DataFrame, k: int) -> DataFrame:
+    """The k units with most high-risk zones, and the share of their area in them."""
     high = F.col("class") == "high"
-    by_unit = I.gap_index(gap_zones(spark, d), "pcode").groupBy("level2").agg(F.count_if(high).alias("high_zones"), F.round(F.sum(F.when(high, F.col("area_sqkm")).otherwise(0.0)) / F.sum("area_sqkm"), 6).alias("high_area_share"))
-    return by_unit.filter("high_zones > 0").orderBy(F.desc("high_zones"), "level2").limit(5)
+    by_unit = gaps.groupBy("level2").agg(F.count_if(high).alias("high_zones"), F.round(F.sum(F.when(high, F.col("area_sqkm")).otherwise(0.0)) / F.sum("area_sqkm"), 6).alias("high_area_share"))
+    return by_unit.filter("high_zones > 0").orderBy(F.desc("high_zones"), "level2").limit(k)
+
+
+@query(SQL_GAP + sql_hotspots(5))
+def gap_hotspots(spark: SparkSession, d: str) -> DataFrame:
+    return hotspots(I.gap_index(gap_zones(spark, d), "pcode"), 5)
 
 
 SQL_LORENZ = """, lz AS (SELECT level2, population AS p, points AS q, sum(population) OVER o / (SELECT sum(population) FROM {t} WHERE population > 0) AS x, sum(points) OVER o / (SELECT sum(points) FROM {t} WHERE population > 0) AS y, population / (SELECT sum(population) FROM {t} WHERE population > 0) AS dx, points / (SELECT sum(points) FROM {t} WHERE population > 0) AS dy
@@ -222,6 +241,12 @@ def gini_index(spark: SparkSession, d: str) -> DataFrame:
     return rounded(S.gini(S.lorenz(indicators2(spark, d), "level2", "population", "points")), ("gini",))
 
 
+@query(SQL_IND2 + SQL_LORENZ.format(t="ind2") + "SELECT round(1 - (SELECT sum(dx * (y + y - dy)) FROM (SELECT *, row_number() OVER (ORDER BY q / p, level2) AS n FROM lz) WHERE n > 1), 6) AS gini")
+def gini_without_origin(spark: SparkSession, d: str) -> DataFrame:
+    """The form that starts at the curve's first point, not at the origin."""
+    return rounded(S.gini(S.lorenz(indicators2(spark, d), "level2", "population", "points"), from_origin=False), ("gini",))
+
+
 @query("WITH ind2 AS (SELECT l_orderkey::VARCHAR AS level2, sum(l_quantity)::BIGINT AS population, count(*) AS points FROM lineitem GROUP BY 1)" + SQL_LORENZ.format(t="ind2") + "SELECT round(1 - sum(dx * (y + y - dy)), 6) AS gini FROM lz")
 def gini_of_many(spark: SparkSession, d: str) -> DataFrame:
     """The same over every order: running sums by ranges, no single sort."""

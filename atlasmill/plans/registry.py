@@ -30,7 +30,7 @@ def sql_of(name: str) -> str:
 
 
 def _load() -> None:
-    from . import access, census, decisions, inventory, ranking  # noqa: F401
+    from . import access, census, decisions, evidence, inventory, ranking  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

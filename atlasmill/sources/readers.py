@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip_all, wkt_lat, wkt_lon
+from .staging import staged
 
 _UNITS = ["region_nom_bdd", "prefecture_nom_bdd", "commune_nom_bdd", "canton_nom_bdd"]
 _SITE = ["nom_localite", "etab_nom", "etab_adresse", "etab_jour", "etab_creation_date", "activite_statut"]
@@ -62,11 +63,47 @@ def read_kml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_page_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, page, body): whole text files cut at form feeds; doc_id is the file's name."""
-    from ..operators.ordered import pages
+    """(doc_id, page, body): text files cut at form feeds, pages numbered from 1; doc_id is the file's path.
+
+    Files are read in splits, so that a large one is many tasks' work. A page belongs to the split in
+    which it begins; its number is its place there and the pages of all splits before. An empty page
+    after a last form feed is none.
+    """
+    lines = spark.read.option("lineSep", "\f").text(path)
+    rows = lines.select(F.col("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at"), F.col("value").alias("body"))
+    # a row per split: where its rows begin, and how many pages the file has before it
+    each = rows.groupBy("doc_id", "__start").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy("doc_id").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = staged(each.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n"), "splits")
+    return rows.join(splits, ["doc_id", "__start"]).select("doc_id", (F.col("__before") + F.col("__at") - F.col("__first") + 1).alias("page"), "body")
+
+
+def _datasets(datasets: dict[str, str]) -> Column:
+    return F.array(*[F.struct(F.lit(k).alias("dataset"), F.lit(v).alias("pattern")) for k, v in datasets.items()])
+
+
+def listed(spark: SparkSession, root: str, datasets: dict[str, str]) -> DataFrame:
+    """(dataset, n_files, n_bytes) of the files under `root` whose path matches a dataset's pattern (a regular expression); files are listed, not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    met = files.withColumn("d", F.explode(_datasets(datasets))).filter(F.rlike(F.col("path"), F.col("d.pattern")))
+    return met.groupBy("d.dataset").agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"))
 
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("doc_id"), "value")
-    return pages(files, "doc_id", "value")
+
+def read_exports(spark: SparkSession, root: str, datasets: dict[str, str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """The rows of all datasets (strict CSV, tagged by `_source`), and a report (dataset, n_files, n_rows, status).
+
+    status is present, empty (files without rows) or missing (no file): an export that is absent adds
+    no rows and is reported, so that it is not mistaken for zero. A file whose path several patterns
+    match counts for each. `root` itself must exist.
+    """
+    reader = spark.read.schema(schema).option("header", True).option("nullValue", "").option("multiLine", True).option("escape", '"').option("mode", "FAILFAST").option("recursiveFileLookup", True)
+    own = strip_all(reader.csv(root).withColumn("__path", F.col("_metadata.file_path")))
+    rows = own.withColumn("__d", F.explode(_datasets(datasets))).filter(F.rlike(F.col("__path"), F.col("__d.pattern"))).withColumn("_source", F.col("__d.dataset")).drop("__path", "__d")
+    counts = rows.groupBy(F.col("_source").alias("dataset")).agg(F.count("*").alias("n_rows"))
+    wanted = spark.range(1).select(F.explode(F.array(*map(F.lit, datasets))).alias("dataset"))
+    status = F.when(F.col("n_files").isNull(), "missing").when(F.coalesce("n_rows", F.lit(0)) == 0, "empty").otherwise("present")
+    both = wanted.join(listed(spark, root, datasets), "dataset", "left").join(counts, "dataset", "left")
+    return rows, both.select("dataset", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), status.alias("status"))
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
@@ -74,6 +111,12 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id string, title string, is_open boolean").option("multiLine", True).json(path)
 
 
+def flagged_names(rows: DataFrame, name: str, pattern: str, members: DataFrame, key: str) -> DataFrame:
+    """Rows whose name matches the expression, in either case, with `is_member`: whether their key is among the members'."""
+    known = members.select(key).distinct().withColumn("__member", F.lit(True))
+    return filter_names(rows, name, pattern).join(known, key, "left").withColumn("is_member", F.coalesce("__member", F.lit(False))).drop("__member")
+
+
 def filter_names(rows: DataFrame, name: str, pattern: str) -> DataFrame:
     """Rows whose name matches the expression, in either case."""
     return rows.filter(F.col(name).rlike(f"(?i){pattern}"))
