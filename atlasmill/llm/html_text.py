@@ -3,10 +3,12 @@
 A page becomes a sequence of tokens: words, which score positive, and tags, which score negative. What
 a token scores comes from labelled pages: log odds of its kinds inside and outside the content, kinds
 being the element that a word stands in, the elements of a purpose around it, and the class words
-around it; a tag's kind is its name. Names and class words that announce another purpose (menus,
-comments and the like) start from a negative weight, which the labelled pages may change. One linear
-scan finds the contiguous region with the largest sum: the main text is that region, less the words in
-it that score below zero themselves. An `article` or `main` element is a label and no kind: pages
+around it; a tag's kind is its name. Elements whose name announces another purpose (`nav`, `footer` and
+the like) start from a negative weight, which the labelled pages may change; what class words mean is
+learned alone. One linear scan finds the contiguous region with the largest sum. A second one, over the
+region's scores with their signs turned, finds its maximal-scoring subsequences: the boxes inside it
+(adverts, notices, hidden parts), with the words between their tags, whatever these score themselves.
+The main text is the region without them. An `article` or `main` element is a label and no kind: pages
 without one are read in the same way.
 """
 
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .shared import per_text, text_or_empty
 
-# Names of HTML elements by their part in a page, and words in class, id and role that announce another purpose.
+# Names of HTML elements by their part in a page.
 CONTENT = frozenset("article main".split())
 CONTAINERS = frozenset("html body div section article main aside nav header footer form ul ol dl table thead tbody tfoot tr blockquote figure fieldset details dialog menu select template noscript iframe object svg button".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption pre hr address figcaption legend summary option center".split())
@@ -32,11 +34,6 @@ HIDDEN = frozenset("select template noscript iframe object svg button".split())
 RAW = frozenset("script style title textarea".split())
 HEAD = frozenset("head meta link base".split()) | RAW
 SEMANTIC = frozenset("nav footer aside header form menu dialog fieldset".split())
-PURPOSE = frozenset(
-    "ad ads advert advertisement advertising sponsor sponsored promo promotion banner sidebar comment comments disqus respond reply replies cookie cookies consent gdpr notice alert popup modal overlay "
-    "menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar related recommended share sharing social newsletter subscribe subscription signup login search pagination pager skip "
-    "contentinfo complementary dialog".split()
-)
 #: At most so many labelled pages, those of the smallest hashes, are counted for the weights.
 LABELLED_PAGES = 4000
 #: The weight of what announces another purpose, before labelled pages are seen, and the count at which they weigh as much.
@@ -52,7 +49,7 @@ _CLOSES = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
 
 def prior(kind: str) -> float:
     """A kind's weight before labelled pages are seen."""
-    return PRIOR if kind[1:] in (PURPOSE if kind[:1] == "." else SEMANTIC if kind[:1] == "#" else ()) else 0.0
+    return PRIOR if kind[:1] == "#" and kind[1:] in SEMANTIC else 0.0
 
 
 class Element:
@@ -209,27 +206,57 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return region
 
 
-def extract(page: str, weight: dict[str, float]) -> str:
-    """The main text: its blocks in page order, joined by line feeds; empty if no region scores above 0."""
+def maximal_regions(scores: list[float]) -> list[tuple[int, int]]:
+    """All maximal-scoring subsequences: disjoint regions of a positive sum, none of which grows by taking more on. One scan."""
+    # start, end, sum of all scores before the start and up to the end, and the last region before whose sum before its start is less
+    found: list[tuple[int, int, float, float, int]] = []
+    total = 0.0
+    for k, score in enumerate(scores):
+        before, total = total, total + score
+        if score <= 0:
+            continue
+        start, left, right = k, before, total
+        while True:
+            j = len(found) - 1
+            while j >= 0 and found[j][2] >= left:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= right:
+                break
+            start, left = found[j][0], found[j][2]
+            del found[j:]
+        found.append((start, k + 1, left, right, j))
+    return [(a, b) for a, b, *_ in found]
+
+
+def scored(page: str, weight: dict[str, float]) -> tuple[list[tuple[str, str, Element, int]], list[float]]:
+    """The page's tokens and the score of each: a text's is that of a word times its words."""
     elements: list[Element] = []
     found = list(tokens(page, elements))
     around: dict[int, float] = {}
     for e in elements:  # parents come first
         own = sum(weight.get(k, prior(k)) for k in e.kinds)
         around[id(e)] = own + (around[id(e.parent)] if e.parent is not None else 0.0)
-    each, scores = [], []
+    scores = []
     for kind, text, element, _ in found:
         if not text:
-            each.append(0.0)
             scores.append(-min(max(1.0 - weight.get(kind, 0.0), CHEAP), DEAR))
         else:
             word = LOW if element.hidden else 1.0 + min(max(weight.get(kind, 0.0) + around[id(element)], LOW), HIGH)
-            each.append(word)
             scores.append(word * len(text.split()))
+    return found, scores
+
+
+def extract(page: str, weight: dict[str, float]) -> str:
+    """The main text: its blocks in page order, joined by line feeds; empty if no region scores above 0."""
+    found, scores = scored(page, weight)
     first, last = best_region(scores)
+    inside = found[first:last]
+    keep = [True] * len(inside)
+    for a, b in maximal_regions([-x for x in scores[first:last]]):
+        keep[a:b] = [False] * (b - a)
     blocks: dict[int, list[str]] = {}
-    for (kind, text, _, block), word in zip(found[first:last], each[first:last], strict=True):
-        if kind == "<br" or (text and word > 0):
+    for (kind, text, _, block), stays in zip(inside, keep, strict=True):
+        if kind == "<br" or (text and stays):
             blocks.setdefault(block, []).append(" " if kind == "<br" else text)
     lines = (" ".join(entities.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n".join(x for x in lines if x)
@@ -263,8 +290,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     The whole html is read; null html counts as empty and gives an empty text. Character references
     are decoded; white space inside a block becomes one space. Without `weight`, weights are counted
-    on the pages themselves; where none has a content element, words score 1 and tags -1 but for what
-    announces another purpose. Repeated rows give repeated rows; an empty table gives an empty result;
+    on the pages themselves; where none has a content element, words score 1 and tags -1 but for names of another purpose. Repeated rows give repeated rows; an empty table gives an empty result;
     other columns are ignored.
     """
     learned = weight if weight is not None else learn_weights(pages, id_col, html_col)

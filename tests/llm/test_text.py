@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from llm_rows import TEXTS
 
 from atlasmill.llm import secret_scan
-from atlasmill.llm.html_text import best_region, counted, extract, learn_weights, main_text, tokens, weights
+from atlasmill.llm.html_text import best_region, counted, extract, learn_weights, main_text, maximal_regions, scored, tokens, weights
 from atlasmill.llm.secret_scan import BASE, MORE, scan_secrets
 from atlasmill.llm.sentencepiece_bpe import Bpe, Coder, encode_decode, read_vocabulary
 from atlasmill.llm.trigram_query import trigram_query
@@ -207,3 +207,68 @@ def test_without_labelled_pages_words_alone_decide():
     assert [t[0] for t in tokens("<p>a<br>b")] == ["<p", "p", "<br", "p"]
 
 
+
+
+def plain_regions(scores):
+    """Maximal-scoring subsequences by their definition: the best region, then those to its left and right."""
+    best = max(((sum(scores[a:b]), -(b - a), a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)), default=(0, 0, 0, 0))
+    if best[0] <= 0:
+        return []
+    _, _, a, b = best
+    return [*plain_regions(scores[:a]), (a, b), *((b + x, b + y) for x, y in plain_regions(scores[b:]))]
+
+
+def test_maximal_regions_match_their_definition():
+    rng = random.Random(6)
+    for _ in range(300):
+        scores = [rng.uniform(-3, 2.5) for _ in range(rng.randint(0, 25))]
+        assert maximal_regions(scores) == plain_regions(scores)
+
+
+def test_a_page_of_many_small_boxes_takes_one_scan():
+    assert len(maximal_regions([x for _ in range(200_000) for x in (3.0, -9.0)])) == 200_000
+    assert maximal_regions([x for _ in range(200_000) for x in (9.0, -3.0)]) == [(0, 399_999)]
+
+
+def brute_extract(page, weight):
+    """The text by both scans' definitions: every region tried, then every box inside it."""
+    found, scores = scored(page, weight)
+    regions = [(sum(scores[a:b]), -a, a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+    total, _, a, b = max(regions, default=(0, 0, 0, 0))
+    if total <= 0:
+        return ""
+    gone = {a + k for x, y in plain_regions([-s for s in scores[a:b]]) for k in range(x, y)}
+    blocks = {}
+    for k in range(a, b):
+        kind, text, _, block = found[k]
+        if kind == "<br" or (text and k not in gone):
+            blocks.setdefault(block, []).append(" " if kind == "<br" else text)
+    lines = (" ".join("".join(p).split()) for p in blocks.values())
+    return "\n".join(x for x in lines if x)
+
+
+def test_extraction_matches_both_scans_by_definition():
+    rng = random.Random(14)
+    weight = {".ad": -3.0, ".box": -1.5, "p": 1.0, "<p": 0.6, "<div": -1.0, "li": -0.4, "#nav": -4.0}
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 7)):
+            text = " ".join(rng.choice(("alpha", "beta", "gamma")) for _ in range(rng.randint(0, 6)))
+            parts.append(rng.choice((f"<p>{text}</p>", f"<div class='ad'>{text}</div>", f"<div class='box'><p>{text}</p></div>", f"<ul><li>{text}</li></ul>", f"<nav>{text}</nav>", text, "<br>", f"<svg>{text}</svg>")))
+        page = f"<body>{''.join(parts)}</body>"
+        assert extract(page, weight) == brute_extract(page, weight)
+
+
+def test_what_stands_in_a_box_goes_though_its_own_words_score():
+    """A word between the tags of a box scores above zero, and the region spans it; only the second scan takes it out."""
+    weight = {".box": -2.5, "<div": -2.0, "p": 3.0, "<p": 0.5}
+    long = " ".join(["text"] * 30)
+    page = f"<body><p>{long}</p><div class='box'><div>buy <p>now</p> here</div></div><p>{long}</p></body>"
+    found, scores = scored(page, weight)
+    a, b = best_region(scores)
+    inside = [(text, x) for (_, text, _, _), x in zip(found[a:b], scores[a:b], strict=True) if text]
+    assert ("now", True) in [(t, x > 0) for t, x in inside]  # a filter on words would keep it
+    assert extract(page, weight) == f"{long}\n{long}"
+    # and words that score above zero outside the region, beyond dear tags, do not come in
+    far = f"<body><p>{long}</p>{'<div></div>' * 12}<p>far away</p></body>"
+    assert extract(far, weight) == long
