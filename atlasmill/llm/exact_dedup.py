@@ -1,14 +1,14 @@
 """Exact dedup: a tree-merge of sorted digest runs, in DataFrame operations only.
 
 Documents are reduced to digest rows first, so no text is shuffled. Rows are dealt to `runs` runs by a
-hash of their identifier, which spreads a group of copies, however large, over all runs, and within a
-run equal digests become one row: the run's winning identifier and number of copies. The runs are then
-exchanged once, by digest, and sorted by digest and run number, so that each task holds a stretch of
-every run. From there they merge in binomial rounds: in each, neighbouring runs (those whose numbers
-differ in the last bit; `fan_in` of them where more merge at a time) meet, and equal digests become one
-row that retains the winner. A round reads its rows in the order in which the round before wrote them
-and keeps it: no round sorts or exchanges again. At most `runs` rows of a digest ever meet. The winner
-then travels back to the first level's runs, again at most `runs` rows per digest.
+hash of their identifier, which spreads a group of copies, however large, over all runs; within a run
+equal digests become one row: the run's winning identifier and number of copies. The runs merge in
+binomial rounds. In each, a run whose number ends in 1 goes to its neighbour that ends in 0 (`fan_in`
+runs meet where more merge at a time), both are sorted by digest, and equal digests become one row that
+retains the winner. As the runs get fewer, each is cut into as many more ranges of digests, so that
+every round has about as many tasks: the last one's single run lies in as many ranges as there were
+runs. At most `fan_in` rows of a digest ever meet. The winner then travels back to the first level's
+runs, at most `runs` rows per digest.
 
 A digest is SHA-256; it is verified at every level, as the byte length and an independent 64-bit
 hash are part of the merge key: texts that differ in either never merge.
@@ -31,17 +31,24 @@ def digest_rows(docs: DataFrame, id_col: str, text_col: str, runs: int) -> DataF
     return keyed.groupBy(*KEY, "id").agg(F.count("*").alias("copies")).withColumn("run", F.pmod(F.xxhash64("id"), F.lit(runs)).cast("int"))
 
 
+def merge_round(level: DataFrame, cut: int, step: int) -> DataFrame:
+    """One round: runs whose numbers differ in the last `step` bits meet, in ranges of the digest's first `cut` bits.
+
+    `level` has a row for each key and run: the run's number, best and copies; so has the result.
+    """
+    first = F.conv(F.hex(F.substring("digest", 1, 3)), 16, 10).cast("int")
+    moved = level.withColumns({"run": F.shiftright("run", step), "range": F.shiftright(first, 24 - cut)})
+    met = moved.repartition("run", "range").sortWithinPartitions("run", "range", *KEY)
+    return met.groupBy("run", "range", *KEY).agg(F.max("best").alias("best"), F.sum("copies").alias("copies")).drop("range")
+
+
 def merge_tree(level: DataFrame, runs: int, fan_in: int) -> DataFrame:
-    """All rounds: `level` has a row for each key and run; the result one for each key. Run numbers are held as bits, the highest first, so that rows sorted by all of them are sorted for every round."""
-    bits = [f"bit{k}" for k in reversed(range((runs - 1).bit_length()))]
-    level = level.select(*KEY, *[F.shiftright("run", int(b[3:])).bitwiseAND(F.lit(1)).alias(b) for b in bits], "best", "copies")
-    level = level.repartition("digest").sortWithinPartitions(*KEY, *bits)
-    step = max(1, fan_in.bit_length() - 1)
-    while True:
-        bits = bits[:-step]
-        level = level.groupBy(*KEY, *bits).agg(F.max("best").alias("best"), F.sum("copies").alias("copies"))
-        if not bits:
-            return level
+    """All rounds: `level` has a row for each key and run, the result one for each key."""
+    bits, step = (runs - 1).bit_length(), max(1, fan_in.bit_length() - 1)
+    for done in range(0, bits, step):
+        now = min(step, bits - done)
+        level = merge_round(level, min(done + now, 24), now)
+    return level.drop("run")
 
 
 def verdicts(docs: DataFrame, id_col: str, text_col: str, keep: str = "largest", runs: int = 64, fan_in: int = 2) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from atlasmill.llm import line_dedup
 from atlasmill.llm.components import components
-from atlasmill.llm.exact_dedup import drop_copies, exact_dedup
+from atlasmill.llm.exact_dedup import KEY, digest_rows, drop_copies, exact_dedup, merge_round
 from atlasmill.llm.line_dedup import Bitmap, Heavy, Lines, Sets, dedup_lines, hashed_words, settled
 from atlasmill.llm.simhash import drop_near, fingerprint, links, near_groups
 
@@ -261,3 +261,27 @@ def test_long_words_that_look_alike_are_told_apart(spark):
     gone = brute_lines(rows)
     assert {d for d, text in rows if got[d] != text} == {d for d, lines in gone.items() if lines}
     assert got[2] == rows[1][1] and got[5] == ""
+
+
+def test_runs_move_and_merge_in_each_round(spark):
+    """Rows of every round against plain sets; each round's exchange and merge is in the plan."""
+    rng = random.Random(2)
+    texts = [(k, f"text {rng.randrange(120)}") for k in range(2000)] + [(5000 + k, "hot") for k in range(1000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = digest_rows(docs, "doc_id", "text", 16)
+    level = rows.groupBy(*KEY, "run").agg(F.max(F.struct("id")).alias("best"), F.sum("copies").alias("copies"))
+    plain = defaultdict(list)
+    run_of = {r.id: r.run for r in rows.collect()}
+    for k, t in texts:
+        plain[t, run_of[k]].append(k)
+    for n in range(1, 5):
+        level = merge_round(level, n, 1)
+        merged = defaultdict(list)
+        for (t, run), ids in plain.items():
+            merged[t, run >> 1] += ids
+        plain = merged
+        got = sorted((r.run, r.best.id, r.copies) for r in level.collect())
+        assert got == sorted((run, max(ids), len(ids)) for (_, run), ids in plain.items())
+        exchanges = level._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression")
+        assert exchanges == n
+    assert len(plain) == 121
