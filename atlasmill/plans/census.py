@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import parsed_count
-from ..operators.ordered import TableRules, merge_labels, pages, table_rows, without_sub_units
+from ..operators.ordered import TableRules, classified_pages, merge_labels, pages, table_rows, without_sub_units
 from . import fixtures as X
 from .inventory import PRELUDE
 from .registry import query
@@ -16,7 +16,14 @@ CONNECTORS = ("DE", "DU", "DES", "D'", "LA", "LE", "LES", "ET", "SANS", "GRAND",
 OPENERS = ("SANS", "ET")
 RULES = TableRules(
     mark=r"Tableau\s*\d+\s*:",
-    classes={"level1": r"résidente\s+des\s+régions\s+par\s+sexe", "level3": r"résidente\s+par\s+commune\s+et\s+sexe"},
+    classes={
+        "level1": r"résidente\s+des\s+régions\s+par\s+sexe",
+        "level2": r"résidente\s+du\s+Togo\s+par\s+préfecture",
+        "level3": r"résidente\s+par\s+commune\s+et\s+sexe",
+        "quarter": r"résidente\s+des\s+quartiers",
+        "level4": r"résidente\s+des\s+cantons",
+        "town": r"résidente\s+des\s+villes",
+    },
     context=r"(?iu)préfecture\s+de\s+([^(]+?)\s*(?:\(Région|$)",
     total="Ensemble",
     noise=r"(?iu)^(Tableau|Graphique|Source|Région\s*/|Préfecture\s*/|Commune\s*/|Sexe|Masculin|Féminin|[IVX]+\.\s|[0-9]+\.[0-9]+\s)",
@@ -85,3 +92,30 @@ def parsed_counts(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_custkey").cast("string")
     written = F.element_at(F.array(k, F.concat(k, F.lit(" 005")), F.concat(F.lit(" "), k, F.lit("\u00a0007 ")), F.concat(F.lit("-"), k), F.concat(k, F.lit("\t1")), F.concat(k, F.lit("a")), F.lit(" ")), (F.col("o_orderkey") % 7 + 1).cast("int"))
     return X.table(spark, d, "orders").select("o_orderkey", parsed_count(written).alias("n"))
+
+
+# A title of each class; those of a second-level unit name it.
+TITLES = (
+    ("level1", "Population résidente  des régions par sexe", ""),
+    ("level2", "Population résidente du Togo\npar préfecture et sexe", ""),
+    ("level3", "Population résidente par commune et sexe, préfecture de {} (Région {})", "context"),
+    ("quarter", "Population RÉSIDENTE des quartiers, préfecture de {}", "context"),
+    ("level4", "Population résidente des cantons, préfecture de {} (Région {})", "context"),
+    ("town", "Population résidente des villes", ""),
+    (None, "continued", ""),
+)
+
+
+@query(PRELUDE + f"""t AS (SELECT i, [{', '.join(repr(x or 'town') for x, *_ in TITLES)}][i + 1] AS level, i IN (2, 3, 4) AS named FROM range({len(TITLES)}) r(i))
+SELECT level1 AS doc, (k2 * {len(TITLES)} + i)::INT AS page, level, CASE WHEN named THEN level2 ELSE '' END AS context FROM u2, t""")
+def page_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of every class of title, and one without a title, which carries on the class before it."""
+    bodies = []
+    for level, title, _ in TITLES:
+        start, *rest = title.split("{}")
+        names = (F.col("level2"), F.col("level1"))
+        text = F.concat(F.lit(start), *[c for name, piece in zip(names, rest, strict=False) for c in (name, F.lit(piece))])
+        bodies.append(F.concat(F.lit("Tableau 7 : "), text) if level else text)
+    rows = X.units2(spark, d).select("level1", "k2", F.posexplode(F.array(*bodies)).alias("i", "body"))
+    found = classified_pages(rows.select(F.col("level1").alias("doc"), (F.col("k2") * len(TITLES) + F.col("i")).cast("int").alias("page"), "body"), "doc", RULES)
+    return found.select("doc", "page", "level", "context")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
@@ -10,6 +10,8 @@ from ..functions.draws import sql_uniform
 from ..operators import index as I
 from ..operators import planning as P
 from ..operators.checks import largest_gap
+from ..operators.crosswalk import paired
+from ..sources.staging import staged
 from . import fixtures as X
 from .access import SQL_PIP, SQL_ZD, active_branches, located, zone_centres, zone_distances
 from .inventory import SQL_IND2, indicators2, rounded
@@ -127,6 +129,18 @@ def published_gap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(largest_gap(now, published, "level2", "score", "published"), ("max_gap",))
 
 
+@query(SQL_INDEX + """, nw AS (SELECT level2, score, n_d1 * 0.3 + n_d2 * 0.25 + n_d3 * 0.25 + n_d4 * 0.2 AS again FROM ix WHERE score IS NOT NULL), rk AS (SELECT *, rank() OVER (ORDER BY score) AS a, rank() OVER (ORDER BY again) AS b FROM nw)
+SELECT count(*) AS paired, round(max(abs(score - again)), 9) AS max_gap, round(corr(a, b), 9) AS spearman, max(abs(score - again)) < 1e-9 AND abs(corr(a, b) - 1) < 1e-9 AS ok FROM rk""")
+def reweight_invariance(spark: SparkSession, d: str) -> DataFrame:
+    """The reference's weights, given as a user's, against the published index (a written table), paired by unit: the same scores and ranks."""
+    published = staged(indexed(spark, d).filter("score IS NOT NULL"), "published")
+    again = I.reweighted(published, "level2", {c: 100 * w for c, w in I.WEIGHTS.items()}).select("level2", "new_score")
+    both = paired(published.select("level2", "score"), again, "level2")
+    ranked = both.select("score", "new_score", F.rank().over(Window.orderBy("score")).alias("a"), F.rank().over(Window.orderBy("new_score")).alias("b"))  # a row per unit
+    gap, same = F.max(F.abs(F.col("score") - F.col("new_score"))), F.corr("a", "b")
+    return ranked.agg(F.count("*").alias("paired"), F.round(gap, 9).alias("max_gap"), F.round(same, 9).alias("spearman"), ((gap < 1e-9) & (F.abs(same - 1) < 1e-9)).alias("ok"))
+
+
 def gap_zones(spark: SparkSession, d: str, operator: str | None = None, status: str | None = None) -> DataFrame:
     """Zones with witnesses (of a status, if named), their density and operators, distance to a branch and population density of their unit; of one operator if named."""
     held = located(spark, d, status).withColumn("ops", operators_of(F.col("operators")))
