@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import ring_area_km2
-from ..functions.text import facility_label
+from ..functions.text import facility_label, without_prefix
 from ..operators import checks as C
 from ..operators.crosswalk import attached_by_prefix
 from ..operators.spatial import dissolved, outline_edges
@@ -136,3 +136,34 @@ def facility_labels(spark: SparkSession, d: str) -> DataFrame:
 def check_tally(spark: SparkSession, d: str) -> DataFrame:
     """How many of all registered checks hold."""
     return C.tally(C.registry([quality_checks(spark, d), plausibility_checks(spark, d)]))
+
+
+@query(PRELUDE + "q AS (SELECT 1) SELECT pcode AS adm3_pcode, level2 AS adm2_name, level1 AS adm1_name, 'Polygon' AS geometry_type, round(area_sqkm, 4) AS area_sqkm FROM za")
+def geojson_zones(spark: SparkSession, d: str) -> DataFrame:
+    """The zones written as a GeoJSON collection for each first-level unit, and read back: properties, and the area of the rings."""
+    path = _folder(spark, "geojson")
+    ring = F.transform(F.col("rings")[0], lambda p: F.array(p["x"] / 1e6, p["y"] / 1e6))
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+    properties = F.struct(F.col("level1").alias("adm1_name"), F.col("level2").alias("adm2_name"), F.col("pcode").alias("adm3_pcode"))
+    features = X.zones(spark, d).select("level1", F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry"))).alias("f"))
+    files = features.groupBy("level1").agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.array_sort(F.collect_list("f")), ",\n"), F.lit("]}")).alias("value"))  # a unit's zones
+    files.repartition("level1").write.partitionBy("level1").text(path)
+    found = R.read_geojson(spark, f"{path}/*/*")
+
+    def flat(p):
+        x, y = X.projected(p["x"], p["y"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    area = F.aggregate(F.transform("rings", lambda r: ring_area_km2(F.transform(r, flat))), F.lit(0.0), lambda a, b: a + b)
+    return found.select("adm3_pcode", "adm2_name", "adm1_name", "geometry_type", F.round(area, 4).alias("area_sqkm"))
+
+
+@query(PRELUDE + "q AS (SELECT 1) SELECT replace(name, 'Supplier', 'Point') AS name, operator, round(lon_u / 1e6, 6) AS lon, round(lat_u / 1e6, 6) AS lat, 'all' AS prov_scope, 'exports a, b' AS prov_sources FROM br")
+def thin_package(spark: SparkSession, d: str) -> DataFrame:
+    """The branches as an application reads them: positions in place of geometry, names without their kind, needed columns only, with provenance; written and read back."""
+    path = _folder(spark, "package")
+    wkt = F.concat(F.lit("POINT ("), (F.col("lon_u") / 1e6).cast("string"), F.lit(" "), (F.col("lat_u") / 1e6).cast("string"), F.lit(")"))
+    own = X.facilities(spark, d).filter("NOT data_centre").select(F.concat(F.lit("Agence "), F.regexp_replace("name", "Supplier", "Point")).alias("raw"), "operator", "status", wkt.alias("geometry"))
+    thin = R.with_lon_lat(own.withColumn("name", without_prefix(F.col("raw"), "Agence"))).select("name", "operator", "lon", "lat")
+    R.write_table(R.with_provenance(thin, scope="all", sources="exports a, b"), path)
+    return spark.read.parquet(path)
