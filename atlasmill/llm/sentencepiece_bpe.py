@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from .shared import per_text
 
 SPACE = "▁"
-#: Units whose encoding a task remembers, and characters that are encoded at a time.
-MEMORY, FLUSH = 300_000, 1 << 20
-#: Units of more characters are merged by queue.
-LONG = 2048
+#: Units whose encoding a task remembers, their characters in all, and characters that are encoded at a time.
+MEMORY, MEMORY_CHARS, FLUSH = 300_000, 1 << 24, 1 << 20
+#: Units of more characters are merged by queue: from about here on the rounds, of which there are as many as a unit's merges, take longer.
+LONG = 300
 
 
 def read_vocabulary(path: str) -> dict:
@@ -245,6 +245,7 @@ class Coder:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
+        self.chars = 0
         self.ids, self.start, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.used = 0
 
@@ -262,11 +263,12 @@ class Coder:
         self.start[n : n + k] = self.used + np.cumsum(lengths) - lengths
         self.length[n : n + k] = lengths
         self.used += len(ids)
+        self.chars += sum(map(len, new))
         self.number.update(zip(new, range(n, n + k), strict=True))
 
     def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units, flat, and each unit's number of ids."""
-        if len(self.number) > self.memory:
+        if len(self.number) > self.memory or self.chars > MEMORY_CHARS:
             self.forget()
         self.learn(units)
         k = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
@@ -345,8 +347,9 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     A row per document: id (and the columns `keep`), n_tokens, ids_sha256 (of the decimal ids joined
     by spaces), decoded_sha256; with with_ids=True also `ids` (the ids joined by spaces) and
-    `decoded`. A null text counts as empty: its only id is the end id. An empty table gives an empty
-    result. The model is read once, on the driver; its vocabulary, of fixed size, goes to the tasks.
+    `decoded`. A null text counts as empty: its only id is the end id. Repeated rows give repeated rows;
+    other columns are ignored, whatever their names, but those of `keep`, which may not be called as a
+    column of the result is. An empty table gives an empty result. The model is read once, on the driver; its vocabulary, of fixed size, goes to the tasks.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(model))
 
