@@ -62,7 +62,8 @@ def _terms(rules: tuple[Rule, ...]) -> list[tuple[int, int, int, str, int, int]]
 
 
 def _slot(slots: int) -> Column:
-    return F.pmod(F.xxhash64("id"), F.lit(slots)) + 1
+    """A row's slot, by its id and text, so that rows with one id, or with none, are dealt out too."""
+    return F.pmod(F.xxhash64("id", "text"), F.lit(slots)) + 1
 
 
 def postings(rows: DataFrame, trigrams: list[str], slots: int) -> DataFrame:
