@@ -184,8 +184,9 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """A row per document: id and SCHEMA's columns, with with_media=True also `media`, the stored bytes.
 
     The text's UTF-8 bytes, padded with 0 to a positive multiple of 64, are stored as 8-bit samples
-    and all figures are taken from what the reader gives back. A null text counts as empty; an empty
-    table gives an empty result; other columns are ignored; equal texts give equal values.
+    and all figures are taken from what the reader gives back. A null text counts as empty; repeated rows
+    give repeated rows; an empty table gives an empty result; other columns are ignored, whatever their
+    names; equal texts give equal values.
     """
     schema = SCHEMA + ", media binary" * with_media
 
