@@ -12,13 +12,16 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
     Where it is unset, a temporary folder serves a local session, where there are no other machines;
-    on a cluster it is the warehouse, never a machine's own folder.
+    on a cluster it is the warehouse, if that is in a shared store. A machine's own folder is an error.
     """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
         master = spark.sparkContext.master
         local = master == "local" or master.startswith("local[")
-        there = tempfile.mkdtemp(prefix="spark-staged-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not local and (warehouse.startswith("file:") or ":/" not in warehouse):
+            raise ValueError("spark.checkpoint.dir is not set, and the warehouse is a machine's own folder: name a shared folder in spark.checkpoint.dir")
+        there = tempfile.mkdtemp(prefix="spark-staged-") if local else f"{warehouse}/_staged"
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
 
