@@ -16,20 +16,23 @@ from ..sources.staging import staged
 
 #: Ranges of a prefix sum: the table of their totals is this long at most.
 RANGES = 64
+#: Up to so many rows are summed in one range.
+ONE_RANGE = 200_000
 
 
-def running_sums(df: DataFrame, order: str, values: list[str], by: list[str] | None = None, ties: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
+def running_sums(df: DataFrame, order: str, values: list[str], by: list[str] | None = None, ties: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """Adds sum_<v> for each value: the sum over rows up to and with this one, in ascending order.
 
     `order` is numeric, without nulls; `ties` orders equal values and must make rows distinct.
-    With `by`, sums start anew in each group.
+    With `by`, sums start anew in each group. Without `ranges`, rows are counted: up to ONE_RANGE are
+    one range, more are RANGES.
     """
     by, ties = by or [], ties or []
-    if ranges > 1:
-        bounds = df.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 1000).alias("b")).first()["b"] or []
-        bounds = sorted(set(bounds))
-    else:
-        bounds = []
+    bounds = []
+    if ranges is None or ranges > 1:
+        cuts = [k / (ranges or RANGES) for k in range(1, ranges or RANGES)]
+        found = df.agg(F.count("*").alias("n"), F.percentile_approx(order, cuts, 1000).alias("b")).first()
+        bounds = sorted(set(found.b or [])) if ranges is not None or found.n > ONE_RANGE else []
     cut = F.lit(0)
     if bounds:
         cut = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order)))
@@ -44,7 +47,7 @@ def running_sums(df: DataFrame, order: str, values: list[str], by: list[str] | N
     return out.drop("__range")
 
 
-def value_ranks(df: DataFrame, value: str, by: list[str] | None = None, ranges: int = 1) -> DataFrame:
+def value_ranks(df: DataFrame, value: str, by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """By distinct non-null value: ties, first_rank and mean_rank (ascending, from 1)."""
     by = by or []
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("ties"))
@@ -53,21 +56,21 @@ def value_ranks(df: DataFrame, value: str, by: list[str] | None = None, ranges:
     return summed.select(*by, value, "ties", first.alias("first_rank"), (first + (F.col("ties") - 1) / 2).alias("mean_rank"))
 
 
-def percent_rank_of(df: DataFrame, value: str, to: str, ranges: int = 1) -> DataFrame:
+def percent_rank_of(df: DataFrame, value: str, to: str, ranges: int | None = None) -> DataFrame:
     """Adds `to`: mean rank / number of non-null values x 100; null for null."""
     n = df.agg(F.count(value).alias("__n"))
     ranked = df.join(value_ranks(df, value, ranges=ranges).select(value, "mean_rank"), value, "left").crossJoin(F.broadcast(n))
     return ranked.withColumn(to, F.col("mean_rank") / F.col("__n") * 100).drop("mean_rank", "__n")
 
 
-def percentile_of(df: DataFrame, value: str, to: str, ranges: int = 1) -> DataFrame:
+def percentile_of(df: DataFrame, value: str, to: str, ranges: int | None = None) -> DataFrame:
     """Adds `to`: (mean rank - 1) / (number of rows, nulls included, - 1) x 100; null for null."""
     n = df.agg(F.count("*").alias("__n"))
     ranked = df.join(value_ranks(df, value, ranges=ranges).select(value, "mean_rank"), value, "left").crossJoin(F.broadcast(n))
     return ranked.withColumn(to, F.when(F.col("__n") > 1, (F.col("mean_rank") - 1) / (F.col("__n") - 1) * 100)).drop("mean_rank", "__n")
 
 
-def ranks_of(df: DataFrame, key: str, columns: dict[str, Column], scale: str, ranges: int = 1) -> DataFrame:
+def ranks_of(df: DataFrame, key: str, columns: dict[str, Column], scale: str, ranges: int | None = None) -> DataFrame:
     """(key, each name): ranks of several columns in one pass, by component; null stays null.
 
     scale="percent": mean rank / number of non-null values x 100. scale="percentile": (mean rank - 1)
@@ -81,7 +84,7 @@ def ranks_of(df: DataFrame, key: str, columns: dict[str, Column], scale: str, ra
     return ranked.groupBy(key).agg(*[F.max(F.when(F.col("name") == n, F.col("share"))).alias(n) for n in columns])
 
 
-def descending_rank(df: DataFrame, value: str, to: str, ties: str = "min", by: list[str] | None = None, ranges: int = 1) -> DataFrame:
+def descending_rank(df: DataFrame, value: str, to: str, ties: str = "min", by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """Adds `to`: rank by falling value; ties="min", or "average" (truncated to an integer)."""
     by = by or []
     table = value_ranks(df.withColumn("__down", -F.col(value)), "__down", by, ranges)
@@ -99,7 +102,7 @@ def min_max(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return out.drop(*ends.columns)
 
 
-def spearman(df: DataFrame, a: str, b: str, ranges: int = 1) -> DataFrame:
+def spearman(df: DataFrame, a: str, b: str, ranges: int | None = None) -> DataFrame:
     """One row, `spearman`: Pearson's correlation of mean ranks, over rows with both values."""
     both = df.select(a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     ra = value_ranks(both, a, ranges=ranges).select(a, F.col("mean_rank").alias("ra"))
@@ -178,7 +181,7 @@ def group_percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str
     return both.select(*[kept[c] for c in by], *[each[n] for n in names], *[kept[c] for c in kept.columns if c not in by])
 
 
-def lorenz(df: DataFrame, key: str, population: str, points: str, ranges: int = 1) -> DataFrame:
+def lorenz(df: DataFrame, key: str, population: str, points: str, ranges: int | None = None) -> DataFrame:
     """(key, x, y, px, py): cumulated shares of population and points by rising points per inhabitant, with the shares before; rows with nobody are left out."""
     rated = df.filter(F.col(population) > 0).withColumn("__rate", F.col(points) / F.col(population))
     summed = running_sums(rated, "__rate", [population, points], ties=[key], ranges=ranges)

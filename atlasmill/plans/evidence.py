@@ -37,7 +37,7 @@ def paged_text(spark: SparkSession, d: str) -> DataFrame:
     rows = X.table(spark, d, "documents").select(file.alias("file"), "doc_id", body.alias("value"))
     rows.repartition("file").sortWithinPartitions("file", "doc_id").select("file", "value").write.partitionBy("file").option("lineSep", "\f").text(path)
     found = R.read_page_texts(spark, path)
-    return found.select(F.regexp_extract("doc_id", "file=([^/]+)/", 1).alias("file"), "page", F.char_length("body").alias("n_chars"), F.md5(F.col("body").cast("binary")).alias("digest"))
+    return found.select(F.regexp_extract("path", "file=([^/]+)/", 1).alias("file"), "page", F.char_length("body").alias("n_chars"), F.md5(F.col("body").cast("binary")).alias("digest"))
 
 
 _CORNERS = ((0, 0), (1, 0), (1, 1), (0, 1))

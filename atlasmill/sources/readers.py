@@ -63,19 +63,19 @@ def read_kml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_page_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, page, body): text files cut at form feeds, pages numbered from 1; doc_id is the file's path.
+    """(doc_id, page, body, path): text files cut at form feeds, pages numbered from 1; doc_id is the file's name.
 
     Files are read in splits, so that a large one is many tasks' work. A page belongs to the split in
     which it begins; its number is its place there and the pages of all splits before. An empty page
     after a last form feed is none.
     """
     lines = spark.read.option("lineSep", "\f").text(path)
-    rows = lines.select(F.col("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at"), F.col("value").alias("body"))
+    rows = lines.select(F.col("_metadata.file_name").alias("doc_id"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at"), F.col("value").alias("body"))
     # a row per split: where its rows begin, and how many pages the file has before it
-    each = rows.groupBy("doc_id", "__start").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
-    before = Window.partitionBy("doc_id").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    each = rows.groupBy("path", "__start").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy("path").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
     splits = staged(each.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n"), "splits")
-    return rows.join(splits, ["doc_id", "__start"]).select("doc_id", (F.col("__before") + F.col("__at") - F.col("__first") + 1).alias("page"), "body")
+    return rows.join(splits, ["path", "__start"]).select("doc_id", (F.col("__before") + F.col("__at") - F.col("__first") + 1).alias("page"), "body", "path")
 
 
 def _datasets(datasets: dict[str, str]) -> Column:
