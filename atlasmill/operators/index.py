@@ -78,11 +78,12 @@ def drawn_weights(spark: SparkSession, draws: int, parts: int, shape: int, seed:
 def sensitivity(scored: DataFrame, key: str, parts: list[str], draws: DataFrame, k: int) -> DataFrame:
     """(key, frequency, rank_median, rank_min, rank_max): ranks of the weighted sums over all draws; frequency is that of ranks up to k.
 
-    Draws are dealt with the units; each draw ranks its own, mean ranks for ties.
+    The draws, whose number is a parameter, go to every task; each draw ranks the units on its own, mean
+    ranks for ties.
     """
     units = scored.select(key, *parts)
     value = _sum([F.col("w")[i] * F.col(p) for i, p in enumerate(parts)])
-    rows = draws.crossJoin(F.broadcast(units)).select("draw", key, F.round(value, 9).alias("value"))
+    rows = units.crossJoin(F.broadcast(draws)).select("draw", key, F.round(value, 9).alias("value"))
     group = Window.partitionBy("draw")
     rank = F.rank().over(group.orderBy(F.desc("value"))) + (F.count("*").over(Window.partitionBy("draw", "value")) - 1) / 2
     ranked = rows.withColumn("rank", rank)
@@ -93,7 +94,7 @@ def mean_spearman(scored: DataFrame, key: str, parts: list[str], draws: DataFram
     """One row (draws, mean_spearman): the mean, over all draws, of the rank correlation of the weighted sums with `reference`."""
     units = scored.select(F.col(reference).alias("reference"), *parts)
     value = _sum([F.col("w")[i] * F.col(p) for i, p in enumerate(parts)])
-    rows = draws.crossJoin(F.broadcast(units)).select("draw", "reference", F.round(value, 9).alias("value"))
+    rows = units.crossJoin(F.broadcast(draws)).select("draw", "reference", F.round(value, 9).alias("value"))
 
     def mean_rank(c: str) -> Column:
         return F.rank().over(Window.partitionBy("draw").orderBy(c)) + (F.count("*").over(Window.partitionBy("draw", c)) - 1) / 2
