@@ -26,6 +26,24 @@ def test_name_key_of_every_kind_of_letter(spark):
     assert got == {n: plain(n) for n in names} and got["Straße"] == "STRAE" and got["Ĳssel"] == "IJSSEL" and got["ı"] == ""
 
 
+def test_name_key_looks_letters_up(spark):
+    """No class of hundreds of characters, which an expression tries one by one; words of ASCII are not translated."""
+    names = ["plain", "Ĳssel", "œuvre ﬁn", "½", "🄐x", "日本", None]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", text.name_key(F.col("n")).alias("k"))
+    assert "RLIKE" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.n: r.k for r in df.collect()} == {"plain": "PLAIN", "Ĳssel": "IJSSEL", "œuvre ﬁn": "UVREFIN", "½": "12", "🄐x": "AX", "日本": "", None: None}
+
+
+def test_position_terms_are_computed_once(spark):
+    df = spark.createDataFrame([(0.5, 6.25), (1.75, 11.0), (None, 1.0), (3.0, 0.0)], "lon double, lat double")
+    x, y = geo.projected(F.col("lon"), F.col("lat"))
+    there = geo.with_position(df, F.col("lon"), F.col("lat"))
+    assert there.columns == ["lon", "lat", "x", "y"]
+    assert there.collect() == df.withColumns({"x": x, "y": y}).collect()
+    used = there.select("x", "y", F.floor(F.col("x") / 10), F.floor(F.col("y") / 10))
+    assert used._jdf.queryExecution().optimizedPlan().toString().upper().count("ATANH(") == 3
+
+
 def test_counts_are_digits_blanks_and_no_break_spaces_only(spark):
     df = spark.createDataFrame([(x,) for x in ("1 234", "1\u00a0234", "-5", "+7", "1\t2", "1\u202f2", "", " ", "x", None)], "c string")
     assert [r.n for r in df.select(text.parsed_count(F.col("c")).alias("n")).collect()] == [1234, 1234, *[None] * 8]
