@@ -9,7 +9,10 @@ similarity, with a standard error of 0.026 at 0.8. Links make components, of whi
 
 A block that few texts share compares them in pairs. In a larger one all are compared with a leader,
 in rounds: those that are in no leader's component choose the next leader, until all are or ROUNDS are
-over; so a group of near copies, however large, costs a row for each of its texts and blocks.
+over; so a group of near copies, however large, costs a row for each of its texts and blocks. What is
+left, texts of one block in different components, is then compared in full, but for those that the
+triangle inequality excludes: two texts whose distances to a leader differ by more bits than a link
+may have. No pair that shares a block goes unseen.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ SIMILARITY, MARGIN = 0.8, 0.03
 PAIRWISE = 8
 #: Rounds of leaders in blocks of more texts.
 ROUNDS = 4
+#: Texts on either side of one task that compares two components in a block.
+PART = 2048
 SEED = 42
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _STEPS = (np.arange(1, LONGS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
@@ -79,6 +84,37 @@ def _longs(print_: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(LONGS - 1)), lambda k: F.conv(F.hex(F.substring(print_, k * 8 + 1, F.lit(8))), 16, -10).cast("long"))
 
 
+def _rest(crowd: DataFrame, leaders: DataFrame, roots: DataFrame, prints: DataFrame, most: int, scratch: Scratch) -> DataFrame:
+    """The links (a, b) in `crowd` (k, key, node) between components: all pairs of a block that the distances to its `leaders` (k, key, b, sb) leave open.
+
+    A component's texts of a block are dealt to bands of distance to the first leader, and pairs of bands
+    whose ranges are too far apart for any leader go; the others meet in tasks of PART texts a side.
+    """
+    block = ["k", "key"]
+    placed = crowd.join(roots, "node", "left").select(*block, "node", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy(*block).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select(*block)
+    marks = leaders.groupBy(*block).agg(F.array_sort(F.collect_list(F.struct("b", "sb"))).alias("marks"))
+    rows = placed.join(mixed, block).join(marks, block).join(prints, "node")
+    rows = rows.withColumn("far", F.transform("marks", lambda m: distance(F.col("shingles"), m["sb"]))).drop("marks")
+    rows = scratch.staged(rows.withColumn("band", F.floor(F.col("far")[0] / (most + 1))), "mixed-blocks")
+    ends = [f(F.get("far", F.lit(i))).alias(f"{n}{i}") for i in range(ROUNDS) for n, f in (("lo", F.min), ("hi", F.max))]
+    groups = scratch.staged(rows.groupBy(*block, "band", "root").agg(F.ceil(F.count("*") / PART).alias("parts"), *ends), "groups")
+    named = lambda df, side: df.select(*block, *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in block])
+    met = named(groups, "a").join(named(groups, "b"), block).filter("a_root < b_root")
+    for i in range(ROUNDS):
+        # a block with fewer leaders has nulls, which exclude nothing
+        met = met.filter(F.coalesce((F.col(f"a_lo{i}") - F.col(f"b_hi{i}") <= most) & (F.col(f"b_lo{i}") - F.col(f"a_hi{i}") <= most), F.lit(True)))
+    for side in "ab":
+        met = met.withColumn(f"{side}_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{side}_parts") - 1)))
+    tasks = scratch.staged(met.select(*block, *[f"{s}_{c}" for s in "ab" for c in ("band", "root", "part")]), "block-tasks")
+    dealt = rows.join(groups.select(*block, "band", "root", "parts"), [*block, "band", "root"])
+    dealt = dealt.select(*block, "band", "root", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node", "shingles", "far")
+    of = lambda side: tasks.join(named(dealt, side), [*block, *[f"{side}_{c}" for c in ("band", "root", "part")]])
+    pairs = of("a").join(of("b"), tasks.columns)
+    open_ = F.forall(F.zip_with("a_far", "b_far", lambda x, y: F.abs(x - y)), lambda v: v <= most)
+    return pairs.filter(open_).filter(distance(F.col("a_shingles"), F.col("b_shingles")) <= most).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+
+
 def _edges(nodes: DataFrame, most: int, scratch: Scratch) -> DataFrame:
     """(node, root) of the components of `nodes` (node, words, shingles; both arrays of longs)."""
     block = F.posexplode(F.flatten(F.transform("words", lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF)))))).alias("k", "key")
@@ -98,11 +134,12 @@ def _edges(nodes: DataFrame, most: int, scratch: Scratch) -> DataFrame:
     edges = scratch.staged(verified(left.join(right, ["k", "key"]).filter("a < b").select("a", "b").distinct()), "near-pairs")
     crowd = members.filter(F.col("n") > PAIRWISE).select("k", "key", "node")
     lead = F.min_by(F.struct("node", "shingles"), F.xxhash64("k", "key", "node")).alias("leader")
-    left_over = crowd
-    roots = None
+    left_over, roots, leaders = crowd, None, None
     for _ in range(ROUNDS if not crowd.isEmpty() else 0):
         # each block's leader carries its fingerprint, so that no text meets all rows of a leader
         chosen = left_over.join(prints, "node").groupBy("k", "key").agg(lead).select("k", "key", F.col("leader.node").alias("b"), F.col("leader.shingles").alias("sb"))
+        chosen = scratch.staged(chosen, "leaders")
+        leaders = chosen if leaders is None else leaders.unionByName(chosen)
         met = left_over.join(chosen, ["k", "key"]).filter("node <> b").select(F.col("node").alias("a"), "b", "sb")
         close = met.join(prints.withColumnRenamed("node", "a"), "a").filter(distance(F.col("shingles"), F.col("sb")) <= most).select("a", "b")
         edges = scratch.staged(edges.unionByName(close.distinct()), "near-pairs")
@@ -113,7 +150,10 @@ def _edges(nodes: DataFrame, most: int, scratch: Scratch) -> DataFrame:
         left_over = scratch.staged(placed.join(heads, ["k", "key"]).filter("own <> head").select("k", "key", "node"), "left-over")
         if left_over.isEmpty():
             break
-    return components(edges) if roots is None else roots
+    if roots is None:
+        return components(edges)
+    more = scratch.staged(_rest(crowd, leaders, roots, prints, most, scratch), "near-pairs")
+    return roots if more.isEmpty() else components(edges.unionByName(more))
 
 
 def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -104,6 +104,33 @@ def test_a_large_group_takes_few_rows(spark, monkeypatch):
     assert sorted(r.doc_id for r in N.drop_near_texts(docs).collect()) == [0, 300]
 
 
+def test_a_crowded_block_of_many_groups_loses_no_link(spark, monkeypatch):
+    """More groups in one block than there are leaders, links between followers of different leaders, and tasks of few texts."""
+    monkeypatch.setattr(N, "PART", 3)
+    rng = random.Random(6)
+    most = N.most_bits(N.SIMILARITY - N.MARGIN)
+
+    def flipped(bits, n):
+        for k in rng.sample(range(1024), n):
+            bits ^= 1 << k
+        return bits
+
+    prints = []
+    for _ in range(15):
+        prints += [base := rng.getrandbits(1024), near := flipped(base, 150), flipped(near, 150), flipped(base, 100)]
+    signed = lambda bits: [int.from_bytes((bits >> 64 * k & (1 << 64) - 1).to_bytes(8, "little"), "little", signed=True) for k in range(N.LONGS)]
+    # the first 32 bits of the words' fingerprint are the same for all, the others are each text's own
+    rows = [(i, [i + 1 << 8, *[(i + 1) * 1000 + k + ((i + 1) * 1000 + k << 32) for k in range(1, N.LONGS)]], signed(p)) for i, p in enumerate(prints)]
+    root = {i: i for i in range(len(prints))}
+    for _ in root:
+        for i, p in enumerate(prints):
+            root[i] = min(root[j] for j, q in enumerate(prints) if (p ^ q).bit_count() <= most)
+    assert len(set(root.values())) == 15
+    scratch = N.Scratch()
+    found = N._edges(spark.createDataFrame(rows, "node long, words array<long>, shingles array<long>"), most, scratch).collect()
+    assert root == {**{i: i for i in root}, **{r.node: r.root for r in found}}
+
+
 def test_odd_rows(odd, none):
     out = N.drop_near_texts(odd)
     assert out.columns == odd.columns
