@@ -10,9 +10,10 @@ similarity, with a standard error of 0.026 at 0.8. Links make components, of whi
 A block that few texts share compares them in pairs. In a larger one all are compared with a leader,
 in rounds: those that are in no leader's component choose the next leader, until all are or ROUNDS are
 over; so a group of near copies, however large, costs a row for each of its texts and blocks. What is
-left, texts of one block in different components, is then compared in full, but for those that the
-triangle inequality excludes: two texts whose distances to a leader differ by more bits than a link
-may have. No pair that shares a block goes unseen.
+left, texts of one block in different components, is then compared in full, tile by tile, but for those
+that the triangle inequality excludes: two texts whose distances to a leader differ by more bits than a
+link may have. No pair that shares a block goes unseen. Rows grow with the texts and the tiles that they
+meet; the comparisons of texts that share a block and are near misses of each other stay quadratic.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ SIMILARITY, MARGIN = 0.8, 0.03
 PAIRWISE = 8
 #: Rounds of leaders in blocks of more texts.
 ROUNDS = 4
-#: Texts on either side of one task that compares two components in a block.
+#: Texts on either side of one task that compares texts of a block.
 PART = 2048
 SEED = 42
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -84,11 +86,26 @@ def _longs(print_: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(LONGS - 1)), lambda k: F.conv(F.hex(F.substring(print_, k * 8 + 1, F.lit(8))), 16, -10).cast("long"))
 
 
+def links_between(most: int, same: bool, root_a: np.ndarray, bits_a: np.ndarray, root_b: np.ndarray, bits_b: np.ndarray) -> set[tuple[int, int]]:
+    """The pairs of different components that a text of either tile links; with `same` the tiles are one, and each pair is looked at once."""
+    found = set()
+    for r in np.unique(root_a):
+        mine, others = bits_a[root_a == r], root_b > r if same else root_b != r
+        theirs, roots = bits_b[others], root_b[others]
+        at_once = max(1, (1 << 17) // max(1, len(theirs)))
+        for k in range(0, len(mine) if len(theirs) else 0, at_once):
+            apart = np.bitwise_count(mine[k : k + at_once, None] ^ theirs).sum(2, dtype=np.int64)
+            found.update((int(r), int(o)) for o in np.unique(roots[(apart <= most).any(0)]))
+    return found
+
+
 def _rest(crowd: DataFrame, leaders: DataFrame, roots: DataFrame, prints: DataFrame, most: int, scratch: Scratch) -> DataFrame:
-    """The links (a, b) in `crowd` (k, key, node) between components: all pairs of a block that the distances to its `leaders` (k, key, b, sb) leave open.
+    """The links (a, b) in `crowd` (k, key, node) between components, as pairs of their roots: all pairs of a block that the distances to its `leaders` (k, key, b, sb) leave open.
 
-    A component's texts of a block are dealt to bands of distance to the first leader, and pairs of bands
-    whose ranges are too far apart for any leader go; the others meet in tasks of PART texts a side.
+    A block's texts are dealt to bands of distance to the first leader and, in a band, to tiles of PART
+    texts at most. Pairs of bands whose ranges are too far apart for any leader go; each other pair of
+    tiles is a task, which compares texts of different components and returns each pair of components
+    once. So a text is copied once for each tile that it meets, not for each text or component.
     """
     block = ["k", "key"]
     placed = crowd.join(roots, "node", "left").select(*block, "node", F.coalesce("root", "node").alias("root"))
@@ -98,21 +115,33 @@ def _rest(crowd: DataFrame, leaders: DataFrame, roots: DataFrame, prints: DataFr
     rows = rows.withColumn("far", F.transform("marks", lambda m: distance(F.col("shingles"), m["sb"]))).drop("marks")
     rows = scratch.staged(rows.withColumn("band", F.floor(F.col("far")[0] / (most + 1))), "mixed-blocks")
     ends = [f(F.get("far", F.lit(i))).alias(f"{n}{i}") for i in range(ROUNDS) for n, f in (("lo", F.min), ("hi", F.max))]
-    groups = scratch.staged(rows.groupBy(*block, "band", "root").agg(F.ceil(F.count("*") / PART).alias("parts"), *ends), "groups")
-    named = lambda df, side: df.select(*block, *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in block])
-    met = named(groups, "a").join(named(groups, "b"), block).filter("a_root < b_root")
+    bands = scratch.staged(rows.groupBy(*block, "band").agg(F.ceil(F.count("*") / PART).alias("parts"), *ends), "bands")
+    named = lambda side: bands.select(*block, *[F.col(c).alias(f"{side}_{c}") for c in bands.columns if c not in block])
+    met = named("a").join(named("b"), block).filter("a_band <= b_band")
     for i in range(ROUNDS):
         # a block with fewer leaders has nulls, which exclude nothing
         met = met.filter(F.coalesce((F.col(f"a_lo{i}") - F.col(f"b_hi{i}") <= most) & (F.col(f"b_lo{i}") - F.col(f"a_hi{i}") <= most), F.lit(True)))
     for side in "ab":
         met = met.withColumn(f"{side}_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{side}_parts") - 1)))
-    tasks = scratch.staged(met.select(*block, *[f"{s}_{c}" for s in "ab" for c in ("band", "root", "part")]), "block-tasks")
-    dealt = rows.join(groups.select(*block, "band", "root", "parts"), [*block, "band", "root"])
-    dealt = dealt.select(*block, "band", "root", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node", "shingles", "far")
-    of = lambda side: tasks.join(named(dealt, side), [*block, *[f"{side}_{c}" for c in ("band", "root", "part")]])
-    pairs = of("a").join(of("b"), tasks.columns)
-    open_ = F.forall(F.zip_with("a_far", "b_far", lambda x, y: F.abs(x - y)), lambda v: v <= most)
-    return pairs.filter(open_).filter(distance(F.col("a_shingles"), F.col("b_shingles")) <= most).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    tile = lambda side: F.struct(F.col(f"{side}_band").alias("band"), F.col(f"{side}_part").alias("part"))
+    tasks = met.select(*block, tile("a").alias("ta"), tile("b").alias("tb")).filter("ta <= tb").withColumn("task", F.xxhash64(*block, "ta", "tb"))
+    sides = F.when(F.col("ta") == F.col("tb"), F.array(F.struct(F.lit(0).alias("side"), F.col("ta").alias("t")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("ta").alias("t")), F.struct(F.lit(1).alias("side"), F.col("tb").alias("t"))))
+    tasks = tasks.select(*block, "task", F.explode(sides).alias("s")).select(*block, "task", "s.side", "s.t.band", "s.t.part")
+    dealt = rows.join(bands.select(*block, "band", "parts"), [*block, "band"])
+    dealt = dealt.select(*block, "band", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "root", "shingles")
+
+    def compared(group: pa.Table) -> pa.Table:
+        side, root = group.column("side").to_numpy(), group.column("root").to_numpy()
+        bits = group.column("shingles").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LONGS)
+        a, b = side == 0, side == 1
+        # a task of one tile has one side only
+        one = not b.any()
+        b = a if one else b
+        found = sorted(links_between(most, one, root[a], bits[a], root[b], bits[b]))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+    told = tasks.join(dealt, [*block, "band", "part"]).select(*block, "task", "side", "root", "shingles")
+    return told.groupBy(*block, "task").applyInArrow(compared, "a long, b long").distinct()
 
 
 def _edges(nodes: DataFrame, most: int, scratch: Scratch) -> DataFrame:

@@ -131,6 +131,46 @@ def test_a_crowded_block_of_many_groups_loses_no_link(spark, monkeypatch):
     assert root == {**{i: i for i in root}, **{r.node: r.root for r in found}}
 
 
+def join_rows(df):
+    """The most rows that a join of a collected DataFrame's plan made."""
+
+    def walk(plan):
+        inner = [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in plan.nodeName() else []
+        children = plan.children()
+        below = max([walk(p) for p in [*inner, *(children.apply(i) for i in range(children.size()))]], default=0)
+        return max(below, plan.metrics().apply("numOutputRows").value()) if "Join" in plan.nodeName() else below
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("part", [2048, 40])
+def test_a_crowded_block_of_single_texts_makes_no_row_a_pair(spark, monkeypatch, part):
+    """A hundred and twenty texts of one block, none linked yet, two of which should be: rows grow with texts and tiles."""
+    monkeypatch.setattr(N, "PART", part)
+    rng = random.Random(8)
+    bits = [[rng.getrandbits(63) for _ in range(N.LONGS)] for _ in range(119)]
+    bits.append([bits[60][0] ^ 0b111, *bits[60][1:]])
+    n, most = len(bits), N.most_bits(N.SIMILARITY - N.MARGIN)
+    crowd = spark.createDataFrame([(0, 7, i) for i in range(n)], "k int, key long, node long")
+    prints = spark.createDataFrame(list(enumerate(bits)), "node long, shingles array<long>")
+    leaders = spark.createDataFrame([(0, 7, i, bits[i]) for i in range(2)], "k int, key long, b long, sb array<long>")
+    roots = spark.createDataFrame([], "node long, root long")
+    found = N._rest(crowd, leaders, roots, prints, most, N.Scratch())
+    assert [{r.a, r.b} for r in found.collect()] == [{60, 119}]
+    assert join_rows(found) <= n * (-(-n // part) + 8) < n * (n - 1) // 2
+
+
+def test_links_between_tiles():
+    rng = np.random.default_rng(5)
+    bits = rng.integers(0, 1 << 63, (40, N.LONGS)).astype(np.uint64)
+    bits[20:] = bits[:20] ^ np.uint64(3)  # 32 bits apart
+    root = np.arange(40) % 7
+    brute = {(int(root[i]), int(root[j])) for i in range(40) for j in range(40) if root[i] != root[j] and np.bitwise_count(bits[i] ^ bits[j]).sum() <= 40}
+    assert N.links_between(40, True, root, bits, root, bits) == {p for p in brute if p[0] < p[1]}
+    assert N.links_between(40, False, root[:20], bits[:20], root[20:], bits[20:]) == {(int(root[i]), int(root[i + 20])) for i in range(20)}
+    assert N.links_between(31, True, root, bits, root, bits) == set()
+
+
 def test_odd_rows(odd, none):
     out = N.drop_near_texts(odd)
     assert out.columns == odd.columns
