@@ -150,3 +150,21 @@ def test_no_branch_no_division(spark):
     df = spark.createDataFrame([("a", 10, 0, 0)], "u string, population long, points long, active_branches long")
     r = tidy.access_ratios(df).first()
     assert r.inhabitants_per_point is None and r.points_per_10k == 0
+
+
+def test_single_sources_meet_few_targets(spark):
+    """The rows of the last join are a few a source: targets that the block's box leaves out meet no source."""
+    rng = random.Random(12)
+    spots = lambda n: [(i, rng.uniform(0, 1e5), rng.uniform(0, 1e5)) for i in range(n)]
+    sources, targets = spots(4000), spots(1500)
+    near = nearest_km(spark.createDataFrame(sources, "id long, x double, y double"), spark.createDataFrame(targets, "k long, x double, y double"), "id", few=0, carry=("x",))
+    got = {r.id: r for r in near.collect()}
+    assert all(got[i].x == x and got[i].dist_km == pytest.approx(min(math.hypot(x - a, y - b) for _, a, b in targets) / 1000) for i, x, y in sources[:200])
+
+    def join_rows(plan):
+        inner = [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in plan.nodeName() else []
+        children = plan.children()
+        below = max([join_rows(p) for p in [*inner, *(children.apply(i) for i in range(children.size()))]], default=0)
+        return max(below, plan.metrics().apply("numOutputRows").value()) if "Join" in plan.nodeName() else below
+
+    assert len(got) == len(sources) <= join_rows(near._jdf.queryExecution().executedPlan()) < 12 * len(sources)
