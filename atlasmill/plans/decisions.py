@@ -15,7 +15,7 @@ from ..operators.tidy import access_ratios, union_exports
 from ..sources import readers as R
 from ..sources.staging import shared_dir, staged
 from . import fixtures as X
-from .access import SQL_NEAR, SQL_ZD, active_branches, zone_centres
+from .access import SQL_NEAR, SQL_ZD, active_branches, zone_centres, zone_distances
 from .inventory import PRELUDE, SQL_IND2, SQL_IND3, branches, data_centres, indicators2, indicators3, points_by_operator, rounded
 from .ranking import SQL_GAP_PENDING, SQL_INDEX, gap_zones, hotspots, indexed, priority_robust, sql_hotspots
 from .registry import query, sql_of
@@ -95,7 +95,9 @@ HOTSPOTS = 15
 @query(f"SELECT h.level2, h.high_zones, r.frequency FROM ({SQL_GAP_PENDING + sql_hotspots(HOTSPOTS)}) h JOIN ({sql_of('priority_robust')}) r USING (level2)")
 def convergence(spark: SparkSession, d: str) -> DataFrame:
     """Units with most high-risk zones (the points being set up are the witnesses) that are also robustly among the first of the priority index."""
-    return hotspots(I.gap_index(gap_zones(spark, d, status=X.PENDING), "pcode"), HOTSPOTS).join(priority_robust(spark, d), "level2").select("level2", "high_zones", "frequency")
+    near = zone_distances(spark, d)  # for both indices
+    gaps = I.gap_index(gap_zones(spark, d, status=X.PENDING, near=near), "pcode")
+    return hotspots(gaps, HOTSPOTS).join(priority_robust(spark, d, near), "level2").select("level2", "high_zones", "frequency")
 
 
 # The presets' weights, in percent.

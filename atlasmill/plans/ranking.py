@@ -14,20 +14,21 @@ from ..operators.crosswalk import paired
 from ..sources.staging import staged
 from . import fixtures as X
 from .access import SQL_PIP, SQL_ZD, active_branches, located, zone_centres, zone_distances
-from .inventory import SQL_IND2, indicators2, rounded
+from .inventory import SQL_IND2, densities2, indicators2, rounded
 from .registry import query
 from ..operators.spatial import nearest_km
 from ..functions.text import operators_of
 
 
-def units(spark: SparkSession, d: str) -> DataFrame:
-    """Indicators with distance_km, the area-weighted median distance of the unit's zones."""
-    far = S.weighted_median(zone_distances(spark, d), ["level2"], "dist_km", "area_sqkm", "distance_km")
-    return indicators2(spark, d).join(F.broadcast(far), "level2", "left")
+def units(spark: SparkSession, d: str, near: DataFrame | None = None) -> DataFrame:
+    """Indicators with distance_km, the area-weighted median distance of the unit's zones (`near`, if the caller has the zone distances)."""
+    near = zone_distances(spark, d) if near is None else near
+    far = S.weighted_median(near, ["level2"], "dist_km", "area_sqkm", "distance_km")
+    return indicators2(spark, d, near).join(F.broadcast(far), "level2", "left")
 
 
-def indexed(spark: SparkSession, d: str) -> DataFrame:
-    return I.priority_index(units(spark, d), "level2")
+def indexed(spark: SparkSession, d: str, near: DataFrame | None = None) -> DataFrame:
+    return I.priority_index(units(spark, d, near), "level2")
 
 
 SQL_UNITS = SQL_IND2 + "," + SQL_ZD + ", un AS MATERIALIZED (SELECT ind2.*, median_km AS distance_km FROM ind2 LEFT JOIN wm USING (level2))\n"
@@ -82,13 +83,13 @@ _MEAN_SPEARMAN = """cr AS (SELECT draw, rank() OVER (PARTITION BY draw ORDER BY
 cs AS (SELECT draw, corr(a, b) AS s FROM cr GROUP BY 1) SELECT count(*) AS draws, round(avg(s), 6) AS mean_spearman FROM cs"""
 
 
-def _all_priority(spark: SparkSession, d: str) -> tuple[DataFrame, str, list[str], DataFrame]:
-    return indexed(spark, d).filter("score IS NOT NULL"), "level2", [f"n_{c}" for c in I.COMPONENTS], I.drawn_weights(spark, DRAWS, 4, SHAPE, SEED)
+def _all_priority(spark: SparkSession, d: str, near: DataFrame | None = None) -> tuple[DataFrame, str, list[str], DataFrame]:
+    return indexed(spark, d, near).filter("score IS NOT NULL"), "level2", [f"n_{c}" for c in I.COMPONENTS], I.drawn_weights(spark, DRAWS, 4, SHAPE, SEED)
 
 
 @query(_SQL_ALL + _RANKED.format(key="level2", k=10))
-def priority_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(I.sensitivity(*_all_priority(spark, d), 10), ("frequency",))
+def priority_sensitivity(spark: SparkSession, d: str, near: DataFrame | None = None) -> DataFrame:
+    return rounded(I.sensitivity(*_all_priority(spark, d, near), 10), ("frequency",))
 
 
 @query(_SQL_ALL + _MEAN_SPEARMAN)
@@ -97,9 +98,9 @@ def priority_mean_spearman(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT level2, frequency FROM (" + _SQL_ALL + _RANKED.format(key="level2", k=10) + ") WHERE frequency >= 0.9")
-def priority_robust(spark: SparkSession, d: str) -> DataFrame:
+def priority_robust(spark: SparkSession, d: str, near: DataFrame | None = None) -> DataFrame:
     """The units among the first ten in nine of ten draws."""
-    return I.robust(priority_sensitivity(spark, d)).select("level2", "frequency")
+    return I.robust(priority_sensitivity(spark, d, near)).select("level2", "frequency")
 
 
 @query(SQL_INDEX + ", nw AS (SELECT level2, score, n_d1 * 0.1 + n_d2 * 0.2 + n_d3 * 0.5 + n_d4 * 0.2 AS new_score FROM ix WHERE score IS NOT NULL), rr AS (SELECT level2, new_score, rank() OVER (ORDER BY new_score DESC) AS new_rank, rank() OVER (ORDER BY score DESC) AS old_rank FROM nw) SELECT level2, round(new_score, 6) AS new_score, new_rank, old_rank - new_rank AS moved FROM rr")
@@ -141,16 +142,17 @@ def reweight_invariance(spark: SparkSession, d: str) -> DataFrame:
     return ranked.agg(F.count("*").alias("paired"), F.round(gap, 9).alias("max_gap"), F.round(same, 9).alias("spearman"), ((gap < 1e-9) & (F.abs(same - 1) < 1e-9)).alias("ok"))
 
 
-def gap_zones(spark: SparkSession, d: str, operator: str | None = None, status: str | None = None) -> DataFrame:
-    """Zones with witnesses (of a status, if named), their density and operators, distance to a branch and population density of their unit; of one operator if named."""
+def gap_zones(spark: SparkSession, d: str, operator: str | None = None, status: str | None = None, near: DataFrame | None = None) -> DataFrame:
+    """Zones with witnesses (of a status, if named), their density and operators, distance to a branch (`near`, if the caller has the zone distances) and population density of their unit; of one operator if named."""
     held = located(spark, d, status).withColumn("ops", operators_of(F.col("operators")))
     held = held.filter(F.array_contains("ops", operator)) if operator else held
     seen = held.groupBy("pcode").agg(F.count("*").alias("witnesses"), F.count_if(F.array_contains("ops", "OpA")).alias("wa"), F.count_if(F.array_contains("ops", "OpB")).alias("wb"))
-    z = zone_centres(spark, d)
-    targets = active_branches(spark, d)
-    near = nearest_km(z, targets.filter(F.col("target_group") == operator) if operator else targets, "pcode", to="distance_km")
-    out = z.select("pcode", "level2", "area_sqkm").join(near, "pcode").join(seen, "pcode", "left").na.fill(0, ["witnesses", "wa", "wb"])
-    out = out.join(F.broadcast(indicators2(spark, d).select("level2", "density")), "level2")
+    if operator:
+        near = nearest_km(zone_centres(spark, d), active_branches(spark, d).filter(F.col("target_group") == operator), "pcode", carry=("level2", "area_sqkm"))
+    elif near is None:
+        near = zone_distances(spark, d)
+    out = near.select("pcode", "level2", "area_sqkm", F.col("dist_km").alias("distance_km")).join(seen, "pcode", "left").na.fill(0, ["witnesses", "wa", "wb"])
+    out = out.join(F.broadcast(densities2(spark, d, near).select("level2", "density")), "level2")
     return out.withColumns({"witness_density": F.col("witnesses") / F.col("area_sqkm") * 100, "n_operators": (F.col("wa") > 0).cast("int") + (F.col("wb") > 0).cast("int")}).drop("wa", "wb")
 
 

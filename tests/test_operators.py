@@ -168,3 +168,35 @@ def test_single_sources_meet_few_targets(spark):
         return max(below, plan.metrics().apply("numOutputRows").value()) if "Join" in plan.nodeName() else below
 
     assert len(got) == len(sources) <= join_rows(near._jdf.queryExecution().executedPlan()) < 12 * len(sources)
+
+
+@pytest.mark.parametrize("groups", [None, ["a", "b", "z"]])
+def test_few_sources_stream_many_targets(spark, tmp_path, monkeypatch, groups):
+    """Up to `few` sources and more targets: the same distances with no tables but the targets' and the sources' own."""
+    from atlasmill.operators import spatial
+
+    rng = random.Random(21)
+    targets = [(rng.gauss(0, 9e3), rng.gauss(0, 9e3), rng.choice("ab")) for _ in range(900)] + [(None, 1.0, "a")]
+    sources = [("s%d" % k, k, rng.uniform(-9e4, 9e4), rng.uniform(-9e4, 9e4)) for k in range(30)] + [("none", 30, None, 1.0), (None, 31, 5.0, 5.0)]
+    written = []
+    monkeypatch.setattr(spatial, "staged", lambda df, label, own=spatial.staged: written.append(label) or own(df, label))
+    t = spark.createDataFrame(targets, "x double, y double, target_group string").repartition(5)
+    near = nearest_km(spark.createDataFrame(sources, "id string, no int, x double, y double"), t, "id", groups, few=40, carry=("no",))
+    got = {r.no: r for r in near.collect()}
+    assert written == ["targets", "sources-placed"] and len(got) == len(sources)
+    for name, no, x, y in sources:
+        assert got[no].id == name
+        for g in groups or [""]:
+            held = [math.hypot(x - a, y - b) / 1000 for a, b, o in targets if g in ("", o) and a is not None] if x is not None else []
+            value = got[no]["dist_km" + (g and f"_{g}")]
+            assert value == pytest.approx(min(held)) if held else value is None
+
+
+def test_point_in_polygon_tests_boxed_pairs_only(spark):
+    """Polygons that share a cell with a point, but not its place, do not reach the exact test; edges are made once a polygon."""
+    polygons = spark.createDataFrame([(f"p{k}", [ring((k, 0), (k + 1, 0), (k + 1, 1), (k, 1))]) for k in range(50)], f"name string, rings {RINGS}")
+    points = spark.range(50).select("id", (F.col("id") + 0.5).alias("x"), F.lit(0.5).alias("y"))
+    found = point_in_polygon(points, polygons, 100.0)
+    assert {(r.id, r.name) for r in found.collect()} == {(k, f"p{k}") for k in range(50)}
+    join = next(line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line)
+    assert "zip_with" not in join and join.index("__lox") < join.index("exists(")
